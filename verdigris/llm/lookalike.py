@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,8 +204,6 @@ def canonical_keys(df: DataFrame, doc_id: str, text: str, rewriter: Rewriter) ->
 
 def consistent_text(df: DataFrame, text: str, rewriter: Rewriter, output: str = "consistent_text") -> DataFrame:
     """``df`` with the consistent form of ``text`` added; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series) -> pd.Series:
         return texts.map(rewriter, na_action="ignore")
