@@ -8,7 +8,7 @@ the error or null. Rules see values as Python does: ``text`` is ``str(value)`` a
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from decimal import Decimal
 from functools import reduce
@@ -56,6 +56,7 @@ class Val:
     err: Column | None = None
     value: Any = _NO_LITERAL
     items: tuple[Val, ...] | None = None
+    check: Callable[[Column], Column] | None = None  # error that shows in the value itself, once it has a column
 
     @property
     def is_literal(self) -> bool:

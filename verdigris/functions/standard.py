@@ -9,6 +9,7 @@ from __future__ import annotations
 import operator as py
 import re
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -437,9 +438,10 @@ def f_to_timestamp_ntz(value, on_error):
 TOO_WIDE = "The decimal result exceeds 38 digits with 18 of them after the point."
 
 
-def _fitted(out: Column, known: Column) -> tuple[Column, Column]:
-    """As decimal(38,18), with an error where the exact result doesn't fit."""
-    return out, F.when(known & out.isNull(), error("ValueError", TOO_WIDE))
+def _fitted(out: Column, known: Column, args: tuple[Val, ...], *errors: Column | None) -> Val:
+    """A decimal(38,18) result, with an error where the exact one doesn't fit."""
+    made = _val(out, WIDE, args, *errors)
+    return replace(made, check=lambda value: F.when(known & value.isNull(), error("ValueError", TOO_WIDE)))
 
 
 def _lossless(x: Column, precision: int, scale: int) -> Column:
@@ -450,8 +452,8 @@ def _lossless(x: Column, precision: int, scale: int) -> Column:
 def _two(left: Val, right: Val, names: tuple[str, str], combine: Callable[[Column, Column], Column]) -> Val:
     (a, bad_a), (b, bad_b) = exact(left, names[0]), exact(right, names[1])
     known = left.col.isNotNull() & right.col.isNotNull() & a.isNotNull() & b.isNotNull()
-    out, wide = _fitted(F.when(known, combine(a, b)), known)
-    return _val(out, WIDE, (left, right), *[F.when(left.col.isNotNull(), e) for e in (bad_a,) if e is not None], *[F.when(right.col.isNotNull(), e) for e in (bad_b,) if e is not None], wide)
+    errors = [F.when(v.col.isNotNull(), e) for v, e in ((left, bad_a), (right, bad_b)) if e is not None]
+    return _fitted(F.when(known, combine(a, b)), known, (left, right), *errors)
 
 
 def _sum(sign: int):
@@ -472,8 +474,7 @@ def _product(a: Column, b: Column) -> Column:
 @standard("decimal", "Return an absolute decimal value.", VALUE)
 def f_decimal_abs(value):
     a, bad = exact(value, "value")
-    out, wide = _fitted(F.abs(a).try_cast(WIDE), a.isNotNull())
-    return _val(out, WIDE, (value,), *_if_known(value, bad), wide)
+    return _fitted(F.abs(a).try_cast(WIDE), a.isNotNull(), (value,), *_if_known(value, bad))
 
 
 @standard("decimal", "Add two decimal values.", A("left"), A("right"))
@@ -545,9 +546,9 @@ def _divide(numerator, denominator, scale, rounding_mode, safe: bool):
     if not -38 <= scale.value <= 18:
         return _val(F.lit(None).cast(WIDE), WIDE, (numerator, denominator), *errors, F.when(both & (b != 0), error("ValueError", "scale must be between -38 and 18.")))
     known = both & (b != 0)
-    out, wide = _fitted(F.when(known, _quotient(a, F.nullif(b, F.lit(0).cast("decimal(1,0)")), scale.value, rounding_mode.value)), known)
     zero = None if safe else F.when(both & (b == 0), error("ZeroDivisionError", "denominator cannot be zero."))
-    return _val(out, WIDE, (numerator, denominator), *errors, zero, wide)
+    out = F.when(known, _quotient(a, F.nullif(b, F.lit(0).cast("decimal(1,0)")), scale.value, rounding_mode.value))
+    return _fitted(out, known, (numerator, denominator), *errors, zero)
 
 
 _DIVIDE_ARGS = (A("numerator"), A("denominator"), optional("scale", "integer", 18), ROUNDING)
@@ -591,8 +592,7 @@ def f_decimal_round(value, scale, rounding_mode):
     else:
         out = F.coalesce(*[F.when(n == k, round_to(a, k, mode).try_cast(WIDE)) for k in range(-20, 19)])
     outside = F.when((n < -38) | (n > 18), error("ValueError", "scale must be between -38 and 18."))
-    wide = F.when(a.isNotNull() & out.isNull(), error("ValueError", TOO_WIDE))
-    return _val(out, WIDE, (value, scale), *_if_known(value, bad, wrong, outside, wide))
+    return _fitted(out, a.isNotNull(), (value, scale), *_if_known(value, bad, wrong, outside))
 
 
 @standard("decimal", "Clamp a decimal to inclusive bounds.", VALUE, A("minimum"), A("maximum"))
@@ -768,6 +768,10 @@ def f_array_contains_all(values, candidates):
     return _contains(values, candidates, True)
 
 
+#: Functions whose decimal arguments stand in the expression many times: each gets a column of its own first.
+EXACT_ARGUMENTS = {"decimal_add": ("left", "right"), "decimal_subtract": ("left", "right"), "decimal_multiply": ("left", "right"), "decimal_min": ("left", "right"), "decimal_max": ("left", "right"), "decimal_divide": ("numerator", "denominator"), "decimal_safe_divide": ("numerator", "denominator"), "decimal_round": ("value",), "decimal_clamp": ("value", "minimum", "maximum"), "decimal_abs": ("value",)}
+
+
 def standard_specs() -> list[FunctionSpec]:
     return [spec for spec, _ in _BUILDERS.values()]
 

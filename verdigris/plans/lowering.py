@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.functions.compare import compare
-from verdigris.functions.expr import INTEGRAL, Val, error, first_error, is_binary, is_integral, is_number, is_temporal, is_text, is_time, literal, not_finite, number, shown, text, trace_text
+from verdigris.functions.expr import INTEGRAL, WIDE, Val, error, first_error, is_binary, is_integral, is_number, is_temporal, is_text, is_time, literal, not_finite, number, shown, text, trace_text
 from verdigris.functions.registry import FunctionRegistry
-from verdigris.functions.standard import Unsupported
+from verdigris.functions.standard import EXACT_ARGUMENTS, Unsupported, exact
 from verdigris.functions.udf import guarded_udf
 from verdigris.model import OPERANDS, Assignment, AssignedRef, Call, Condition, FieldRef, Group, Literal, Rule, all_operands, rule_operands
 from verdigris.plans.describe import assignment_text, condition_text
@@ -205,15 +205,41 @@ class Lowering:
         args = {name: self.argument(value, at) for name, value in bound.items()}
         out = None
         if native is not None:
+            depth = max((self._depth(v) for v in bound.values()), default=0)
             try:
-                out = native(**args)
+                own = {name: self._exact_column(name, v, depth) if name in EXACT_ARGUMENTS.get(op.function, ()) and self._is_standard(op) else v for name, v in args.items()}
+                out = native(**own)
             except Unsupported:
                 out = None
+            if out is not None and (out.check is not None or any(own[n] is not args[n] for n in args)):
+                named = any(own[n] is not args[n] for n in args)
+                value = self._named(out.col, depth + named)
+                self._python_depth[id(op)] = depth + named + 1
+                out = Val(value, out.type, first_error(out.err, out.check(value) if out.check else None))
         if out is None:
             out = self._python_call(op, bound, args, at)
         self._calls[id(op), at] = out
         return out
 
+    def _is_standard(self, op: Call) -> bool:
+        return self.registry.get_spec(op.function).implementation_reference == f"verdigris.functions.standard.{op.function}"
+
+    def _named(self, col: Column, depth: int) -> Column:
+        """The expression as a column of the layer ``depth``, computed once."""
+        while len(self.udfs) <= depth:
+            self.udfs.append([])
+        self._count += 1
+        name = f"{TEMPORARY}u{self._count}"
+        self.udfs[depth].append(col.alias(name))
+        return F.col(name)
+
+    def _exact_column(self, label: str, v: Val, depth: int) -> Val:
+        if v.is_literal or not (is_binary(v.type) or is_text(v.type)):
+            return v
+        value, bad = exact(v, label)
+        failed = None if bad is None else F.when(v.col.isNotNull(), bad)
+        return Val(self._named(value, depth), WIDE, first_error(v.err, failed))
+
     def _depth(self, value: Any) -> int:
         return max((self._python_depth.get(id(o), 0) for o in all_operands(value)), default=0)
 
@@ -221,15 +247,10 @@ class Lowering:
         """One Arrow UDF column per call and row, in a layer below the columns that use it."""
         t = self.typed.call_type(op, self.typed.assigned) or T.StringType()
         udf, inputs = guarded_udf(self.registry.get_implementation(op.function), t, args, self.keep_traceback)
-        depth = max((self._depth(v) for v in bound.values()), default=0) + 1
-        self._python_depth[id(op)] = depth
-        while len(self.udfs) < depth:
-            self.udfs.append([])
-        self._count += 1
-        name = f"{TEMPORARY}u{self._count}"
+        depth = max((self._depth(v) for v in bound.values()), default=0)
+        self._python_depth[id(op)] = depth + 1
         arguments_failed = first_error(*[a.err for a in args.values()])
-        self.udfs[depth - 1].append(udf(*inputs).alias(name))
-        result = F.col(name)
+        result = self._named(udf(*inputs), depth)
         return Val(result.getField("value"), t, first_error(arguments_failed, result.getField("error")))
 
     # ---- conditions
