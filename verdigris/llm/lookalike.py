@@ -10,6 +10,7 @@ accents of look-alike letters meet too. Case, accents, digits, marks, words and
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -102,6 +103,17 @@ def look_alike_classes() -> tuple[tuple[str, ...], ...]:
     return tuple(tuple(c) for c in sets.classes())
 
 
+def _ranges(chars: set[str]) -> str:
+    """A character class body with neighbours joined into ranges, which keeps matching fast beyond the BMP."""
+    out, points = [], sorted(map(ord, chars))
+    for point in points:
+        if out and out[-1][1] == point - 1:
+            out[-1][1] = point
+        else:
+            out.append([point, point])
+    return "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in out)
+
+
 class Rewriter:
     """Rewrites every member of a class into the class's representative.
 
@@ -126,10 +138,12 @@ class Rewriter:
             if member != target and member:
                 self.patterns[member] = target
         self.ascii_safe = not any(p.isascii() for p in self.patterns if p not in ("\t", "\r\n"))
-        self._automaton = None
+        # rewriting can only touch runs of these characters; the automaton reads nothing else
+        self._runs = re.compile(f"[{_ranges(set(''.join(self.patterns)))}]+")
+        self._automaton, self._known = None, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_automaton": None}
+        return self.__dict__ | {"_automaton": None, "_known": {}}
 
     @property
     def automaton(self) -> ahocorasick.Automaton:
@@ -144,15 +158,21 @@ class Rewriter:
         """The form of ``text``; equal for texts that look alike. The empty text stays empty."""
         if self.ascii_safe and text.isascii() and "\t" not in text and "\r" not in text:
             return text
-        text = unicodedata.normalize("NFD", text)
+        text = self._runs.sub(lambda run: self._rewrite(run.group()), unicodedata.normalize("NFD", text))
+        return unicodedata.normalize("NFC", text)
+
+    def _rewrite(self, run: str) -> str:
+        """Greedy rewriting of one run, the longest pattern at each place; short runs are remembered."""
+        if run in self._known:
+            return self._known[run]
         parts, done = [], 0
-        for end, (length, target) in self.automaton.iter_long(text):
-            parts += (text[done : end + 1 - length], target)
+        for end, (length, target) in self.automaton.iter_long(run):
+            parts += (run[done : end + 1 - length], target)
             done = end + 1
-        if done:
-            parts.append(text[done:])
-            text = "".join(parts)
-        return unicodedata.normalize("NFC", text)
+        out = "".join(parts) + run[done:]
+        if len(run) < 8 and len(self._known) < 100_000:
+            self._known[run] = out
+        return out
 
 
 def member_frequencies(df: DataFrame, text: str) -> dict[str, int]:
