@@ -177,7 +177,8 @@ def _binary_text(x: Column) -> Column:
     exponent = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0"))
     scientific = F.concat(F.substr(digits, F.lit(1), F.lit(1)), point, F.lit("e"), exponent)
     plain = F.when(power.isNull(), body).when((power < 0) & (power >= -4), small).when((power > 0) & (power < 16), large).otherwise(scientific)
-    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, plain))
+    near = (F.abs(x) >= 1e-3) & (F.abs(x) < 1e7) | (x == 0)  # written without exponent on either side
+    return F.when(near, raw).when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, plain))
 
 
 def plain_decimal(x: Column) -> Column:

@@ -502,42 +502,47 @@ def f_decimal_max(left, right):
     return _two(left, right, ("left", "right"), lambda a, b: F.greatest(a.try_cast(WIDE), b.try_cast(WIDE)))
 
 
-def _rounded_whole(quotient: Column, twice_rest: Column, size: Column, negative: Column, mode: str) -> Column:
-    """A truncated quotient moved by one away from zero where the mode says so."""
-    away = {
-        "half_up": twice_rest >= size,
-        "half_down": twice_rest > size,
-        "half_even": (twice_rest > size) | ((twice_rest == size) & (quotient % 2 != 0)),
-        "up": twice_rest > 0,
-        "down": F.lit(False),
-        "ceiling": (twice_rest > 0) & ~negative,
-        "floor": (twice_rest > 0) & negative,
-    }[mode]
-    return quotient + F.when(away, F.when(negative, -1).otherwise(1)).otherwise(0)
+def _power(places: int) -> Column:
+    return F.lit("1" + "0" * places).cast(T.DecimalType(places + 1, 0))
 
 
-def _shifted(x: Column, places: int) -> Column:
-    """x * 10**places, exactly, by its text."""
-    return F.concat(plain_decimal(x), F.lit(f"E{places}"))
+def _quotient(a: Column, b: Column, scale: int, mode: str, bind: Callable[[int, Column], Column]) -> Column:
+    """a / b rounded to ``scale`` places, by whole numbers: quotient, rest, and what the rest says of the next digit.
 
-
-def _quotient(a: Column, b: Column, scale: int, mode: str) -> Column:
+    ``bind`` makes a column of each step, so that no step is computed twice.
+    """
     whole38 = T.DecimalType(38, 0)
-    forms = []
+    if scale < 0:
+        raise Unsupported
+    pairs = []
     for digits in (9, 4, 0, 18):  # both sides as whole numbers of 10**-digits
-        top = _shifted(_lossless(a, min(38, 38 - scale), digits), digits + scale).try_cast(whole38) if 38 - scale > digits else F.lit(None).cast(whole38)
-        bottom = _shifted(_lossless(b, 37, digits), digits).try_cast(whole38)
-        rest = top % bottom
-        truncated = ((top - rest) / bottom).try_cast(whole38)
-        # halves compare by the rest and what is missing to the divisor, which stay within its digits
-        size, part = F.abs(bottom), F.abs(rest)
-        twice = F.when(part > size - part, size + 1).when(part == size - part, size).when(part > 0, F.lit(1).cast(whole38)).otherwise(F.lit(0).cast(whole38))
-        negative = (top < 0) != (bottom < 0)
-        forms.append(_shifted(_rounded_whole(truncated, twice, size, negative, mode).try_cast(whole38), -scale).try_cast(WIDE))
-    return F.coalesce(*forms)
-
-
-def _divide(numerator, denominator, scale, rounding_mode, safe: bool):
+        if digits + scale > 36:
+            continue
+        top = (_lossless(a, 38 - scale, digits) * _power(digits + scale)).try_cast(whole38) if digits + scale else _lossless(a, 38, 0)
+        bottom = (_lossless(b, 19 + digits, digits) * _power(digits)).try_cast(whole38) if digits else _lossless(b, 37, 0)
+        pairs.append(F.struct(top.alias("t"), bottom.alias("b")))
+    pair = bind(0, F.coalesce(*[F.when(p.getField("t").isNotNull() & p.getField("b").isNotNull(), p) for p in pairs]))
+    top, bottom = pair.getField("t"), pair.getField("b")
+    rest = bind(1, top % bottom)
+    truncated = bind(2, F.try_divide(top - rest, bottom).try_cast(whole38))
+    # halves compare by the rest and what is missing to the divisor, which stay within its digits
+    size, part = F.abs(bottom), F.abs(rest)
+    over, tie = part > size - part, part == size - part
+    negative = (top < 0) != (bottom < 0)
+    away = {
+        "half_up": over | tie,
+        "half_down": over,
+        "half_even": over | (tie & (truncated % 2 != 0)),
+        "up": part > 0,
+        "down": F.lit(False),
+        "ceiling": (part > 0) & ~negative,
+        "floor": (part > 0) & negative,
+    }[mode]
+    rounded = bind(3, truncated + F.when(away, F.when(negative, -1).otherwise(1)).otherwise(0))
+    return F.concat(plain_decimal(rounded), F.lit(f"E{-scale}")).try_cast(WIDE)
+
+
+def _divide(numerator, denominator, scale, rounding_mode, bind, safe: bool):
     if not scale.is_literal or isinstance(scale.value, bool) or not isinstance(scale.value, int):
         raise Unsupported
     (a, bad_a), (b, bad_b) = exact(numerator, "numerator"), exact(denominator, "denominator")
@@ -547,7 +552,7 @@ def _divide(numerator, denominator, scale, rounding_mode, safe: bool):
         return _val(F.lit(None).cast(WIDE), WIDE, (numerator, denominator), *errors, F.when(both & (b != 0), error("ValueError", "scale must be between -38 and 18.")))
     known = both & (b != 0)
     zero = None if safe else F.when(both & (b == 0), error("ZeroDivisionError", "denominator cannot be zero."))
-    out = F.when(known, _quotient(a, F.nullif(b, F.lit(0).cast("decimal(1,0)")), scale.value, rounding_mode.value))
+    out = F.when(known, _quotient(a, F.nullif(b, F.lit(0).cast("decimal(1,0)")), scale.value, rounding_mode.value, bind))
     return _fitted(out, known, (numerator, denominator), *errors, zero)
 
 
@@ -555,13 +560,13 @@ _DIVIDE_ARGS = (A("numerator"), A("denominator"), optional("scale", "integer", 1
 
 
 @standard("decimal", "Divide and round decimal values; zero is an error.", *_DIVIDE_ARGS)
-def f_decimal_divide(numerator, denominator, scale, rounding_mode):
-    return _divide(numerator, denominator, scale, rounding_mode, False)
+def f_decimal_divide(numerator, denominator, scale, rounding_mode, bind=lambda level, col: col):
+    return _divide(numerator, denominator, scale, rounding_mode, bind, False)
 
 
 @standard("decimal", "Divide decimals; zero returns null.", *_DIVIDE_ARGS)
-def f_decimal_safe_divide(numerator, denominator, scale, rounding_mode):
-    return _divide(numerator, denominator, scale, rounding_mode, True)
+def f_decimal_safe_divide(numerator, denominator, scale, rounding_mode, bind=lambda level, col: col):
+    return _divide(numerator, denominator, scale, rounding_mode, bind, True)
 
 
 def round_to(x: Column, places: int, mode: str) -> Column:
@@ -772,6 +777,10 @@ def f_array_contains_all(values, candidates):
 EXACT_ARGUMENTS = {"decimal_add": ("left", "right"), "decimal_subtract": ("left", "right"), "decimal_multiply": ("left", "right"), "decimal_min": ("left", "right"), "decimal_max": ("left", "right"), "decimal_divide": ("numerator", "denominator"), "decimal_safe_divide": ("numerator", "denominator"), "decimal_round": ("value",), "decimal_clamp": ("value", "minimum", "maximum"), "decimal_abs": ("value",)}
 
 
+#: Functions that compute in steps, each step a column of its own.
+STEPS = {"decimal_divide": 4, "decimal_safe_divide": 4}
+
+
 def standard_specs() -> list[FunctionSpec]:
     return [spec for spec, _ in _BUILDERS.values()]
 

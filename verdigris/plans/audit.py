@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from verdigris.functions.expr import Val, text, trace_text
 from verdigris.model import OPERANDS, AssignedRef, Call, FieldRef, Group, Literal, all_operands
 from verdigris.plans.describe import assignment_text, condition_text
-from verdigris.plans.lowering import TEMPORARY, Lowering, column
+from verdigris.plans.lowering import TEMPORARY, Lowering, as_column, column
 
 _S, _B, _L = T.StringType(), T.BooleanType(), T.LongType()
 _NAMES = T.ArrayType(_S, False)
@@ -201,7 +201,7 @@ class Audit:
             input_value = column(a.target).cast(t) if source is not None else F.lit(None).cast(t)
             chain, _ = self.low._last(a.target, k)
             old = chain.otherwise(input_value) if chain is not None else input_value
-            new = self.low.lowered[k].values[i]
+            new = as_column(self.low.lowered[k].values[i])
             fields = {
                 "assignment_id": F.lit(a.assignment_id),
                 "rule_id": F.lit(rule.rule_id),

@@ -18,7 +18,8 @@ from verdigris.functions.registry import FunctionRegistry
 from verdigris.functions.standard import standard_registry
 from verdigris.model import Ruleset
 from verdigris.plans.audit import ASSIGNMENT_EVENT, RULE_TRACE, Audit
-from verdigris.plans.lowering import TEMPORARY, Lowering, column, outcome
+from verdigris.plans.lowering import TEMPORARY, Lowering, as_column, column, outcome
+from verdigris.plans.simple_sql import sql_literal
 from verdigris.plans.typing import check_against_schema
 from verdigris.sources.ruleset_export import content_hash
 
@@ -140,10 +141,11 @@ def _decide(df: DataFrame, low: Lowering, prefix: str, fail_on_error: bool, full
     targets = low.typed.targets
     failed: Column | None = None
     if low.first is not None:
-        ids = F.array(*[F.lit(r.rule_id) for r in low.rules])
+        texts = [sql_literal(r.rule_id) for r in low.rules]
+        ids = F.expr(f"array({', '.join(texts)})") if None not in texts else F.array(*[F.lit(r.rule_id) for r in low.rules])
         matched = low.first.isNotNull()
         rule_ids = F.when(matched, F.array(F.coalesce(F.get(ids, low.first), F.lit("")))).otherwise(F.array().cast(_IDS))
-        effective = {k: low.first == k for k in low.lowered}
+        effective = _Equal(low.first)
     else:
         stop = low.stopped_at()
         if stop is not None:
@@ -178,12 +180,16 @@ def _decide(df: DataFrame, low: Lowering, prefix: str, fail_on_error: bool, full
         chain = None
         if low.first is not None and _constants(low, writers):
             values = {k: low.lowered[k].values[i] for k, i in writers}
-            table = F.array(*[values.get(k, F.lit(None).cast(kind)) for k in range(len(low.rules))])
-            flags = F.array(*[F.lit(k in values) for k in range(len(low.rules))])
+            numbers = range(len(low.rules))
+            if all(isinstance(v, str) for v in values.values()):
+                table = F.expr(f"array({', '.join(values.get(k, 'null') for k in numbers)})").cast(T.ArrayType(kind))
+            else:
+                table = F.array(*[as_column(values[k]) if k in values else F.lit(None).cast(kind) for k in numbers])
+            flags = F.expr(f"array({', '.join('true' if k in values else 'false' for k in numbers)})")
             chain = F.struct(F.coalesce(F.get(flags, low.first), F.lit(False)).alias("applied"), F.get(table, low.first).alias("value"))
         else:
             for k, i in writers:
-                part = outcome(True, low.lowered[k].values[i])
+                part = outcome(True, as_column(low.lowered[k].values[i]))
                 chain = F.when(effective[k], part) if chain is None else chain.when(effective[k], part)
             chain = chain.otherwise(nothing)
         parts.append(guarded(chain, nothing).alias(target))
@@ -201,6 +207,16 @@ def _decide(df: DataFrame, low: Lowering, prefix: str, fail_on_error: bool, full
     return df.select("*", *[c.alias(f"{prefix}_{n}") for n, c in fields.items()])
 
 
+class _Equal:
+    """Rule k took effect where the first match is k; built only where it is asked for."""
+
+    def __init__(self, first: Column):
+        self.first = first
+
+    def __getitem__(self, k: int) -> Column:
+        return self.first == k
+
+
 def _constants(low: Lowering, writers: list[tuple[int, int]]) -> bool:
     """Whether all values of a target are literals, so that a lookup by rule number gives them."""
     from verdigris.model import Literal

@@ -22,10 +22,11 @@ from pyspark.sql import types as T
 from verdigris.functions.compare import compare
 from verdigris.functions.expr import INTEGRAL, WIDE, Val, error, first_error, is_binary, is_integral, is_number, is_temporal, is_text, is_time, literal, not_finite, number, shown, text, trace_text
 from verdigris.functions.registry import FunctionRegistry
-from verdigris.functions.standard import EXACT_ARGUMENTS, Unsupported, exact
+from verdigris.functions.standard import EXACT_ARGUMENTS, STEPS, Unsupported, exact
 from verdigris.functions.udf import guarded_udf
 from verdigris.model import OPERANDS, Assignment, AssignedRef, Call, Condition, FieldRef, Group, Literal, Rule, all_operands, rule_operands
 from verdigris.plans.describe import assignment_text, condition_text
+from verdigris.plans.simple_sql import assigned_sql, group_sql
 from verdigris.plans.typing import TypedRuleset
 
 TEMPORARY = "__verdigris_"
@@ -35,6 +36,11 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def as_column(x: Column | str) -> Column:
+    """A column, given as such or as SQL text."""
+    return F.expr(x) if isinstance(x, str) else x
+
+
 def coerce(v: Val, t: T.DataType) -> tuple[Column, Column | None]:
     """The value as it is stored in a target of type ``t``, and why it can't be."""
     if v.type is None and isinstance(t, T.ArrayType) and v.items is not None:
@@ -102,12 +108,26 @@ def coerce(v: Val, t: T.DataType) -> tuple[Column, Column | None]:
     return v.col.cast(t), None
 
 
+def unfused(name: str) -> Column:
+    """Always null, and never part of whole-stage code.
+
+    A projection of very many expressions becomes one method too long for the JIT when it is fused with its
+    neighbours; on its own, its code is split into short methods. An expression that has no generated
+    code, here a filter over an array made from the column ``name``, keeps the projection apart.
+    """
+    return F.get(F.filter(F.array(column(name).isNull().cast("int")), lambda x: x > 1), F.lit(0))
+
+
+#: Conditions of one layer from which its projection is kept out of whole-stage code.
+WIDE_LAYER = 40
+
+
 @dataclass
 class LoweredRule:
     rule: Rule
-    match: Column  # never null
+    match: Column | str  # never null
     error: Column | None
-    values: list[Column]
+    values: list[Column | str]  # SQL text where that is enough
     passes: dict[int, tuple[Column, Column]] | None = None  # by id of the condition: (comparison, passed)
 
 
@@ -208,11 +228,16 @@ class Lowering:
             depth = max((self._depth(v) for v in bound.values()), default=0)
             try:
                 own = {name: self._exact_column(name, v, depth) if name in EXACT_ARGUMENTS.get(op.function, ()) and self._is_standard(op) else v for name, v in args.items()}
-                out = native(**own)
+                named = any(own[n] is not args[n] for n in args)
+                if self._is_standard(op) and op.function in STEPS:
+                    first = depth + named
+                    out = native(**own, bind=lambda level, col: self._named(col, first + level))
+                    named += STEPS[op.function]
+                else:
+                    out = native(**own)
             except Unsupported:
                 out = None
-            if out is not None and (out.check is not None or any(own[n] is not args[n] for n in args)):
-                named = any(own[n] is not args[n] for n in args)
+            if out is not None and (out.check is not None or named):
                 value = self._named(out.col, depth + named)
                 self._python_depth[id(op)] = depth + named + 1
                 out = Val(value, out.type, first_error(out.err, out.check(value) if out.check else None))
@@ -281,19 +306,29 @@ class Lowering:
             return F.lit(group.logic == "all"), errors
         return reduce(py.and_ if group.logic == "all" else py.or_, parts), errors
 
-    def rule(self, k: int) -> LoweredRule:
+    def rule(self, k: int, apart: Column | None = None) -> LoweredRule:
         rule, passes = self.rules[k], {}
-        result, errors = self.group(rule.when, k, passes)
-        match = F.coalesce(result, F.lit(False))
+        plain = None if self.full_audit else group_sql(rule.when, self.typed.source)
+        if plain is not None:
+            match: Column | str = f"coalesce({plain}, false)"
+            errors = []
+            if apart is not None:
+                match = F.coalesce(F.expr(plain), apart > 0, F.lit(False))
+        else:
+            result, errors = self.group(rule.when, k, passes)
+            match = F.coalesce(result, *([apart > 0] if apart is not None else []), F.lit(False))
         values = []
         for a in rule.assignments:
+            if (text_value := assigned_sql(a.value, self.typed.targets.get(a.target))) is not None:
+                values.append(text_value)
+                continue
             v = self.operand(a.value, k)
             t = self.typed.targets.get(a.target, T.StringType())
             stored, bad = coerce(v, t)
             values.append(stored.cast(t) if v.type is None else stored)
             failed = first_error(v.err, bad)
             if failed is not None:
-                errors.append(F.when(match, failed))
+                errors.append(F.when(as_column(match), failed))
         return LoweredRule(rule, match, first_error(*errors), values, passes)
 
     # ---- layers
@@ -319,16 +354,17 @@ class Lowering:
         for members in strata:
             self.udfs = []
             made = []
+            apart = (self.full_audit or self._conditions(members) >= WIDE_LAYER) and bool(df.columns)
             for k in members:
-                low = self.lowered.get(k) or self.rule(k)
+                low = self.rule(k, unfused(df.columns[0]) if apart and k == members[0] else None)
                 self.lowered[k] = low
-                made.append(low.match.alias(f"{TEMPORARY}m{k}"))
+                made.append(as_column(low.match).alias(f"{TEMPORARY}m{k}"))
                 if low.error is not None:
                     made.append(low.error.alias(f"{TEMPORARY}e{k}"))
                     low.error = F.col(f"{TEMPORARY}e{k}")
                 for i, a in enumerate(low.rule.assignments):
                     if a.target in later or self.full_audit:
-                        made.append(low.values[i].alias(f"{TEMPORARY}v{k}_{i}"))
+                        made.append(as_column(low.values[i]).alias(f"{TEMPORARY}v{k}_{i}"))
                         low.values[i] = F.col(f"{TEMPORARY}v{k}_{i}")
                 low.match = F.col(f"{TEMPORARY}m{k}")
             for layer in self.udfs:
@@ -347,13 +383,23 @@ class Lowering:
         if self.udfs or any(low.error is not None for low in lowered):
             return False
         # chunks keep each generated method small
-        chunks = [F.coalesce(*[F.when(low.match, F.lit(k + i)) for i, low in enumerate(lowered[k : k + 20])]) for k in range(0, len(lowered), 20)]
-        self._attached = df.select("*", F.coalesce(*chunks).alias(f"{TEMPORARY}first"))
+        chunks = []
+        for low in range(0, len(lowered), 20):
+            part = list(enumerate(lowered[low : low + 20], low))
+            if all(isinstance(r.match, str) for _, r in part):
+                chunks.append(F.expr("coalesce(" + ", ".join(f"CASE WHEN {r.match} THEN {k} END" for k, r in part) + ")"))
+            else:
+                chunks.append(F.coalesce(*[F.when(as_column(r.match), F.lit(k)) for k, r in part]))
+        wide = self._conditions(range(len(lowered))) >= WIDE_LAYER and bool(df.columns)
+        self._attached = df.select("*", F.coalesce(*chunks, *([unfused(df.columns[0])] if wide else [])).alias(f"{TEMPORARY}first"))
         self.first = F.col(f"{TEMPORARY}first")
         return True
 
     first: Column | None = None
 
+    def _conditions(self, members) -> int:
+        return sum(1 for k in members for _ in self.rules[k].when.walk())
+
     # ---- results
 
     def stopped_at(self) -> Column | None:
