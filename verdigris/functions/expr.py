@@ -230,7 +230,9 @@ def shown(v: Val) -> Column:
     """``repr(value)``."""
     t, x = v.type, v.col
     if is_text(t):
-        slashed = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+        slashed = x
+        for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            slashed = F.replace(slashed, F.lit(plain), F.lit(escaped))
         quote = F.when(F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"')), '"').otherwise("'")
         return F.when(x.isNotNull(), F.concat(quote, slashed, quote))
     if isinstance(t, T.DecimalType):

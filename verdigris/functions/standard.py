@@ -446,7 +446,7 @@ def _fitted(out: Column, known: Column, args: tuple[Val, ...], *errors: Column |
 
 def _lossless(x: Column, precision: int, scale: int) -> Column:
     narrow = x.try_cast(T.DecimalType(precision, scale))
-    return F.when(narrow == x, narrow)
+    return F.when(narrow.try_cast(WIDE) == x.try_cast(WIDE), narrow)  # compared in one type: a common one may round
 
 
 def _two(left: Val, right: Val, names: tuple[str, str], combine: Callable[[Column, Column], Column]) -> Val:
