@@ -165,6 +165,7 @@ def literal(value: Any, wanted=None) -> Val:
 
 
 def _binary_text(x: Column) -> Column:
+    """Python's shortest form from Java's; before Java 19 a few numbers, such as 5e-324, come with a digit more."""
     raw = x.cast("string")
     sign = F.when(raw.startswith("-"), "-").otherwise("")
     body = F.regexp_replace(raw, "^-", "")
@@ -207,6 +208,8 @@ def _time_text(x: Column, between: str) -> Column:
 def text(v: Val) -> Column:
     """``str(value)``; null stays null."""
     t, x = v.type, v.col
+    if v.is_literal and isinstance(v.value, Decimal):
+        return F.lit(str(v.value))  # with the zeros it was written with
     if t is None:
         return F.lit(None).cast("string")
     if is_text(t):
@@ -236,7 +239,7 @@ def shown(v: Val) -> Column:
         quote = F.when(F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"')), '"').otherwise("'")
         return F.when(x.isNotNull(), F.concat(quote, slashed, quote))
     if isinstance(t, T.DecimalType):
-        return F.concat(F.lit("Decimal('"), text(v), F.lit("')"))
+        return F.concat(F.lit("Decimal('"), text(v), F.lit("')"))  # text keeps a literal's zeros
     if isinstance(t, T.DateType):
         return F.concat(F.lit("datetime.date("), F.concat_ws(", ", F.year(x).cast("string"), F.month(x).cast("string"), F.dayofmonth(x).cast("string")), F.lit(")"))
     return text(v)
@@ -245,6 +248,8 @@ def shown(v: Val) -> Column:
 def trace_text(v: Val) -> Column:
     """Text as it stands in assignments to text and in audit columns: ISO times, plain decimals, ``k=v`` mappings."""
     t, x = v.type, v.col
+    if v.is_literal and isinstance(v.value, Decimal):
+        return F.lit(format(v.value, "f"))
     if isinstance(t, T.DecimalType):
         return plain_decimal(x)
     if is_time(t):

@@ -230,8 +230,8 @@ def scalar_text(v: Val) -> Column | None:
 
 
 def _join(values, separator, skip_nulls):
-    if values.items is not None and values.type is None and any(i.value is not None for i in values.items):
-        items = values.items  # operands of several types
+    if values.items is not None and any(not i.is_literal or i.value is not None for i in values.items):
+        items = values.items  # each in its own type
         if any(scalar_text(i) is None for i in items):
             raise Unsupported
         listed = F.array(*[scalar_text(i).cast("string") for i in items])
@@ -243,7 +243,7 @@ def _join(values, separator, skip_nulls):
             raise Unsupported
         listed = F.transform(listed_val.col, lambda x: scalar_text(Val(x, inner)))
         present = listed_val.col.isNotNull()
-    joined = F.array_join(listed, separator.col) if not separator.is_literal else F.array_join(listed, separator.value)
+    joined = F.call_function("array_join", listed, separator.col)
     out = joined if skip_nulls.value else F.when(~F.exists(listed, lambda x: x.isNull()), joined)
     return _val(F.when(present, out), STRING, (values, separator), bad)
 
