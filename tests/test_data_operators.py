@@ -102,6 +102,8 @@ def test_shred_edges(spark):
     rules = shred.entity_table(shred.adjacency(df, ["id"], "doc"), ["id"], "rule", {"rule_id": "string", "rule_order": "int"}).filter("id = 'a'").collect()
     assert {(r.node_path, r.ordinal, r.rule_id, r.rule_order) for r in rules} == {("rules/1", 1, "r1", 2), ("rules/2", 2, None, None)}
     assert shred.entity_links(df.limit(0), ["id"], "doc").count() == 0
+    with pytest.raises(ValueError):
+        shred.adjacency(df, ["label"], "doc")
 
 
 def test_adjacency_holds_every_node_and_can_be_put_together_again(spark):
@@ -181,10 +183,9 @@ def test_orphans_split_gives_what_one_join_gives(spark):
     refs = spark.createDataFrame([("hot", day(d), d) for d in range(1, 20)] + [("x", day(3), 0), ("y", day(3), 0), ("z", day(3), 0), ("z", None, 1), ("q", None, 1), (None, day(1), 0), ("y", day(3), 0)], "key string, period timestamp_ntz, valid_from int")
     intervals = orphans.validity(history, "name", "kind", "at", ["registered", "reactivated"], "change_id")
     always, listed = orphans.present_keys(history, registry, "name", "active")
-    refs = refs.withColumnRenamed("valid_from", "owner")
     want = {("hot", d) for d in range(1, 5)} | {("x", 0), ("z", 0), ("q", 1)}
     for share in (0.01, 0.5, 1.0):
-        got = [(r.key, r.owner) for r in orphans.orphans(refs, intervals, always, listed, share).collect()]
+        got = [(r.key, r.valid_from) for r in orphans.orphans(refs, intervals, always, listed, share).collect()]
         assert sorted(got) == sorted(want)
     assert orphans.orphans(refs.limit(0), intervals, always, listed).count() == 0
     assert orphans.orphans(refs, intervals.limit(0), always.limit(0), listed.limit(0)).count() == 24

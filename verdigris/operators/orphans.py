@@ -80,9 +80,12 @@ def orphans(refs: DataFrame, intervals: DataFrame, always: DataFrame, listed: Da
     small = bool(heavy) and hot_rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def without(left: DataFrame, right: DataFrame) -> DataFrame:
-        r = right.select(F.col("key").alias("r_key"), "valid_from", "valid_to", "untimed")
-        timed = F.col("period").isNotNull() & ~F.col("untimed") & F.coalesce(F.col("valid_from") <= F.col("period"), F.col("valid_from").isNull()) & F.coalesce(F.col("valid_to") > F.col("period"), F.col("valid_to").isNull())
-        return left.join(r, (F.col("key") == F.col("r_key")) & (timed | (F.col("period").isNull() & F.col("untimed"))), "left_anti")
+        names = {"key": "__key", "valid_from": "__from", "valid_to": "__to", "untimed": "__untimed"}  # owner columns may have any other name
+        r = right.select(*[F.col(n).alias(a) for n, a in names.items()])
+        started = F.col("__from").isNull() | (F.col("__from") <= F.col("period"))
+        running = F.col("__to").isNull() | (F.col("__to") > F.col("period"))
+        timed = F.col("period").isNotNull() & ~F.col("__untimed") & started & running
+        return left.join(r, (F.col("key") == F.col("__key")) & (timed | (F.col("period").isNull() & F.col("__untimed"))), "left_anti")
 
     if not small:
         return without(refs, open_rows)

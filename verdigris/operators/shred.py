@@ -134,10 +134,12 @@ def adjacency(df: DataFrame, keys: list[str], payload: str, grammar: Callable =
     """One row per node of every readable document, in one pass without a shuffle.
 
     Unreadable, empty and null documents give no rows; documents delivered again give their nodes again
-    (the entity tables below count copies once). Null members are nodes of kind ``null`` and no entities.
+    (the entity tables below count copies once). A key named like a column of the adjacency table is an error. Null members are nodes of kind ``null`` and no entities.
     Columns of ``df`` other than ``keys`` and ``payload`` are not read. ``entities_only`` leaves out the
     nodes that no entity column needs.
     """
+    if clash := set(keys) & set(NODE_FIELDS.fieldNames()):
+        raise ValueError(f"key columns have names of the adjacency table: {sorted(clash)}")
     bounded_batches(df.sparkSession, 256)
     schema = T.StructType([*(df.select(*[F.col(f"`{k}`") for k in keys]).schema.fields), *NODE_FIELDS.fields])
     arrow = pa.schema([pa.field(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in NODE_FIELDS.fields])

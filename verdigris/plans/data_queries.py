@@ -86,7 +86,17 @@ g as (select field_name, rule_id, count(*) n_records, sum(c::int)::bigint n_chan
 f as (select *, (sum(n_records) over (partition by field_name))::bigint total_records from g)
 """
 
+_P2 = """
+with o as (select distinct ruleset_id, version, case when json_valid(payload_json) then
+             case when json_type(payload_json) = 'VARCHAR' then payload_json::json ->> '$' else payload_json end end p from ruleset_versions),
+r as (select ruleset_id, version, p, unnest(generate_series(0, json_array_length(p, '$.rules')::int - 1)) i from o where json_valid(p)),
+j as (select ruleset_id, version, i, json_extract(p, '$.rules[' || i || ']') rule from r)
+"""
 SQL = {
+    "p2_rules": _P2
+    + """select distinct ruleset_id, version, 'rules/' || i node_path, '' parent_path, i::int ordinal, rule ->> '$.rule_id' rule_id, rule ->> '$.rule_name' rule_name,
+         cast(rule ->> '$.rule_order' as bigint) rule_order, cast(rule ->> '$.active_flag' as boolean) active_flag, cast(rule ->> '$.stop_on_match' as boolean) stop_on_match,
+         rule ->> '$.description' description from j where json_type(rule) = 'OBJECT'""",
     "p4_found": _P4 + "select field_name, rule_id from f where n_records * 50 >= total_records",
     "p4_figures": _P4 + "select * from f",
 }

@@ -52,6 +52,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Remove all written tables now, for sessions that live long; DataFrames that read them can't run any more."""
+    _remove_written()
+    _WRITTEN.clear()
+
+
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
         try:
