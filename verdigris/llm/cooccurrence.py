@@ -138,6 +138,9 @@ def _exact_log_tail(counts: np.ndarray, q: np.ndarray, n_baskets: np.ndarray) ->
 
 def _test_pairs(null: pa.Table, pairs: pa.Table) -> pa.Table:
     """Expected count and tail of the pairs of one group (or of a slice of them)."""
+    if not pairs.num_rows:  # a group without pairs to test needs no fit
+        columns = {"group_key": pa.string(), "item_a": pa.string(), "item_b": pa.string(), **dict.fromkeys(("n_ab", "n_a", "n_b", "n", "n_items"), pa.int64()), **dict.fromkeys(("expected", "log_p"), pa.float64())}
+        return pa.schema(list(columns.items())).empty_table()
     kind = null.column("kind").combine_chunks()
     level, n_level = (null.column(c).to_numpy() for c in ("level", "n"))
     is_size = np.array(kind.to_pylist()) == "size"
@@ -183,8 +186,11 @@ def surprising_pairs(df: DataFrame, record: str, group: str | None, items: str,
     still counted as tests. An empty table gives no rows.
     """
     sizes, counted = pair_counts(df, record, group, items)
-    counted = materialise(counted, "pair-counts")
-    sizes = materialise(sizes, "basket-sizes")
+    # written as one table, so that both counts come from one pass over the baskets; size rows have no first item
+    marked = sizes.select("group_key", F.lit(None).cast("string").alias("item_a"), F.col("level").cast("string").alias("item_b"), F.col("n").alias("n_ab"))
+    kept = materialise(counted.unionByName(marked), "pair-counts")
+    counted = kept.filter("item_a is not null")
+    sizes = kept.filter("item_a is null").select("group_key", F.col("item_b").cast("bigint").alias("level"), F.col("n_ab").alias("n"))
     own = counted.filter("item_a = item_b").select("group_key", F.col("item_a").alias("item"), F.col("n_ab").alias("n_item"))
     degrees = own.groupBy("group_key", F.col("n_item").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     null = sizes.select("group_key", F.lit("size").alias("kind"), F.col("level").cast("bigint").alias("level"), "n").unionByName(degrees.select("group_key", F.lit("degree").alias("kind"), "level", "n"))
@@ -198,6 +204,7 @@ def surprising_pairs(df: DataFrame, record: str, group: str | None, items: str,
     null = null.join(repeats, "group_key")
     schema = "group_key string, item_a string, item_b string, n_ab bigint, n_a bigint, n_b bigint, n bigint, n_items bigint, expected double, log_p double"
 
+    null = null.toDF(*null.columns)  # columns of its own: both sides come from one table
     tested = null.groupBy("group_key", "slice").cogroup(together.groupBy("group_key", "slice")).applyInArrow(_test_pairs, schema)
     return with_false_discovery(tested).withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b")))
 
