@@ -26,6 +26,8 @@ from verdigris.sources.ruleset_export import content_hash
 COMPACT_FIELDS = ("error", "matched", "matched_rule_ids", "assign")
 AUDIT_FIELDS = ("matched_rules", "assignment_results")
 IDENTITY_FIELDS = ("ruleset", "engine_version")
+#: Fixed value: the start of the message with which a failed row raises.
+FAILURE = "Rules engine row evaluation failed with "
 _IDS = T.ArrayType(T.StringType(), False)
 
 
@@ -167,7 +169,7 @@ def _decide(df: DataFrame, low: Lowering, prefix: str, fail_on_error: bool, full
     if failed is not None:
         fine = failed.isNull()
         if fail_on_error:
-            message = F.concat(F.lit("Rules engine row evaluation failed with "), failed)
+            message = F.concat(F.lit(FAILURE), failed)
             fine = F.when(failed.isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
 
     def guarded(value: Column, otherwise: Column) -> Column:
