@@ -182,6 +182,48 @@ def test_leak_edges(spark):
     assert leakage.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "item_text").count() == 0
 
 
+def brute_tolerant(docs, items):
+    """(doc, item) -> (exact words, tolerant words), by comparing every own window with every place of the document."""
+    form = lookalike.Rewriter()
+    rows = [(i, leakage.words(t, form)) for i, t in items]
+    owners = defaultdict(set)
+    for i, ws in rows:
+        for j in range(len(ws) - 7):
+            owners[tuple(ws[j : j + 8])].add(i)
+    out = {}
+    for d, text in docs:
+        theirs = leakage.words(text, form)
+        for i, mine in rows:
+            own = [j for j in range(len(mine) - 7) if len(owners[tuple(mine[j : j + 8])]) == 1]
+            shifts = {at - j for j in own for at in range(len(theirs) - 7) for mask in leakage.MASKS if all(bit == "0" or mine[j + k] == theirs[at + k] for k, bit in enumerate(mask))}
+            exact, tolerant = set(), set()
+            for shift in shifts:
+                equal = {j for j in range(len(mine)) if 0 <= j + shift < len(theirs) and mine[j] == theirs[j + shift]}
+                exact |= {k for j in own for k in range(j, j + 8) if set(range(j, j + 8)) <= equal}
+                for j in range(len(mine) - 11):
+                    if any(j <= o <= j + 4 for o in own) and len(equal & set(range(j, j + 12))) >= 10:
+                        tolerant |= equal & set(range(j, j + 12))
+            if exact | tolerant:
+                out[d, i] = (len(exact), len(exact | tolerant))
+    return out
+
+
+def siblings():
+    """Items of one template, and documents that hold them with the telling words substituted."""
+    words = [f"w{i}" for i in range(40)]
+    vary = lambda **other: " ".join(other.get(w, w) for w in words)
+    items = [(1, vary(w15="red")), (2, vary(w15="green")), (3, vary(w15="green", w24="blue")), (4, vary(w18="red", w21="blue")), (5, " ".join(f"v{i}" for i in range(25)))]
+    docs = [(10, vary(w15="zz")), (11, vary(w15="zz", w24="zz")), (12, "a b " + vary(w18="zz", w21="zz") + " c"), (13, vary(w15="red")), (14, items[4][1]), (15, vary(w9="zz", w12="zz", w15="zz", w20="zz"))]
+    return docs, items
+
+
+def test_siblings_do_not_hide_each_other(spark):
+    docs, items = siblings()
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    got = {(r.doc_id, r.item_id): (r.exact_words, r.tolerant_words) for r in leakage.leaks(frames[0], "doc_id", "text", frames[1], "item_id", "item_text").collect()}
+    assert got == brute_tolerant(docs, items) and {(10, 1), (10, 3), (10, 4)} <= set(got)
+
+
 # ---- problem 8
 
 

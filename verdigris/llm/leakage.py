@@ -3,8 +3,8 @@
 Words are compared in the consistent form of look-alike characters and in lower case. Fixed masks of eight words
 ignore some positions; the masked windows of items and documents are hashed and joined, and every
 hit is verified along its diagonal: exact runs of eight or more words, and windows that agree but for a few
-substituted words. Windows that occur in two or more items, masked or whole, seed nothing; whole ones
-count nothing.
+substituted words. Windows that occur in two or more items seed nothing and count nothing; a window of one item
+seeds under every mask, also where its masked form occurs in other items.
 """
 
 from __future__ import annotations
@@ -77,18 +77,14 @@ class ItemIndex:
             for key in {tuple(ws[j : j + RUN]) for j in range(len(ws) - RUN + 1)}:
                 owners[key] = at if key not in owners else -1
         self.own = [np.array([owners[tuple(ws[j : j + RUN])] == at for j in range(len(ws) - RUN + 1)], bool) for at, ws in enumerate(self.words)]
+        places = [np.flatnonzero(own) for own in self.own]
+        owner = np.repeat(np.arange(len(items)), [len(p) for p in places])
+        p = np.concatenate([np.zeros(0, np.int64), *places])
         self.seeds = []
         for mask in MASKS:
-            hashes = [seed_hashes(ws, mask) for ws in self.words]
-            owner = np.repeat(np.arange(len(items)), [len(x) for x in hashes])
-            h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-            p = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in hashes]])
+            h = np.concatenate([np.zeros(0, np.uint64), *[seed_hashes(ws, mask)[own] for ws, own in zip(self.words, self.own, strict=True)]])
             order = np.argsort(h, kind="stable")
-            h, owner, p = h[order], owner[order], p[order]
-            start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            several = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start) if len(h) else np.zeros(0, bool)
-            single = ~np.repeat(several, np.diff(np.append(start, len(h))))
-            self.seeds.append((mask, h[single], owner[single], p[single]))
+            self.seeds.append((mask, h[order], owner[order], p[order]))
 
     def encode(self, document: list[str]) -> np.ndarray:
         look = self.vocabulary.get
@@ -193,17 +189,18 @@ def _joined_leaks(documents: DataFrame, held_out: DataFrame, form: Rewriter) ->
         for batch in batches:
             for at in range(batch.num_rows):
                 ids = _word_hashes(batch.column(1)[at].as_py(), form)
-                n = max(0, len(ids) - RUN + 1)
+                full = seed_hashes(ids, "1" * RUN)
+                n = len(full)
                 for number, mask in enumerate(MASKS):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(0)[at].as_py()] * n, pa.int64()), pa.array([number] * n, pa.int32()), pa.array(seed_hashes(ids, mask).view(np.int64)), pa.array(np.arange(n, dtype=np.int32))],
-                        names=["id", "mask", "seed", "place"],
+                        [pa.array([batch.column(0)[at].as_py()] * n, pa.int64()), pa.array([number] * n, pa.int32()), pa.array(seed_hashes(ids, mask).view(np.int64)), pa.array(full.view(np.int64)), pa.array(np.arange(n, dtype=np.int32))],
+                        names=["id", "mask", "seed", "full", "place"],
                     )
 
-    schema = "id bigint, mask int, seed bigint, place int"
+    schema = "id bigint, mask int, seed bigint, full bigint, place int"
     own = materialise(held_out.mapInArrow(windows, schema), "item-windows")
-    once = own.groupBy("mask", "seed").agg(F.count_distinct("id").alias("n")).filter("n = 1").select("mask", "seed")
-    own = materialise(own.join(once, ["mask", "seed"], "left_semi"), "own-windows")
+    once = own.groupBy("full").agg(F.count_distinct("id").alias("n")).filter("n = 1").select("full")
+    own = materialise(own.join(once, "full", "left_semi"), "own-windows")
     seeds = own.select("mask", "seed", F.col("id").alias("item_id")).distinct()
     theirs = documents.mapInArrow(windows, schema).select("mask", "seed", F.col("id").alias("doc_id"))
     pairs = theirs.join(seeds, ["mask", "seed"]).select("doc_id", "item_id").distinct()
