@@ -224,6 +224,21 @@ def test_siblings_do_not_hide_each_other(spark):
     assert got == brute_tolerant(docs, items) and {(10, 1), (10, 3), (10, 4)} <= set(got)
 
 
+def test_both_ways_give_the_same(spark, data):
+    docs, items = siblings()
+    items += [(5, items[4][1].upper().replace(" ", ",\n")), (6, "u0 u1 u2 u3 u4 u5 u6 u7 u8 u9"), (6, "t0 t1 u0 u1 u2 u3 u4 u5 u6 u7")]
+    docs += [(16, "u0 u1 u2 u3 u4 u5 u6 u7")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    want = brute_tolerant(docs, items)
+    assert want[14, 5] == (25, 25) and want[16, 6] == (8, 8)
+    for limit in (leakage.BROADCAST_WORDS, 0):
+        got = [(r.doc_id, r.item_id, (r.exact_words, r.tolerant_words)) for r in leakage.leaks(frames[0], "doc_id", "text", frames[1], "item_id", "item_text", limit).collect()]
+        assert sorted(got) == sorted((*k, v) for k, v in want.items())
+    frames = queries.table(spark, data, "documents"), queries.table(spark, data, "eval_items")
+    one, other = (sorted(tuple(r) for r in leakage.leaks(frames[0], "doc_id", "text", frames[1], "item_id", "item_text", limit).collect()) for limit in (leakage.BROADCAST_WORDS, 0))
+    assert one == other and any(r[3] > r[2] for r in one)
+
+
 # ---- problem 8
 
 

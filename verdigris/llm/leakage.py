@@ -56,27 +56,31 @@ def covered(equal: np.ndarray, allowed: np.ndarray, window: int, least: int) ->
     """Positions of ``equal`` that agree inside a window with ``least`` agreements that starts at an allowed position."""
     if len(equal) < window:
         return np.zeros(len(equal), bool)
-    sums = np.convolve(equal.astype(np.int64), np.ones(window, np.int64), "valid")
+    total = np.concatenate([[0], np.cumsum(equal)])
+    sums = total[window:] - total[:-window]
     starts = (sums >= least) & allowed[: len(sums)]
     inside = np.zeros(len(equal) + 1, np.int64)
     at = np.flatnonzero(starts)
-    np.add.at(inside, at, 1)
-    np.add.at(inside, at + window, -1)
+    inside[at] += 1
+    inside[at + window] -= 1
     return (np.cumsum(inside[:-1]) > 0) & equal
 
 
 class ItemIndex:
-    """The seeds of all items, sorted by hash."""
+    """The seeds of all items, sorted by hash.
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    ``items`` has a row per text; rows of one item id own their windows together. ``own`` tells which windows are
+    their item's own where other items than these count too.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str]]], own: list[np.ndarray] | None = None):
         self.ids = [i for i, _ in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for _, ws in items]
-        owners: dict[tuple, int] = {}
-        for at, ws in enumerate(self.words):
-            for key in {tuple(ws[j : j + RUN]) for j in range(len(ws) - RUN + 1)}:
-                owners[key] = at if key not in owners else -1
-        self.own = [np.array([owners[tuple(ws[j : j + RUN])] == at for j in range(len(ws) - RUN + 1)], bool) for at, ws in enumerate(self.words)]
+        self.own = own if own is not None else self._own()
+        # places where a run may start, and those where a tolerant window holds an own window somewhere in it
+        self.starts = [np.concatenate([own, np.zeros(len(ws) - len(own), bool)]) for ws, own in zip(self.words, self.own, strict=True)]
+        self.near = [np.convolve(starts, np.ones(TOLERANT_WINDOW - RUN + 1), "full")[TOLERANT_WINDOW - RUN :] > 0 if len(starts) else starts for starts in self.starts]
         places = [np.flatnonzero(own) for own in self.own]
         owner = np.repeat(np.arange(len(items)), [len(p) for p in places])
         p = np.concatenate([np.zeros(0, np.int64), *places])
@@ -86,6 +90,16 @@ class ItemIndex:
             order = np.argsort(h, kind="stable")
             self.seeds.append((mask, h[order], owner[order], p[order]))
 
+    def _own(self) -> list[np.ndarray]:
+        """Which windows of every row occur in no other item."""
+        keys = [[tuple(ws[j : j + RUN]) for j in range(len(ws) - RUN + 1)] for ws in (w.tolist() for w in self.words)]
+        owners: dict[tuple, int | None] = {}
+        for item, mine in zip(self.ids, keys, strict=True):
+            for key in set(mine):
+                if owners.setdefault(key, item) != item:
+                    owners[key] = None
+        return [np.array([owners[key] is not None for key in mine], bool) for mine in keys]
+
     def encode(self, document: list[str]) -> np.ndarray:
         look = self.vocabulary.get
         return np.fromiter((look(w, 0) for w in document), np.int64, len(document))
@@ -134,15 +148,12 @@ class ItemIndex:
         exact: dict[int, np.ndarray] = {}
         tolerant: dict[int, np.ndarray] = {}
         for item, shift in diagonals.tolist():
-            ws, own = self.words[item], self.own[item]
+            ws = self.words[item]
             low, high = max(0, -shift), min(len(ws), len(ids) - shift)
             equal = np.zeros(len(ws), bool)
             equal[low:high] = ws[low:high] == ids[low + shift : high + shift]
-            starts = np.concatenate([own, np.zeros(len(ws) - len(own), bool)])
-            # a tolerant window must hold an own window of the item somewhere in it
-            near = np.convolve(starts, np.ones(TOLERANT_WINDOW - RUN + 1), "full")[TOLERANT_WINDOW - RUN :] > 0
-            exact[item] = exact.get(item, False) | covered(equal, starts, RUN, RUN)
-            tolerant[item] = tolerant.get(item, False) | covered(equal, near, TOLERANT_WINDOW, TOLERANT_HITS)
+            exact[item] = exact.get(item, False) | covered(equal, self.starts[item], RUN, RUN)
+            tolerant[item] = tolerant.get(item, False) | covered(equal, self.near[item], TOLERANT_WINDOW, TOLERANT_HITS)
         return [(self.ids[i], int(exact[i].sum()), int((exact[i] | tolerant[i]).sum())) for i in exact]
 
 
@@ -182,8 +193,10 @@ def _word_hashes(text: str | None, form: Rewriter) -> np.ndarray:
 def _joined_leaks(documents: DataFrame, held_out: DataFrame, form: Rewriter) -> DataFrame:
     """The same for item sets too large for every task: seeds meet in a shuffle join, candidates are verified in pairs.
 
-    Words are 63-bit hashes here. Whether a window is an item's own is counted over all items first.
+    Words are 63-bit hashes here. Whether a window is an item's own is counted over all items first. An item's
+    texts are rows of their own, for an id delivered with several texts has different windows in each.
     """
+    held_out = materialise(held_out.withColumn("text_row", F.monotonically_increasing_id()), "item-texts")
 
     def windows(batches):
         for batch in batches:
@@ -198,24 +211,24 @@ def _joined_leaks(documents: DataFrame, held_out: DataFrame, form: Rewriter) ->
                     )
 
     schema = "id bigint, mask int, seed bigint, full bigint, place int"
-    own = materialise(held_out.mapInArrow(windows, schema), "item-windows")
-    once = own.groupBy("full").agg(F.count_distinct("id").alias("n")).filter("n = 1").select("full")
+    own = materialise(held_out.select("text_row", "item_text").mapInArrow(windows, schema), "item-windows")
+    owners = held_out.select(F.col("text_row").alias("id"), "item_id")
+    once = own.filter("mask = 0").join(owners, "id").groupBy("full").agg(F.count_distinct("item_id").alias("n")).filter("n = 1").select("full")
     own = materialise(own.join(once, "full", "left_semi"), "own-windows")
-    seeds = own.select("mask", "seed", F.col("id").alias("item_id")).distinct()
+    seeds = own.select("mask", "seed", F.col("id").alias("text_row")).distinct()
     theirs = documents.mapInArrow(windows, schema).select("mask", "seed", F.col("id").alias("doc_id"))
-    pairs = theirs.join(seeds, ["mask", "seed"]).select("doc_id", "item_id").distinct()
-    places = own.filter("mask = 0").groupBy("id").agg(F.collect_list("place").alias("places")).withColumnRenamed("id", "item_id")  # one item's windows
-    joined = pairs.join(documents, "doc_id").join(held_out, "item_id").join(places, "item_id").select("doc_id", "item_id", "text", "item_text", "places")
+    pairs = theirs.join(seeds, ["mask", "seed"]).select("doc_id", "text_row").distinct()
+    places = own.filter("mask = 0").groupBy("id").agg(F.collect_list("place").alias("places")).withColumnRenamed("id", "text_row")  # one text's windows
+    joined = pairs.join(documents, "doc_id").join(held_out, "text_row").join(places, "text_row").select("doc_id", "item_id", "text", "item_text", "places")
 
     def verify(frames):
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                index = ItemIndex([(row.item_id, words(row.item_text, form))])
-                mine = np.zeros(len(index.own[0]), bool)
-                mine[np.asarray(row.places, int)] = True
-                index.own[0] &= False
-                index.own[0] |= mine
+                item_words = words(row.item_text, form)
+                own = np.zeros(max(0, len(item_words) - RUN + 1), bool)
+                own[np.asarray(row.places, int)] = True
+                index = ItemIndex([(row.item_id, item_words)], [own])
                 out += [(row.doc_id, *r) for _, *r in index.search([index.encode(words(row.text, form))])]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "exact_words", "tolerant_words"])
 
