@@ -224,6 +224,17 @@ def test_siblings_do_not_hide_each_other(spark):
     assert got == brute_tolerant(docs, items) and {(10, 1), (10, 3), (10, 4)} <= set(got)
 
 
+def test_spaced_masks_alone_find_every_exact_run():
+    assert all("0" in mask for mask in leakage.MASKS)
+    items = [(i, t.split()) for i, t in siblings()[1]]
+    index = leakage.ItemIndex(items)
+    for at, (_, ws) in enumerate(items):
+        for j in np.flatnonzero(index.own[at]).tolist():
+            ids = index.encode(["x", *ws[j : j + leakage.RUN], "y"])
+            assert (at, 1 - j) in {(item, shift) for item, _, shift in index.hits(ids).tolist()}
+            assert index.verify(ids, np.array([(at, 1 - j)]))[0][1] == leakage.RUN
+
+
 def test_both_ways_give_the_same(spark, data):
     docs, items = siblings()
     items += [(5, items[4][1].upper().replace(" ", ",\n")), (6, "u0 u1 u2 u3 u4 u5 u6 u7 u8 u9"), (6, "t0 t1 u0 u1 u2 u3 u4 u5 u6 u7")]

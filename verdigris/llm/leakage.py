@@ -22,9 +22,9 @@ from verdigris.session import bounded_batches, materialise
 
 #: Words of the shortest run that counts.
 RUN = 8
-#: Seeds over a run's words (1: compared). The first ignores nothing, so that no exact run is missed; the spaced
-#: ones ignore disjoint positions and find runs with substituted words.
-MASKS = ("11111111", "11101101", "10110111")
+#: Spaced seeds over a run's words (1: compared), which ignore disjoint positions and find runs with substituted words.
+#: Each fits in a run and every own window is seeded, so that no exact run is missed.
+MASKS = ("11101101", "10110111")
 #: A tolerant window has this many words, of which at least ``TOLERANT_HITS`` agree in place.
 TOLERANT_WINDOW, TOLERANT_HITS = 12, 10
 #: Items with at most this many words in all go to every task (about 40 bytes each); more are joined by a shuffle.
@@ -59,8 +59,10 @@ def covered(equal: np.ndarray, allowed: np.ndarray, window: int, least: int) ->
     total = np.concatenate([[0], np.cumsum(equal)])
     sums = total[window:] - total[:-window]
     starts = (sums >= least) & allowed[: len(sums)]
-    inside = np.zeros(len(equal) + 1, np.int64)
     at = np.flatnonzero(starts)
+    if not len(at):
+        return np.zeros(len(equal), bool)
+    inside = np.zeros(len(equal) + 1, np.int64)
     inside[at] += 1
     inside[at + window] -= 1
     return (np.cumsum(inside[:-1]) > 0) & equal
