@@ -109,6 +109,13 @@ def test_plans_hold_everything_within_capacity(histogram, tiers):
     assert sum(load.values()) == total and all(load[f] == v for f, v in runs.items())
 
 
+def test_tiers_fill_long_windows_first():
+    histogram = {7: 1, 4: 2, 2: 1}
+    tiered, plain = packing.Plan(10, histogram, [3, 6]), packing.Plan(10, histogram)
+    assert plain.place(2, np.array([0])) == plain.place(4, np.array([0]))  # the tightest gap of all
+    assert tiered.place(2, np.array([0])) == tiered.place(7, np.array([0])) and tiered.containers == plain.containers == 2
+
+
 def test_pack(spark):
     sizes = [(i, 1 + (i * 37) % 90) for i in range(400)] + [(400, 0), (401, 250), (402, 200), (None, 3), (7, 5)]
     packed = packing.pack(spark.createDataFrame(sizes, "doc_id long, n_tokens long"), {"small": 30, "large": 100}, 8).collect()

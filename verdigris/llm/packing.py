@@ -2,8 +2,8 @@
 
 Sizes are whole numbers up to the capacity, so the packing is planned on the histogram of sizes, whose length
 is bounded by the capacity however many texts there are. The plan is hierarchical: sizes are routed to
-tiers, tiers are packed from the longest down, and the gaps that long windows leave are filled from shorter
-tiers before new containers are opened. It lists patterns of sizes with their multiplicity; a text then
+tiers, tiers are packed from the longest down, and the gaps that long windows leave are filled from all shorter
+tiers before these open containers of their own. It lists patterns of sizes with their multiplicity; a text then
 finds its container from the rank it has among texts of its size. Step groups deal the containers out by
 cost, so that each group gets a like share of long and short windows.
 """
@@ -69,9 +69,12 @@ class Plan:
         self._done: dict[int, int] = defaultdict(int)
         bounds = sorted({t for t in (tiers or []) if t < capacity} | {capacity})
         tier_of = {size: bisect.bisect_left(bounds, size) for size in histogram if size > 0}
-        for tier in reversed(range(len(bounds))):  # longest windows first; each tier fills gaps, then opens
-            for size in sorted((s for s, t in tier_of.items() if t == tier), reverse=True):
-                self._place(size, histogram[size])
+        left = {size: histogram[size] for size in sorted(tier_of, reverse=True)}
+        for tier in reversed(range(len(bounds))):  # longest first: a tier opens its windows, then all shorter ones fill their gaps
+            for size in (s for s in left if tier_of[s] == tier):
+                left[size] = self._place(size, left[size])
+            for size in (s for s in left if tier_of[s] < tier):
+                left[size] = self._place(size, left[size], opens=False)
         self.fills = sorted((first, count, capacity - room) for room, runs in self._rooms.items() for first, count in runs)
         zero = histogram.get(0, 0)
         if zero:  # texts without tokens take no room; they are dealt out over all containers
@@ -84,7 +87,8 @@ class Plan:
             bisect.insort(self._sizes, room)
         self._rooms[room].append((first, count))
 
-    def _place(self, size: int, left: int) -> None:
+    def _place(self, size: int, left: int, opens: bool = True) -> int:
+        """Place texts of one size, the fullest containers first; the number of those left over if none may be opened."""
         while left:
             at = bisect.bisect_left(self._sizes, size)
             if at < len(self._sizes):  # the fullest containers with room
@@ -96,6 +100,8 @@ class Plan:
                 used = min(count, left)
                 if used < count:
                     self._give(room, first + used, count - used)
+            elif not opens:
+                break
             else:
                 each = self.capacity // size
                 room, first, used = self.capacity, self.containers, -(-left // each)
@@ -105,6 +111,7 @@ class Plan:
             self._done[size] += used
             self._give(room - size, first, used)
             left -= used
+        return left
 
     def place(self, size: int, ranks: np.ndarray) -> np.ndarray:
         """The containers of texts of one size, by rank."""
