@@ -135,6 +135,20 @@ def test_pack(spark):
     assert empty.count() == 0
 
 
+def test_steps_count_full_parts(spark):
+    sizes = [(i % 50, 30 * (i % 40) + i % 7) for i in range(120)] + [(None, 95), (60, 3000)]
+    for per_step in (4, 64):
+        packed = packing.pack(spark.createDataFrame(sizes, "doc_id long, n_tokens long"), {"small": 30, "large": 700}, per_step).collect()
+        for name in ("small", "large"):
+            steps = defaultdict(set)
+            for r in packed:
+                if r.limit_name == name:
+                    steps[r.step_id].add(r.container_id)
+            total = sum(map(len, steps.values()))
+            assert sorted(steps) == list(range(-(-total // per_step)))
+            assert total == len(set().union(*steps.values())) and {len(v) for v in steps.values()} <= {total // len(steps), -(-total // len(steps))}
+
+
 def test_token_counts_and_hot_sizes(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "x" * 20000)], "doc_id long, text string").selectExpr("*", "1 n_tokens")
     got = {r.doc_id: r.n_tokens for r in packing.token_counts(df, "doc_id", "text").collect()}

@@ -121,13 +121,16 @@ class Plan:
         at = np.searchsorted(table[:, 0], ranks, "right") - 1
         return table[at, 2] + ranks - table[at, 0]
 
-    def steps(self, per_step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(first containers of the runs, ordinal of each first by falling fill, ..., number of groups)."""
+    def steps(self, per_step: int, full: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(first containers of the runs, ordinal of each first by falling fill, ..., number of groups).
+
+        ``full`` counts the containers of full parts, which come before all planned ones.
+        """
         runs = np.array(self.fills or [(0, 0, 0)], np.int64)
         order = np.argsort(-runs[:, 2], kind="stable")
         before = np.zeros(len(runs), np.int64)
-        before[order] = np.cumsum(runs[order, 1]) - runs[order, 1]
-        return runs[:, 0], before, runs[:, 2], max(1, -(-self.containers // per_step))
+        before[order] = full + np.cumsum(runs[order, 1]) - runs[order, 1]
+        return runs[:, 0], before, runs[:, 2], max(1, -(-(self.containers + full) // per_step))
 
 
 def pack(sizes: DataFrame, limits: dict[str, int], step_containers: int = STEP_CONTAINERS) -> DataFrame:
@@ -146,18 +149,23 @@ def pack(sizes: DataFrame, limits: dict[str, int], step_containers: int = STEP_C
     rows = sizes.select("doc_id", "n_tokens", limit.alias("l")).select("doc_id", "n_tokens", "l.*")
     full = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("bigint")
     rows = rows.withColumn("full", full).withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity"))
-    placed = rows.filter("rest > 0 or full = 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_PARTS)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_PARTS)))
+    placed = rows.filter("rest > 0 or full = 0")
     counts = placed.groupBy("limit_name", "rest", "bucket").agg(F.count(F.lit(1)).alias("n"))
     counts = materialise(counts, "size-counts")
     histograms: dict[str, dict[int, int]] = {n: {} for n in names}
     for r in counts.groupBy("limit_name", "rest").agg(F.sum("n").alias("n")).collect():  # at most capacity + 1 rows a limit
         histograms[r["limit_name"]][r["rest"]] = r["n"]
     plans = {n: Plan(limits[n], histograms[n], tiers) for n in names}
+    long = rows.filter("full > 0")
+    full_counts = materialise(long.groupBy("limit_name", "bucket").agg(F.sum("full").alias("n")), "full-counts")
+    n_full = {r["limit_name"]: r["n"] for r in full_counts.groupBy("limit_name").agg(F.sum("n").alias("n")).collect()}  # a row per limit
+    steps = {n: p.steps(step_containers, n_full.get(n, 0)) for n, p in plans.items()}
     offset = F.sum("n").over(Window.partitionBy("limit_name", "rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("limit_name", "rest", "bucket", F.coalesce(offset, F.lit(0)).alias("offset"))
     within = Window.partitionBy("limit_name", "rest", "bucket").orderBy("doc_id")
     ranked = placed.join(offsets, ["limit_name", "rest", "bucket"]).withColumn("rank", F.col("offset") + F.row_number().over(within) - 1)
-    shared = spark.sparkContext.broadcast({n: (p, p.steps(step_containers)) for n, p in plans.items()})  # bounded by the capacities
+    shared = spark.sparkContext.broadcast({n: (p, steps[n]) for n, p in plans.items()})  # bounded by the capacities
 
     def containers(frames):
         for frame in frames:
@@ -177,13 +185,18 @@ def pack(sizes: DataFrame, limits: dict[str, int], step_containers: int = STEP_C
     schema = "limit_name string, container bigint, step_id bigint, doc_id bigint, part bigint, start_token bigint, n_tokens bigint, filled_tokens bigint, capacity bigint"
     rest = ranked.select("limit_name", "rest", "rank", "doc_id", "full", "capacity").mapInPandas(containers, schema)
     rest = rest.withColumn("container_id", F.concat_ws("-", "limit_name", F.col("container").cast("string")))
-    # a full part fills its container: it needs no plan, and a step group of its own kind deals it out by hash
-    parts = rows.filter("full > 0").withColumn("copy", F.monotonically_increasing_id()).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
-    groups = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(plans[n].steps(step_containers)[3]))])
+    # a full part fills its container: it needs no plan, and its rank among the full parts gives its step group
+    ahead = F.sum("n").over(Window.partitionBy("limit_name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = full_counts.select("limit_name", "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    earlier = F.sum("full").over(Window.partitionBy("limit_name", "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    parts = long.join(F.broadcast(ahead), ["limit_name", "bucket"]).withColumn("ahead", F.col("ahead") + F.coalesce(earlier, F.lit(0)))  # RANK_PARTS rows a limit
+    parts = parts.withColumn("copy", F.monotonically_increasing_id()).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
+    groups = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(steps[n][3]).cast("bigint"))])
+    parts = parts.withColumn("rank", F.col("ahead") + F.col("part")).withColumn("groups", groups[F.col("limit_name")]).withColumn("place", F.expr("rank % groups"))
     split = parts.select(
         "limit_name",
         F.concat_ws("-", "limit_name", F.lit("full"), "doc_id", F.col("copy").cast("string"), F.col("part").cast("string")).alias("container_id"),
-        F.pmod(F.xxhash64("doc_id", "part"), groups[F.col("limit_name")]).alias("step_id"),
+        F.expr("if((rank div groups) % 2 = 0, place, groups - 1 - place)").alias("step_id"),
         "doc_id", "part", (F.col("part") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"), F.col("capacity").alias("filled_tokens"), "capacity",
     )
     columns = ["limit_name", "container_id", "step_id", "doc_id", "part", "start_token", "n_tokens", "filled_tokens", "capacity"]
