@@ -206,3 +206,27 @@ def test_heavy_keys_match_counters(spark):
     assert heavy_keys.key_figures(df.limit(0), "id", ["a", "b"], ["f"]).count() == 0
     shares = heavy_keys.with_shares(heavy_keys.key_figures(df, "id", ["a"], [])).filter("key_value = 'hot'").first()
     assert (shares.n_records, shares.total_records) == (2000, 3000)
+
+
+def test_nesting_beyond_the_parsers_depth():
+    deep = 60_000
+    text = '{"rules": [{"when": ' + '{"all": [' * deep + '{"left": {"custom_function": {"name": "f"}}}' + "]}" * deep + "}]}"
+    with pytest.raises(RecursionError):
+        json.loads(text)
+    for wrapped in (text, json.dumps(text)):
+        node, levels = shred.read_document(wrapped)["rules"][0]["when"], 0
+        while "all" in node:
+            node, levels = node["all"][0], levels + 1
+        assert levels == deep and node == {"left": {"custom_function": {"name": "f"}}}
+    assert shred.read_document(text[:-1]) is None and shred.read_document(text + "x") is None
+
+
+@pytest.mark.parametrize("text", ["", " ", "{}", "[]", " [ ] ", "[1, 2.5, -3e2, null, true, NaN]", '{"a": 1, "b": {"a": [[], {}]}, "a": "x\\n"}', '"s"', "[1,]", "[,1]", "[1 2]", '{"a"}', '{"a":}', '{"a": 1,}', "{1: 2}", "[1}", "]", "[", '{"a": [1', "1 2", "[\f1]"])
+def test_deep_parser_reads_like_the_other(text):
+    def read(parse):
+        try:
+            return repr(parse(text))
+        except ValueError:
+            return "unreadable"
+
+    assert read(shred._parse_deep) == read(json.loads)

@@ -9,6 +9,7 @@ nodes with their scalar children on (document, parent) and pivoting the labels i
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,24 +33,85 @@ NODE_FIELDS = T.StructType(
     ]
 )
 
+_BLANKS = re.compile(r"[ \t\n\r]*")
+#: Reads one string, number or constant at a place.
+_SCANNER = json.JSONDecoder().scan_once
+
 OPERAND_KEYS = ("field", "assigned", "literal", "custom_function")
 
 
 def read_document(text: str | None):
     """The document in ``text``, or None if it can't be read.
 
-    A JSON string that holds a document's text is opened, however often it was wrapped. Cut-off text,
-    text that isn't JSON and nesting beyond the parser's depth are unreadable.
+    A JSON string that holds a document's text is opened, however often it was wrapped. Cut-off text and
+    text that isn't JSON are unreadable.
     """
     value = text
     try:
         while isinstance(value, str):
-            value = json.loads(value)
-    except (ValueError, RecursionError):
+            try:
+                value = json.loads(value)
+            except RecursionError:
+                value = _parse_deep(value)
+    except ValueError:
         return None
     return value
 
 
+def _parse_deep(text: str):
+    """What ``json.loads`` gives, without recursion, for nesting beyond its depth."""
+
+    def skip(at: int) -> int:
+        return _BLANKS.match(text, at).end()
+
+    def scalar(at: int) -> tuple:
+        try:
+            return _SCANNER(text, at)
+        except StopIteration:
+            raise ValueError(f"no value at {at}") from None
+
+    root: list = []  # its only member is the document
+    opened: list = [root]
+    key, at = None, skip(0)
+    while True:
+        mark = text[at : at + 1]
+        if mark in ("{", "["):
+            value, at = ({} if mark == "{" else []), skip(at + 1)
+        else:
+            value, at = scalar(at)
+        if isinstance(opened[-1], dict):
+            opened[-1][key] = value
+        else:
+            opened[-1].append(value)
+        fresh = mark in ("{", "[")
+        if fresh:
+            opened.append(value)
+        while True:  # close what ends here, up to the next member
+            at = skip(at)
+            if len(opened) == 1:
+                if at < len(text):
+                    raise ValueError(f"more text at {at}")
+                return root[0]
+            inside = isinstance(opened[-1], dict)
+            if text[at : at + 1] == ("}" if inside else "]"):
+                opened.pop()
+                fresh, at = False, at + 1
+                continue
+            if not fresh:
+                if text[at : at + 1] != ",":
+                    raise ValueError(f"no comma at {at}")
+                at = skip(at + 1)
+            break
+        if inside:
+            if text[at : at + 1] != '"':
+                raise ValueError(f"no key at {at}")
+            key, at = scalar(at)
+            at = skip(at)
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at = skip(at + 1)
+
+
 def ruleset_grammar(state: str, label: str, value, container) -> tuple[str, str | None]:
     """State and entity of a child in a rule-set document.
 
