@@ -2,11 +2,13 @@
 
 import datetime as dt
 import json
+import os
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris import session
 from verdigris.operators import heavy_keys, orphans, shred
 from verdigris.plans import data_queries
 
@@ -90,22 +92,40 @@ DOC = {
 }
 
 
+def tables(df, entities=None):
+    return shred.shredded(df, ["id"], "doc", entities=entities)
+
+
 def test_shred_edges(spark):
     text = json.dumps(DOC)
     rows = [("a", text), ("a", json.dumps(text)), ("b", text[:-9]), ("c", None), ("d", ""), ("e", "[]"), ("f", "7"), (None, text), ("g", '{"rules": null}')]
     df = spark.createDataFrame(rows, "id string, doc string").withColumn("label", F.lit("clash"))
-    got = {tuple(r)[1:] for r in shred.entity_links(df, ["id"], "doc").filter("id = 'a'").collect()}
-    assert got == set(plain_entities(DOC))
-    assert {r.id for r in shred.entity_links(df, ["id"], "doc").collect()} == {"a", None}
-    calls = shred.entity_table(shred.adjacency(df, ["id"], "doc"), ["id"], "call", {"name": "string"}).filter("id = 'a'").collect()
+    records = tables(df)
+    links = shred.entity_links(records, ["id"]).collect()
+    assert {tuple(r)[1:] for r in links if r.id == "a"} == set(plain_entities(DOC)) and len(links) == 2 * len(plain_entities(DOC))
+    assert {r.id for r in links} == {"a", None}
+    calls = shred.entity_table(records, ["id"], "call", {"name": "string"}).filter("id = 'a'").collect()
     assert sorted(r.name for r in calls) == ["f", "g", "h", "k"]
-    rules = shred.entity_table(shred.adjacency(df, ["id"], "doc"), ["id"], "rule", {"rule_id": "string", "rule_order": "int"}).filter("id = 'a'").collect()
-    assert {(r.node_path, r.ordinal, r.rule_id, r.rule_order) for r in rules} == {("rules/1", 1, "r1", 2), ("rules/2", 2, None, None)}
-    assert shred.entity_links(df.limit(0), ["id"], "doc").count() == 0
+    wanted = {"rule_id": "string", "rule_order": "int"}
+    narrow = shred.entity_records(shred.adjacency(df, ["id"], "doc", entities={"rule": wanted}), ["id"], {"rule": wanted})
+    for source in (records, narrow):
+        rules = shred.entity_table(source, ["id"], "rule", wanted).filter("id = 'a'").collect()
+        assert sorted((r.node_path, r.ordinal, r.rule_id, r.rule_order) for r in rules) == [("rules/1", 1, "r1", 2), ("rules/2", 2, None, None)]
+    assert tables(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         shred.adjacency(df, ["label"], "doc")
 
 
+def test_scoped_tables_are_removed(spark):
+    df = spark.createDataFrame([("a", json.dumps(DOC))], "id string, doc string")
+    kept = tables(df)
+    with session.scope():
+        inner = tables(df)
+        paths = inner.inputFiles()
+    assert paths and not any(os.path.exists(p.removeprefix("file://").removeprefix("file:")) for p in paths)
+    assert kept.count() == len(plain_entities(DOC))
+
+
 def test_adjacency_holds_every_node_and_can_be_put_together_again(spark):
     df = spark.createDataFrame([("a", json.dumps(DOC))], "id string, doc string")
     nodes = {r.node_path: r for r in shred.adjacency(df, ["id"], "doc").collect()}
@@ -184,9 +204,11 @@ def test_orphans_split_gives_what_one_join_gives(spark):
     intervals = orphans.validity(history, "name", "kind", "at", ["registered", "reactivated"], "change_id")
     always, listed = orphans.present_keys(history, registry, "name", "active")
     want = {("hot", d) for d in range(1, 5)} | {("x", 0), ("z", 0), ("q", 1)}
-    for share in (0.01, 0.5, 1.0):
-        got = [(r.key, r.valid_from) for r in orphans.orphans(refs, intervals, always, listed, share).collect()]
+    for share, bound in ((0.01, 100), (0.01, 1), (0.5, 100), (0.5, 0), (1.0, 100)):  # broadcast, cut by time, one join
+        got = [(r.key, r.valid_from) for r in orphans.orphans(refs, intervals, always, listed, share, bound).collect()]
         assert sorted(got) == sorted(want)
+    report = {r.month: (r.table_name, r.orphan_references, r.missing_keys) for r in orphans.orphan_report(refs, intervals, always, listed, "t").collect()}
+    assert report == {"2024-01": ("t", 6, 3), None: ("t", 1, 1)}
     assert orphans.orphans(refs.limit(0), intervals, always, listed).count() == 0
     assert orphans.orphans(refs, intervals.limit(0), always.limit(0), listed.limit(0)).count() == 24
 

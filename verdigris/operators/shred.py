@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.session import bounded_batches, materialise
+from verdigris.session import bounded, materialise
 
 #: One row of the adjacency table, after the key columns.
 NODE_FIELDS = T.StructType(
@@ -167,11 +167,14 @@ def _scalar(value) -> tuple[str, str | None]:
     return "number", json.dumps(value)
 
 
-def walk(document, grammar: Callable, entities_only: bool = False) -> Iterator[tuple]:
-    """The nodes of one document in document order, without recursion."""
-    stack = [("", None, None, 0, document, "root", None, "")]
+def walk(document, grammar: Callable, kinds: frozenset | None = None, labels: frozenset = frozenset()) -> Iterator[tuple]:
+    """The nodes of one document in document order, without recursion.
+
+    With ``kinds``, only entities of these kinds and their scalar children named in ``labels`` are given.
+    """
+    stack = [("", None, None, 0, document, "root", None, "", None)]
     while stack:
-        path, parent, label, ordinal, value, state, entity, above = stack.pop()
+        path, parent, label, ordinal, value, state, entity, above, owner = stack.pop()
         children = ()
         if isinstance(value, dict):
             kind, scalar, children = "object", None, value.items()
@@ -179,93 +182,96 @@ def walk(document, grammar: Callable, entities_only: bool = False) -> Iterator[t
             kind, scalar, children = "array", None, enumerate(value)
         else:
             kind, scalar = _scalar(value)
-        if parent is not None and (entity or not entities_only):
+        if parent is not None and (kinds is None or entity in kinds or (owner in kinds and scalar is not None and label in labels)):
             yield path, parent, label, ordinal, kind, scalar, entity, above if entity else None
-        if not children or (entities_only and state == "data"):
+        if not children or (kinds is not None and state == "data"):
             continue
         inner = path if entity else above
         below = []
         for at, (key, child) in enumerate(children):
             name = str(key)
             child_state, child_entity = grammar(state, name, child, value)
-            below.append((f"{path}/{name}" if parent is not None else name, path, name, at, child, child_state, child_entity, inner))
+            below.append((f"{path}/{name}" if parent is not None else name, path, name, at, child, child_state, child_entity, inner, entity))
         stack.extend(reversed(below))
 
 
-def adjacency(df: DataFrame, keys: list[str], payload: str, grammar: Callable = ruleset_grammar, entities_only: bool = False) -> DataFrame:
+def adjacency(df: DataFrame, keys: list[str], payload: str, grammar: Callable = ruleset_grammar, entities: dict[str, dict] | None = None) -> DataFrame:
     """One row per node of every readable document, in one pass without a shuffle.
 
     Unreadable, empty and null documents give no rows; documents delivered again give their nodes again
-    (the entity tables below count copies once). A key named like a column of the adjacency table is an error. Null members are nodes of kind ``null`` and no entities.
-    Columns of ``df`` other than ``keys`` and ``payload`` are not read. ``entities_only`` leaves out the
-    nodes that no entity column needs.
+    (the entity tables below count copies once). A key named like a column of the adjacency table is an error.
+    Null members are nodes of kind ``null`` and no entities. Columns of ``df`` other than ``keys`` and
+    ``payload`` are not read. ``entities`` (attributes by entity, as in :data:`RULESET_ENTITIES`) leaves out the
+    nodes that the tables of these entities don't need.
     """
     if clash := set(keys) & set(NODE_FIELDS.fieldNames()):
         raise ValueError(f"key columns have names of the adjacency table: {sorted(clash)}")
-    bounded_batches(df.sparkSession, 256)
     schema = T.StructType([*(df.select(*[F.col(f"`{k}`") for k in keys]).schema.fields), *NODE_FIELDS.fields])
     arrow = pa.schema([pa.field(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in NODE_FIELDS.fields])
+    kinds = None if entities is None else frozenset(entities)
+    labels = frozenset(label for attributes in (entities or {}).values() for label in attributes)
     width = len(keys)
 
-    def split(batches):
-        for batch in batches:
-            columns, origin = [[] for _ in arrow], []
-
-            def flush(batch=batch):
-                nonlocal columns, origin
-                index = pa.array(origin, pa.int32())
-                key_columns = [batch.column(i).take(index) for i in range(width)]
-                made = [pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)]
-                columns, origin = [[] for _ in arrow], []
-                return pa.RecordBatch.from_arrays([*key_columns, *made], names=schema.names)
+    def made(batch: pa.RecordBatch, rows: list[tuple], origin: list[int]) -> pa.RecordBatch:
+        index = pa.array(origin, pa.int32())
+        columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)]
+        return pa.RecordBatch.from_arrays([*[batch.column(i).take(index) for i in range(width)], *columns], names=schema.names)
 
+    def split(batches):
+        for batch in bounded(batches):
+            rows, origin = [], []
             for row in range(batch.num_rows):
                 document = read_document(batch.column(width)[row].as_py())
                 if not isinstance(document, dict | list):
                     continue
-                for node in walk(document, grammar, entities_only):
-                    for column, item in zip(columns, node, strict=True):
-                        column.append(item)
+                for node in walk(document, grammar, kinds, labels):
+                    rows.append(node)
                     origin.append(row)
                     if len(origin) >= 20000:
-                        yield flush()
+                        yield made(batch, rows, origin)
+                        rows, origin = [], []
             if origin:
-                yield flush()
+                yield made(batch, rows, origin)
 
     return df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{payload}`")).mapInArrow(split, schema)
 
 
-def entity_links(df: DataFrame, keys: list[str], payload: str, grammar: Callable = ruleset_grammar) -> DataFrame:
-    """Every entity node with its kind and nearest enclosing entity; equal copies of a document count once."""
-    nodes = adjacency(df, keys, payload, grammar, entities_only=True).filter(F.col("entity").isNotNull())
-    return nodes.select(*keys, F.col("entity").alias("node_kind"), "node_path", F.col("entity_parent").alias("parent_path")).distinct()
-
+def entity_records(nodes: DataFrame, keys: list[str], entities: dict[str, dict]) -> DataFrame:
+    """Every entity node joined with its scalar children, whose labels become columns.
 
-def entity_table(nodes: DataFrame, keys: list[str], entity: str, attributes: dict[str, str]) -> DataFrame:
-    """The table of one entity: its nodes joined with their scalar children, labels pivoted into columns.
-
-    ``attributes`` maps a label to a Spark type. A missing or null attribute is null; a scalar that doesn't
-    convert is null. Copies of a document count once. Node and children meet in one shuffle on
-    (document, node), children reduced to the wanted labels before it.
+    Columns: the keys, node_kind, node_path, parent_path, ordinal, and one text column ``a_<label>`` per label of
+    any entity; a node is either an entity or an attribute. A missing or null attribute is null. Copies of a document count once; where they differ in
+    an attribute, the greatest text is taken. Nodes and children meet in one shuffle on (document, node), each
+    node's children reduced to one row before it.
     """
     here = [F.col(f"`{k}`") for k in keys]
+    labels = sorted({label for attributes in entities.values() for label in attributes})
+    is_node = F.coalesce(F.col("entity").isin(*entities), F.lit(False))
     # the children of other nodes come along and go once their group turns out to hold no entity node
-    wanted = nodes.filter((F.col("entity") == entity) | (F.col("label").isin(*attributes) & F.col("scalar").isNotNull()))
-    is_node = F.col("entity").eqNullSafe(entity)
+    wanted = nodes.filter(is_node | (F.col("label").isin(*labels) & F.col("scalar").isNotNull()))
     owner = F.when(is_node, F.col("node_path")).otherwise(F.col("parent_node"))
 
     def picked(test: Column, column: str) -> Column:
         return F.max(F.when(test, F.col(column)))
 
     grouped = wanted.groupBy(*here, owner.alias("owner_path")).agg(
-        F.max(is_node).alias("is_node"),
+        picked(is_node, "entity").alias("node_kind"),
         picked(is_node, "entity_parent").alias("parent_path"),
         picked(is_node, "ordinal").alias("ordinal"),
-        *[picked(~is_node & (F.col("label") == name), "scalar").alias(f"a_{name}") for name in attributes],
-    )
-    return grouped.filter("is_node").select(
-        *here, F.col("owner_path").alias("node_path"), "parent_path", "ordinal", *[F.col(f"a_{n}").try_cast(t).alias(n) for n, t in attributes.items()]
+        *[picked(~is_node & (F.col("label") == name), "scalar").alias(f"a_{name}") for name in labels],
     )
+    return grouped.filter("node_kind is not null").select(*here, "node_kind", F.col("owner_path").alias("node_path"), "parent_path", "ordinal", *[f"a_{n}" for n in labels])
+
+
+def entity_table(records: DataFrame, keys: list[str], entity: str, attributes: dict[str, str]) -> DataFrame:
+    """The flat table of one entity; ``attributes`` maps a label to a Spark type. A scalar that doesn't convert is null."""
+    here = [F.col(f"`{k}`") for k in keys]
+    return records.filter(F.col("node_kind") == entity).select(*here, "node_path", "parent_path", "ordinal", *[F.col(f"a_{n}").try_cast(t).alias(n) for n, t in attributes.items()])
+
+
+def entity_links(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Every entity node with its kind and nearest enclosing entity."""
+    return records.select(*[F.col(f"`{k}`") for k in keys], "node_kind", "node_path", "parent_path")
 
 
 #: Attributes of each entity of a rule set.
@@ -278,7 +284,14 @@ RULESET_ENTITIES = {
 }
 
 
+def shredded(df: DataFrame, keys: list[str], payload: str, grammar: Callable = ruleset_grammar, entities: dict[str, dict] | None = None) -> DataFrame:
+    """The stored entity records of documents, from their stored adjacency table."""
+    entities = RULESET_ENTITIES if entities is None else entities
+    nodes = materialise(adjacency(df, keys, payload, grammar), "adjacency")
+    return materialise(entity_records(nodes, keys, entities), "entities")
+
+
 def ruleset_tables(df: DataFrame, keys: list[str], payload: str) -> dict[str, DataFrame]:
-    """All entity tables of rule-set documents over one stored adjacency table."""
-    nodes = materialise(adjacency(df, keys, payload).filter(F.col("entity").isNotNull() | F.col("label").isin(*sorted({a for e in RULESET_ENTITIES.values() for a in e}))), "adjacency")
-    return {entity: entity_table(nodes, keys, entity, attributes) for entity, attributes in RULESET_ENTITIES.items()}
+    """All entity tables of rule-set documents."""
+    records = shredded(df, keys, payload)
+    return {entity: entity_table(records, keys, entity, attributes) for entity, attributes in RULESET_ENTITIES.items()}

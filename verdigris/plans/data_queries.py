@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.operators import heavy_keys, orphans, shred
+from verdigris.plans import data_sql
 
 VERSION = ["ruleset_id", "version"]
 
@@ -15,14 +16,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every entity node of every version with a readable payload."""
-    return shred.entity_links(table(spark, folder, "ruleset_versions"), VERSION, "payload_json")
+    """Every entity node of every version with a readable payload, from the entity tables."""
+    return shred.entity_links(shred.shredded(table(spark, folder, "ruleset_versions"), VERSION, "payload_json"), VERSION)
+
+
+def _flat(spark: SparkSession, folder: str, kind: str, attributes: dict[str, str]) -> DataFrame:
+    """The table of one entity, from the nodes it needs."""
+    nodes = shred.adjacency(table(spark, folder, "ruleset_versions"), VERSION, "payload_json", entities={kind: attributes})
+    return shred.entity_table(shred.entity_records(nodes, VERSION, {kind: attributes}), VERSION, kind, attributes)
 
 
 def _entity(kind: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        nodes = shred.adjacency(table(spark, folder, "ruleset_versions"), VERSION, "payload_json")
-        return shred.entity_table(nodes, VERSION, kind, shred.RULESET_ENTITIES[kind])
+        return _flat(spark, folder, kind, shred.RULESET_ENTITIES[kind])
 
     query.__doc__ = f"Flat table of the {kind} nodes with the link to their parent."
     return query
@@ -30,10 +36,8 @@ def _entity(kind: str):
 
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     versions = table(spark, folder, "ruleset_versions")
-    nodes = shred.adjacency(versions, VERSION, "payload_json", entities_only=False)
-    calls = shred.entity_table(nodes, VERSION, "call", {"name": "string"}).filter("name is not null")
+    named = _flat(spark, folder, "call", {"name": "string"}).filter("name is not null").select(*VERSION, F.col("name").alias("key")).distinct()
     published = versions.groupBy(*VERSION).agg(F.max(orphans.instant(F.col("published_at"))).alias("period"))  # copies name one instant
-    named = calls.select(*VERSION, F.col("name").alias("key")).distinct()
     same = [named[c].eqNullSafe(published[c]) for c in VERSION]
     refs = named.join(published, same[0] & same[1]).select(named["ruleset_id"], named["version"], "key", "period")
     history, registry = table(spark, folder, "registry_changes"), table(spark, folder, "function_registry")
@@ -48,7 +52,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references per table and month of publishing."""
-    return orphans.orphan_report(orphans.orphans(*_references(spark, folder)), "ruleset_versions")
+    return orphans.orphan_report(*_references(spark, folder), "ruleset_versions")
 
 
 KEYS, FLAGS = ["rule_id", "final_winning_rule_id"], ["changed", "effective"]
@@ -77,26 +81,11 @@ QUERIES = {
     "p4_figures": p4_figures,
 }
 
-_P4 = """
-with d as (select distinct result_id, rule_id, final_winning_rule_id, coalesce(changed, false) c, coalesce(effective, false) e
-           from assignment_results where result_id is not null),
-u as (select 'rule_id' field_name, rule_id, c, e from d union all select 'final_winning_rule_id', final_winning_rule_id, c, e from d),
-g as (select field_name, rule_id, count(*) n_records, sum(c::int)::bigint n_changed, sum(e::int)::bigint n_effective
-      from u where rule_id is not null group by all),
-f as (select *, (sum(n_records) over (partition by field_name))::bigint total_records from g)
-"""
-
-_P2 = """
-with o as (select distinct ruleset_id, version, case when json_valid(payload_json) then
-             case when json_type(payload_json) = 'VARCHAR' then payload_json::json ->> '$' else payload_json end end p from ruleset_versions),
-r as (select ruleset_id, version, p, unnest(generate_series(0, json_array_length(p, '$.rules')::int - 1)) i from o where json_valid(p)),
-j as (select ruleset_id, version, i, json_extract(p, '$.rules[' || i || ']') rule from r)
-"""
 SQL = {
-    "p2_rules": _P2
-    + """select distinct ruleset_id, version, 'rules/' || i node_path, '' parent_path, i::int ordinal, rule ->> '$.rule_id' rule_id, rule ->> '$.rule_name' rule_name,
-         cast(rule ->> '$.rule_order' as bigint) rule_order, cast(rule ->> '$.active_flag' as boolean) active_flag, cast(rule ->> '$.stop_on_match' as boolean) stop_on_match,
-         rule ->> '$.description' description from j where json_type(rule) = 'OBJECT'""",
-    "p4_found": _P4 + "select field_name, rule_id from f where n_records * 50 >= total_records",
-    "p4_figures": _P4 + "select * from f",
+    "p2_found": data_sql.LINKS,
+    **{f"p2_{k}s": data_sql.entity_sql(k, attributes) for k, attributes in shred.RULESET_ENTITIES.items()},
+    "p3_found": data_sql.ORPHANS,
+    "p3_report": data_sql.ORPHAN_REPORT,
+    "p4_found": data_sql.HEAVY,
+    "p4_figures": data_sql.FIGURES,
 }

@@ -1,4 +1,4 @@
-"""Session helpers: shared-folder tables that cut lineage, and bounded Arrow batches."""
+"""Session helpers: shared-folder tables that cut lineage, and slices of Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -36,7 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    The written table cuts the lineage and survives lost executors; it is removed when the driver ends.
+    The written table cuts the lineage and survives lost executors; it is removed at the end of the
+    :func:`scope` it was written in, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,6 +49,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, so that a Python worker unpacks few long texts at once.
+
+    Spark bounds a batch's bytes itself (``spark.sql.execution.arrow.maxBytesPerBatch``); no setting of the session changes.
+    """
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of long texts small, so that a Python worker holds few of them at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -54,12 +68,21 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def release() -> None:
     """Remove all written tables now, for sessions that live long; DataFrames that read them can't run any more."""
-    _remove_written()
-    _WRITTEN.clear()
+    _remove(_WRITTEN)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Remove the tables that operators write inside once the block ends; results must be stored or collected in it."""
+    before = list(_WRITTEN)
+    try:
+        yield
+    finally:
+        _remove([w for w in _WRITTEN if w not in before])
 
 
-def _remove_written() -> None:
-    for spark, path in _WRITTEN:
+def _remove(written: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in list(written):
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
@@ -67,6 +90,8 @@ def _remove_written() -> None:
         except Exception:  # the context is gone; a local folder can still be removed
             if path.startswith("file://"):
                 shutil.rmtree(path[len("file://") :], ignore_errors=True)
+        if (spark, path) in _WRITTEN:
+            _WRITTEN.remove((spark, path))
 
 
-atexit.register(_remove_written)
+atexit.register(release)
