@@ -128,19 +128,26 @@ def test_scoped_tables_are_removed(spark):
 
 def test_adjacency_holds_every_node_and_can_be_put_together_again(spark):
     df = spark.createDataFrame([("a", json.dumps(DOC))], "id string, doc string")
-    nodes = {r.node_path: r for r in shred.adjacency(df, ["id"], "doc").collect()}
+    nodes = {r.node: r for r in shred.adjacency(df, ["id"], "doc").collect()}
     below = defaultdict(list)
     for r in sorted(nodes.values(), key=lambda r: r.ordinal):
-        below[r.parent_node].append(r)
+        below[r.parent].append(r)
 
-    def build(path, kind, scalar):
+    def build(node, kind, scalar):
         if kind == "object":
-            return {r.label: build(r.node_path, r.json_kind, r.scalar) for r in below[path]}
+            return {r.label: build(r.node, r.json_kind, r.scalar) for r in below[node]}
         if kind == "array":
-            return [build(r.node_path, r.json_kind, r.scalar) for r in below[path]]
+            return [build(r.node, r.json_kind, r.scalar) for r in below[node]]
         return scalar if kind in ("string", "null") else json.loads(scalar)
 
-    assert build("", "object", None) == DOC
+    assert build(shred.ROOT, "object", None) == DOC
+
+
+def test_broken_surrogates_are_replaced(spark):
+    text = '{"rules": [{"rule_id": "x\\ud800y", "assign": {"\\udfff": 1, "\\ud83d\\ude00": 2}}]}'
+    records = tables(spark.createDataFrame([("a", text)], "id string, doc string"))
+    assert {r.node_path for r in shred.entity_links(records, ["id"]).collect()} == {"rules/0", "rules/0/assign/\ufffd", "rules/0/assign/\U0001f600"}
+    assert shred.entity_table(records, ["id"], "rule", {"rule_id": "string"}).first()["rule_id"] == "x\ufffdy"
 
 
 @pytest.mark.parametrize(

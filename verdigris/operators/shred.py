@@ -1,9 +1,11 @@
 """Deeply nested documents as an adjacency table, and entity tables pivoted from it.
 
-A document becomes one row per node: its path, the path of its parent, label, ordinal, kind and scalar
-text. A grammar names the nodes that are entities (here those of a rule set) and gives each the nearest
-enclosing entity, so that children keep the link to their parent. Entity tables come from joining object
-nodes with their scalar children on (document, parent) and pivoting the labels into columns.
+A document becomes one row per node: node, parent, label, ordinal, kind and scalar text. A node is the 64-bit hash
+of its path from the root, so that copies of a document in other layouts have the same nodes; two paths of one
+document share a hash once in some 10**13 documents of a thousand nodes. A grammar names the nodes that are
+entities (here those of a rule set) and gives each its path and that of the nearest enclosing entity, so that
+children keep the link to their parent. Entity tables come from joining object nodes with their scalar children
+on (document, parent) and pivoting the labels into columns.
 """
 
 from __future__ import annotations
@@ -12,26 +14,31 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from verdigris.session import bounded, materialise
 
-#: One row of the adjacency table, after the key columns.
+#: One row of the adjacency table, after the key columns. Paths stand with entities only.
 NODE_FIELDS = T.StructType(
     [
-        T.StructField("node_path", T.StringType()),
-        T.StructField("parent_node", T.StringType()),
+        T.StructField("node", T.LongType()),
+        T.StructField("parent", T.LongType()),
         T.StructField("label", T.StringType()),
         T.StructField("ordinal", T.IntegerType()),
         T.StructField("json_kind", T.StringType()),
         T.StructField("scalar", T.StringType()),
         T.StructField("entity", T.StringType()),
+        T.StructField("node_path", T.StringType()),
         T.StructField("entity_parent", T.StringType()),
     ]
 )
+#: The node of every document's root, which has no row of its own.
+ROOT = 0
 
 _BLANKS = re.compile(r"[ \t\n\r]*")
 #: Reads one string, number or constant at a place.
@@ -168,53 +175,64 @@ def _scalar(value) -> tuple[str, str | None]:
 
 
 def walk(document, grammar: Callable, kinds: frozenset | None = None, labels: frozenset = frozenset()) -> Iterator[tuple]:
-    """The nodes of one document in document order, without recursion.
+    """The nodes of one document, a node's members together and in order, without recursion.
 
     With ``kinds``, only entities of these kinds and their scalar children named in ``labels`` are given.
     """
-    stack = [("", None, None, 0, document, "root", None, "", None)]
+    every = kinds is None
+    stack = [(document, ROOT, "", "root", None, "")]
     while stack:
-        path, parent, label, ordinal, value, state, entity, above, owner = stack.pop()
-        children = ()
-        if isinstance(value, dict):
-            kind, scalar, children = "object", None, value.items()
-        elif isinstance(value, list):
-            kind, scalar, children = "array", None, enumerate(value)
-        else:
-            kind, scalar = _scalar(value)
-        if parent is not None and (kinds is None or entity in kinds or (owner in kinds and scalar is not None and label in labels)):
-            yield path, parent, label, ordinal, kind, scalar, entity, above if entity else None
-        if not children or (kinds is not None and state == "data"):
-            continue
-        inner = path if entity else above
+        value, node, path, state, entity, inner = stack.pop()
+        attributes = not every and entity in kinds
         below = []
-        for at, (key, child) in enumerate(children):
-            name = str(key)
-            child_state, child_entity = grammar(state, name, child, value)
-            below.append((f"{path}/{name}" if parent is not None else name, path, name, at, child, child_state, child_entity, inner, entity))
+        for ordinal, (label, child) in enumerate(value.items() if isinstance(value, dict) else enumerate(value)):
+            label = str(label)
+            child_state, kind_of = grammar(state, label, child, value)
+            own = xxh64_intdigest(label.encode("utf-8", "surrogatepass"), node)
+            nested = isinstance(child, dict | list)
+            open_below = nested and child and (every or child_state != "data")
+            here = (f"{path}/{label}" if path else label) if kind_of or open_below else None
+            if open_below:
+                below.append((child, own, here, child_state, kind_of, here if kind_of else inner))
+            if nested:
+                kind, scalar = ("object" if isinstance(child, dict) else "array"), None
+            else:
+                kind, scalar = _scalar(child)
+            if every or kind_of in kinds or (attributes and scalar is not None and label in labels):
+                yield own, node, label, ordinal, kind, scalar, kind_of, here if kind_of else None, inner if kind_of else None
         stack.extend(reversed(below))
 
 
+def _arrow(values: tuple, kind: T.DataType) -> pa.Array:
+    if isinstance(kind, T.LongType):
+        return pa.array(np.array(values, np.uint64).view(np.int64))
+    if isinstance(kind, T.IntegerType):
+        return pa.array(values, pa.int32())
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:  # halves of surrogate pairs, which UTF-8 can't hold
+        return pa.array([v if v is None else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())
+
+
 def adjacency(df: DataFrame, keys: list[str], payload: str, grammar: Callable = ruleset_grammar, entities: dict[str, dict] | None = None) -> DataFrame:
     """One row per node of every readable document, in one pass without a shuffle.
 
     Unreadable, empty and null documents give no rows; documents delivered again give their nodes again
     (the entity tables below count copies once). A key named like a column of the adjacency table is an error.
-    Null members are nodes of kind ``null`` and no entities. Columns of ``df`` other than ``keys`` and
+    Null members are nodes of kind ``null`` and no entities; halves of surrogate pairs become U+FFFD. Columns of ``df`` other than ``keys`` and
     ``payload`` are not read. ``entities`` (attributes by entity, as in :data:`RULESET_ENTITIES`) leaves out the
     nodes that the tables of these entities don't need.
     """
     if clash := set(keys) & set(NODE_FIELDS.fieldNames()):
         raise ValueError(f"key columns have names of the adjacency table: {sorted(clash)}")
     schema = T.StructType([*(df.select(*[F.col(f"`{k}`") for k in keys]).schema.fields), *NODE_FIELDS.fields])
-    arrow = pa.schema([pa.field(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in NODE_FIELDS.fields])
     kinds = None if entities is None else frozenset(entities)
     labels = frozenset(label for attributes in (entities or {}).values() for label in attributes)
     width = len(keys)
 
     def made(batch: pa.RecordBatch, rows: list[tuple], origin: list[int]) -> pa.RecordBatch:
         index = pa.array(origin, pa.int32())
-        columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)]
+        columns = [_arrow(c, f.dataType) for c, f in zip(zip(*rows, strict=True), NODE_FIELDS.fields, strict=True)]
         return pa.RecordBatch.from_arrays([*[batch.column(i).take(index) for i in range(width)], *columns], names=schema.names)
 
     def split(batches):
@@ -240,27 +258,29 @@ def entity_records(nodes: DataFrame, keys: list[str], entities: dict[str, dict])
     """Every entity node joined with its scalar children, whose labels become columns.
 
     Columns: the keys, node_kind, node_path, parent_path, ordinal, and one text column ``a_<label>`` per label of
-    any entity; a node is either an entity or an attribute. A missing or null attribute is null. Copies of a document count once; where they differ in
-    an attribute, the greatest text is taken. Nodes and children meet in one shuffle on (document, node), each
-    node's children reduced to one row before it.
+    any entity; a node is either an entity or an attribute. A missing or null attribute is null. Copies of a
+    document count once; where they differ in an attribute, the greatest text is taken. Nodes and children meet in
+    one shuffle on (node, document), each node's children reduced to one row before it.
     """
     here = [F.col(f"`{k}`") for k in keys]
     labels = sorted({label for attributes in entities.values() for label in attributes})
     is_node = F.coalesce(F.col("entity").isin(*entities), F.lit(False))
     # the children of other nodes come along and go once their group turns out to hold no entity node
     wanted = nodes.filter(is_node | (F.col("label").isin(*labels) & F.col("scalar").isNotNull()))
-    owner = F.when(is_node, F.col("node_path")).otherwise(F.col("parent_node"))
+    owner = F.when(is_node, F.col("node")).otherwise(F.col("parent"))
 
     def picked(test: Column, column: str) -> Column:
         return F.max(F.when(test, F.col(column)))
 
-    grouped = wanted.groupBy(*here, owner.alias("owner_path")).agg(
+    # the node comes first: sorting by a number is far cheaper than by the texts of the keys
+    grouped = wanted.groupBy(owner.alias("node"), *here).agg(
         picked(is_node, "entity").alias("node_kind"),
+        picked(is_node, "node_path").alias("node_path"),
         picked(is_node, "entity_parent").alias("parent_path"),
         picked(is_node, "ordinal").alias("ordinal"),
         *[picked(~is_node & (F.col("label") == name), "scalar").alias(f"a_{name}") for name in labels],
     )
-    return grouped.filter("node_kind is not null").select(*here, "node_kind", F.col("owner_path").alias("node_path"), "parent_path", "ordinal", *[f"a_{n}" for n in labels])
+    return grouped.filter("node_kind is not null").select(*here, "node_kind", "node_path", "parent_path", "ordinal", *[f"a_{n}" for n in labels])
 
 
 def entity_table(records: DataFrame, keys: list[str], entity: str, attributes: dict[str, str]) -> DataFrame:
