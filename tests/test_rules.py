@@ -1,6 +1,7 @@
 """Rule semantics against the row-at-a-time evaluator, and the contracts around them."""
 
 import datetime as dt
+import json
 import random
 from decimal import Decimal
 
@@ -10,16 +11,17 @@ from pyspark.sql import types as T
 from rowwise import decide
 
 from verdigris import compile_payload, coverage, evaluate
-from verdigris.errors import CompileError, ValidationFailed
-from verdigris.functions.registry import ArgSpec, FunctionSpec
+from verdigris.errors import CompileError, RegistryError, ValidationFailed
+from verdigris.functions.expr import literal_type
+from verdigris.functions.registry import ArgSpec, FunctionRegistry, FunctionSpec
 from verdigris.functions.standard import standard_registry
 from verdigris.plans.audit import ASSIGNMENT_EVENT, RULE_TRACE
 from verdigris.plans.checks import check_ruleset
 from verdigris.plans.describe import authoring_manifest, describe_rules
 from verdigris.plans.evaluation import result_field_names
-from verdigris.plans.typing import check_against_schema
-from verdigris.model import required_columns
-from verdigris.sources.ruleset_export import content_hash, export_yaml, payload_json, read_payload, summary_counts
+from verdigris.model import Literal, required_columns
+from verdigris.plans.typing import check_against_schema, given_by, takes
+from verdigris.sources.ruleset_export import CanonicalJson, canonical_json, content_hash, export_yaml, payload_json, read_payload, summary_counts
 from verdigris.sources.ruleset_yaml import compile_yaml
 
 BASE = {"ruleset_id": "r", "ruleset_name": "R", "version": "1", "owner": "o", "owner_department": "d"}
@@ -139,7 +141,7 @@ def test_fail_on_error_is_lazy_and_raises(spark):
     ruleset = rules({"when": {"all": [cond("v", "gt", 1)]}, "assign": {"x": 1}})
     lazy = evaluate(df, ruleset)
     for columns in ("rules_matched", "rules_assign.x.value"):
-        with pytest.raises(Exception, match="row evaluation failed with ValueError: Ordered comparison"):
+        with pytest.raises(Exception, match="Row evaluation failed with ValueError: Ordered comparison"):
             lazy.results_df.select(columns).collect()
     row = evaluate(df, ruleset, fail_on_error=False).results_df.first()
     assert row.rules_error.startswith("ValueError") and row.rules_matched is False and row.rules_assign.x.applied is False
@@ -264,7 +266,7 @@ def test_broken_documents_are_rejected(text):
 
 FULL = rules(
     {"when": {"any": [cond("a", "eq", Decimal("1.50"), tolerance_abs="0.1"), {"all": [cond("b", "is_null", active_flag=False)]}]}, "assign": {"x": {"literal": {"k": (1, Decimal(2)), "d": dt.date(2024, 1, 2)}}, "y": {"field": "c", "default_if_null": {"literal": "q", "value_type": "string"}}}, "description": "first"},
-    {"when": {"all": [cond({"assigned": "x"}, "in", {"literal": [{"$rules_engine_type": "odd", "value": 3}]})]}, "assign": {"z": {"custom_function": {"name": "coalesce", "args": {"values": [{"field": "a"}, {"custom_function": {"name": "trim", "args": {"value": "s"}}}]}}}}, "stop_on_match": True},
+    {"when": {"all": [cond({"assigned": "x"}, "in", {"literal": [{"$type": "odd", "value": 3}]})]}, "assign": {"z": {"custom_function": {"name": "coalesce", "args": {"values": [{"field": "a"}, {"custom_function": {"name": "trim", "args": {"value": "s"}}}]}}}}, "stop_on_match": True},
     description="whole",
 )
 
@@ -274,7 +276,96 @@ def test_round_trips():
     assert read_payload(payload_json(FULL)) == FULL and content_hash(read_payload(payload_json(FULL))) == content_hash(FULL)
     assert summary_counts(FULL) == {"rule_count": 2, "condition_count": 3, "assignment_count": 3, "custom_function_count": 2}
     with pytest.raises(ValueError):
-        read_payload('{"$rules_engine_type":"what","value":1}')
+        read_payload('{"$type":"what","value":1}')
+    assert compile_yaml(export_yaml(FULL, tuple_tag="!other/tuple"), "!other/tuple") == FULL
+    assert read_payload(payload_json(FULL, "$other"), "$other") == FULL and content_hash(FULL, "$other") != content_hash(FULL)
+
+
+ENVELOPES = [dt.date(2024, 2, 29), dt.datetime(2024, 2, 29, 1, 2, 3), (1, (2, "x")), {1, 2}, {"$type": "date", "value": "x"}, {"$type": {"$type": 1}}, Decimal("1.50"), Decimal(7), -3, "\u00e9\n", None, True, [{"b": [], "a": {}}]]
+
+
+@pytest.mark.parametrize("value", ENVELOPES, ids=repr)
+def test_stored_values_come_back(value):
+    read = CanonicalJson().read(canonical_json(value))
+    assert read == value and type(read) is type(value) and canonical_json(read) == canonical_json(value)
+
+
+@pytest.mark.parametrize("text", ['{"$type":"date","value":1}', '{"$type":"date","value":"2024-13-01"}', '{"$type":"tuple","value":{}}', '{"$type":"set","value":[[1]]}', '{"$type":["set"],"value":[1]}', '{"$type":"mapping","value":[]}'])
+def test_broken_envelopes_are_rejected(text):
+    with pytest.raises(ValueError):
+        CanonicalJson().read(text)
+
+
+@pytest.mark.parametrize("options", [{"name": " "}, {"name": 3}, {"required": 1}, {"literal_only": "no"}, {"type_hint": "text"}, {"default": 2}, {"required": False, "allowed_values": ["a"]}])
+def test_broken_arguments_are_rejected(options):
+    with pytest.raises(RegistryError):
+        ArgSpec(**{"name": "a"} | options)
+
+
+CHOICE = ArgSpec("mode", False, "a", "string", ("a", "b"), True)
+
+
+@pytest.mark.parametrize(
+    "options",
+    [
+        {"function_name": ""}, {"implementation_reference": None}, {"arguments": [CHOICE]}, {"arguments": ("x",)}, {"active": None}, {"allowed_in_condition": 1}, {"return_type_hint": " "}, {"return_type_hint": "text"},
+        {"arguments": (ArgSpec("a"), ArgSpec("a"))}, {"return_type_hint": "same_as:z"}, {"return_type_hint": "like:mode"}, {"return_type_hint": "common_type:mode"}, {"arguments": (ArgSpec("a", allowed_values=(), literal_only=True),)},
+        {"arguments": (ArgSpec("a", allowed_values=(1,)),)}, {"arguments": (ArgSpec("a", False, 3, allowed_values=(1,), literal_only=True),)}, {"arguments": (ArgSpec("a", False, object()),)},
+    ],
+)
+def test_broken_contracts_are_rejected(options):
+    with pytest.raises(RegistryError):
+        FunctionSpec(**{"function_name": "f", "implementation_reference": "m.f", "arguments": (CHOICE,)} | options)
+
+
+def test_registry_binds_and_lists():
+    spec = FunctionSpec("f", "m.f", (ArgSpec("v"), CHOICE, ArgSpec("days", False, (6, 7), "integer_sequence"), ArgSpec("bag", False, frozenset({"y", "x"}))), return_type_hint="SAME_AS:v")
+    assert list(spec.bind_args({"mode": "b", "v": 1}).items()) == [("v", 1), ("mode", "b"), ("days", (6, 7)), ("bag", frozenset({"x", "y"}))]
+    for authored in ({}, {"v": 1, "w": 2}):
+        with pytest.raises(RegistryError):
+            spec.bind_args(authored)
+    assert spec.to_payload()["arguments"][1:] == [{"name": "mode", "required": False, "type_hint": "string", "literal_only": True, "default": "a", "allowed_values": ["a", "b"]}, {"name": "days", "required": False, "type_hint": "integer_sequence", "literal_only": False, "default": [6, 7]}, {"name": "bag", "required": False, "type_hint": "any", "literal_only": False, "default": ["x", "y"]}]
+    assert json.loads(spec.to_row()["arg_contract_payload_json"]) == {"arguments": spec.to_payload()["arguments"]}
+    registry = FunctionRegistry()
+    registry.register(spec)
+    registry.register(FunctionSpec("e", "m.e"), len)
+    assert [s.function_name for s in registry.specs()] == ["e", "f"] and registry.get_implementation("e") is len and registry.native("f") is None
+    for broken in (lambda: registry.register(spec), lambda: registry.get_spec("g"), lambda: registry.get_implementation("f"), lambda: registry.register(FunctionSpec("h", "m.h"), 3)):
+        with pytest.raises(RegistryError):
+            broken()
+
+
+D, L, NUM = T.DecimalType, T.LongType(), {"b": T.ByteType(), "s": T.ShortType(), "i": T.IntegerType(), "l": T.LongType(), "f": T.FloatType(), "d": T.DoubleType()}
+
+
+@pytest.mark.parametrize(
+    ("target", "given", "want"),
+    [
+        *[(NUM[b], NUM[a], "bsil".find(a) <= "bsil".find(b)) for a in "bsil" for b in "bsil"],
+        *[(NUM[b], NUM[a], True) for a in "bsil" for b in "fd"], *[(NUM[b], NUM[a], False) for a in "fd" for b in "bsil"],
+        (NUM["d"], NUM["f"], True), (NUM["f"], NUM["d"], False), (D(38, 18), NUM["d"], False), (NUM["d"], D(3, 0), False), (L, D(3, 0), False),
+        (D(3, 0), NUM["b"], True), (D(2, 0), NUM["b"], False), (D(5, 0), NUM["s"], True), (D(4, 0), NUM["s"], False), (D(12, 2), NUM["i"], True), (D(11, 2), NUM["i"], False), (D(19, 0), L, True), (D(18, 0), L, False),
+        (D(14, 4), D(10, 2), True), (D(10, 2), D(14, 4), False), (D(12, 4), D(10, 1), False), (D(38, 38), D(38, 38), True),
+        (T.StringType(), T.StringType(), True), (T.StringType(), L, False), (T.DateType(), T.TimestampType(), False), (L, None, True),
+    ],
+)
+def test_what_types_take(target, given, want):
+    assert takes(target, given) is want
+
+
+KV = T.StructType([T.StructField("k", T.ByteType()), T.StructField("v", T.StringType())])
+
+
+@pytest.mark.parametrize(
+    ("target", "literal", "want"),
+    [
+        (NUM["b"], 127, True), (NUM["b"], 128, False), (NUM["b"], -128, True), (D(3, 1), 99, True), (D(3, 1), 100, False), (D(3, 1), Decimal("99.90"), True), (D(3, 1), Decimal("9.99"), False), (D(5, 2), Decimal("1E+2"), True),
+        (L, Decimal(1), False), (NUM["d"], Decimal(1), False), (NUM["f"], 0.1, True), (D(9, 4), 0.5, False), (T.BooleanType(), True, True), (L, True, False), (T.StringType(), "x", True), (L, "x", False), (L, None, True),
+        (KV, {"k": 7, "v": None}, True), (KV, {"k": 700, "v": "x"}, False), (T.StructType(KV.fields[:1]), {"k": 7, "v": "x"}, False),
+    ],
+)
+def test_what_types_take_of_literals(target, literal, want):
+    assert takes(target, given_by(Literal(literal), literal_type(literal))) is want
 
 
 def test_words_and_manifest():

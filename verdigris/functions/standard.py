@@ -131,7 +131,7 @@ def _if_known(v: Val, *errors: Column | None) -> list[Column]:
 # ---- text
 
 
-@standard("string", "SQL-style 1-based substring extraction.", VALUE, A("start", "integer"), optional("length", "integer", None))
+@standard("string", "Part of a text from a position counted from 1, up to a given length.", VALUE, A("start", "integer"), optional("length", "integer", None))
 def f_substring(value, start, length):
     first, bad = whole(start, "start")
     first = F.greatest(first, F.lit(1))
@@ -144,13 +144,13 @@ def f_substring(value, start, length):
     return _val(F.substr(text(value), clip(first), clip(count)), STRING, (value, start, length), *_if_known(value, bad, bad2))
 
 
-@standard("string", "Leftmost characters from text.", VALUE, A("length", "integer"))
+@standard("string", "The first characters of a text.", VALUE, A("length", "integer"))
 def f_left(value, length):
     n, bad = whole(length, "length")
     return _val(F.left(text(value), F.least(F.greatest(n, F.lit(0)), F.lit(2**31 - 1)).cast("int")), STRING, (value, length), *_if_known(value, bad))
 
 
-@standard("string", "Rightmost characters from text.", VALUE, A("length", "integer"))
+@standard("string", "The last characters of a text.", VALUE, A("length", "integer"))
 def f_right(value, length):
     n, bad = whole(length, "length")
     return _val(F.right(text(value), F.least(F.greatest(n, F.lit(0)), F.lit(2**31 - 1)).cast("int")), STRING, (value, length), *_if_known(value, bad))
@@ -164,21 +164,21 @@ def _simple(name: str, kind, description: str, hint: str, build: Callable[[Colum
     standard(hint, description, VALUE)(f)
 
 
-_simple("trim", STRING, "Trim leading and trailing whitespace.", "string", lambda t: F.btrim(t, F.lit(WHITESPACE)))
-_simple("ltrim", STRING, "Trim leading whitespace.", "string", lambda t: F.ltrim(t, F.lit(WHITESPACE)))
-_simple("rtrim", STRING, "Trim trailing whitespace.", "string", lambda t: F.rtrim(t, F.lit(WHITESPACE)))
-_simple("upper", STRING, "Convert text to uppercase.", "string", F.upper)
-_simple("lower", STRING, "Convert text to lowercase.", "string", F.lower)
-_simple("normalize_whitespace", STRING, "Trim and collapse repeated whitespace.", "string", lambda t: F.regexp_replace(F.btrim(t, F.lit(WHITESPACE)), "[" + re.escape(WHITESPACE) + "]+", " "))
-_simple("text_length", LONG, "Return text length.", "integer", lambda t: F.length(t).cast("bigint"))
-_simple("is_blank", BOOL, "Test for null or whitespace-only text.", "boolean", lambda t: t.isNull() | (F.btrim(t, F.lit(WHITESPACE)) == ""))
+_simple("trim", STRING, "The text without blanks at either end.", "string", lambda t: F.btrim(t, F.lit(WHITESPACE)))
+_simple("ltrim", STRING, "The text without blanks at its start.", "string", lambda t: F.ltrim(t, F.lit(WHITESPACE)))
+_simple("rtrim", STRING, "The text without blanks at its end.", "string", lambda t: F.rtrim(t, F.lit(WHITESPACE)))
+_simple("upper", STRING, "The text in capital letters.", "string", F.upper)
+_simple("lower", STRING, "The text in small letters.", "string", F.lower)
+_simple("normalize_whitespace", STRING, "The text with each run of blanks as one space and none at the ends.", "string", lambda t: F.regexp_replace(F.btrim(t, F.lit(WHITESPACE)), "[" + re.escape(WHITESPACE) + "]+", " "))
+_simple("text_length", LONG, "How many characters a text has.", "integer", lambda t: F.length(t).cast("bigint"))
+_simple("is_blank", BOOL, "True for null and for a text of blanks only.", "boolean", lambda t: t.isNull() | (F.btrim(t, F.lit(WHITESPACE)) == ""))
 
 
 def _required_text(v: Val, message: str) -> Column | None:
     return None if v.is_literal and v.value is not None else F.when(v.col.isNull(), error("TypeError", message))
 
 
-@standard("string", "Replace literal text.", VALUE, A("old", "string"), A("new", "string"))
+@standard("string", "The text with every occurrence of one string exchanged for another.", VALUE, A("old", "string"), A("new", "string"))
 def f_replace(value, old, new):
     t = text(value)
     between = F.regexp_replace(t, F.lit(""), F.regexp_replace(new.col, F.lit(r"([\\$])"), F.lit(r"\\$1")))
@@ -186,7 +186,7 @@ def f_replace(value, old, new):
     return _val(out, STRING, (value, old, new), *_if_known(value, _required_text(old, "replace() argument 1 must be str, not None"), _required_text(new, "replace() argument 2 must be str, not None")))
 
 
-@standard("string", "Return a 1-based delimited text part.", VALUE, A("delimiter", "string"), A("part", "integer"))
+@standard("string", "The n-th piece of a text cut at a delimiter, counted from 1.", VALUE, A("delimiter", "string"), A("part", "integer"))
 def f_split_part(value, delimiter, part):
     n, bad = whole(part, "part")
     empty = F.when(delimiter.col == "", error("ValueError", "delimiter must be non-empty."))
@@ -207,12 +207,12 @@ def _pad(value, length, pad, left: bool):
     return _val(F.when(pad.col != "", out), STRING, (value, length, pad), *_if_known(value, bad, none))
 
 
-@standard("string", "Left-pad or truncate text to an exact width.", VALUE, A("length", "integer"), optional("pad", "string", " "))
+@standard("string", "The text brought to a width: filled up at its start, or cut.", VALUE, A("length", "integer"), optional("pad", "string", " "))
 def f_pad_left(value, length, pad):
     return _pad(value, length, pad, True)
 
 
-@standard("string", "Right-pad or truncate text to an exact width.", VALUE, A("length", "integer"), optional("pad", "string", " "))
+@standard("string", "The text brought to a width: filled up at its end, or cut.", VALUE, A("length", "integer"), optional("pad", "string", " "))
 def f_pad_right(value, length, pad):
     return _pad(value, length, pad, False)
 
@@ -248,12 +248,12 @@ def _join(values, separator, skip_nulls):
     return _val(F.when(present, out), STRING, (values, separator), bad)
 
 
-@standard("string", "Join array items with explicit null handling.", *_JOIN_ARGS)
+@standard("string", "Items put together with a separator; nulls are skipped or make the result null.", *_JOIN_ARGS)
 def f_concat_ws(values, separator, skip_nulls):
     return _join(values, separator, skip_nulls)
 
 
-@standard("string", "Join array items as text.", *_JOIN_ARGS)
+@standard("string", "A list's items as one text with a separator; nulls are skipped or make the result null.", *_JOIN_ARGS)
 def f_array_join(values, separator, skip_nulls):
     return _join(values, separator, skip_nulls)
 
@@ -279,7 +279,7 @@ def _literal_pattern(pattern: Val) -> str:
     return java_pattern(pattern.value)
 
 
-@standard("string", "Extract a regex capture group.", VALUE, A("pattern", "string"), optional("group", "integer", 1))
+@standard("string", "What a group of a pattern caught in a text, null without a match.", VALUE, A("pattern", "string"), optional("group", "integer", 1))
 def f_regex_extract(value, pattern, group):
     if not group.is_literal or isinstance(group.value, bool) or not isinstance(group.value, int):
         raise Unsupported
@@ -293,7 +293,7 @@ def f_regex_extract(value, pattern, group):
     return _val(F.when(F.regexp_like(t, F.lit(found)), F.regexp_extract(t, found, group.value)), STRING, (value,))
 
 
-@standard("string", "Replace regex matches.", VALUE, A("pattern", "string"), A("replacement", "string"))
+@standard("string", "The text with what a pattern matches exchanged for a replacement.", VALUE, A("pattern", "string"), A("replacement", "string"))
 def f_regex_replace(value, pattern, replacement):
     found = _literal_pattern(pattern)
     if not replacement.is_literal or not isinstance(replacement.value, str):
@@ -318,12 +318,12 @@ def f_regex_replace(value, pattern, replacement):
     return _val(F.regexp_replace(text(value), found, "".join(parts)), STRING, (value,))
 
 
-@standard("boolean", "Test whether a regex matches text.", VALUE, A("pattern", "string"))
+@standard("boolean", "True where a pattern is found somewhere in the text.", VALUE, A("pattern", "string"))
 def f_regex_match(value, pattern):
     return _val(F.regexp_like(text(value), F.lit(_literal_pattern(pattern))), BOOL, (value,))
 
 
-@standard("boolean", "Test whether text contains any candidate.", VALUE, A("candidates", "string_sequence"))
+@standard("boolean", "True where at least one of the candidates stands in the text.", VALUE, A("candidates", "string_sequence"))
 def f_text_contains_any(value, candidates):
     t = text(value)
     if candidates.items is not None and all(i.is_literal and (i.value is None or isinstance(i.value, str)) for i in candidates.items):
@@ -334,7 +334,7 @@ def f_text_contains_any(value, candidates):
     return _val(out, BOOL, (value, candidates), *_if_known(value, bad))
 
 
-@standard("same_as:value", "Return null when two values are equal.", VALUE, A("compare_to"))
+@standard("same_as:value", "The value, or null where it equals the other one.", VALUE, A("compare_to"))
 def f_null_if(value, compare_to):
     a, b = value, compare_to
     if a.type is None or b.type is None:
@@ -348,7 +348,7 @@ def f_null_if(value, compare_to):
     return _val(F.when(~same, a.col), a.type, (a, b))
 
 
-@standard("common_type:values", "Return the first non-null array item.", A("values", "sequence"))
+@standard("common_type:values", "The first item that isn't null.", A("values", "sequence"))
 def f_coalesce(values):
     if values.items is not None:
         if isinstance(values.type, T.ArrayType):
@@ -373,27 +373,27 @@ def _blank(v: Val) -> Column:
     return F.btrim(v.col, F.lit(WHITESPACE)) == "" if is_text(v.type) else F.lit(False)
 
 
-@standard("string", "Convert a scalar value to text.", VALUE, ON_ERROR)
+@standard("string", "A single value as text.", VALUE, ON_ERROR)
 def f_to_string(value, on_error):
     out = scalar_text(value)
     ok = F.lit(out is not None)
     return _converted(value, on_error, out if out is not None else F.lit(None).cast("string"), STRING, ok, "Cannot convert value to string")
 
 
-@standard("decimal", "Convert a scalar value to Decimal.", VALUE, ON_ERROR)
+@standard("decimal", "A single value as an exact decimal.", VALUE, ON_ERROR)
 def f_to_decimal(value, on_error):
     d = number(value).try_cast(WIDE) if value.type is not None else F.lit(None).cast(WIDE)
     return _converted(value, on_error, d, WIDE, d.isNotNull() | _blank(value) | value.col.isNull(), "Cannot convert value to decimal")
 
 
-@standard("integer", "Convert a scalar value to an exact integer.", VALUE, ON_ERROR)
+@standard("integer", "A single value as a whole number, without losing a fraction.", VALUE, ON_ERROR)
 def f_to_integer(value, on_error):
     d = number(value)
     n = F.when(d == F.floor(d), d).try_cast("bigint")
     return _converted(value, on_error, n, LONG, n.isNotNull() | _blank(value) | value.col.isNull(), "Cannot convert value to integer")
 
 
-@standard("boolean", "Convert an explicit boolean representation.", VALUE, ON_ERROR)
+@standard("boolean", "True or false from the words and digits that stand for them.", VALUE, ON_ERROR)
 def f_to_boolean(value, on_error):
     if isinstance(value.type, T.BooleanType):
         return _val(value.col, BOOL, (value,))
@@ -402,7 +402,7 @@ def f_to_boolean(value, on_error):
     return _converted(value, on_error, out, BOOL, out.isNotNull() | _blank(value) | value.col.isNull(), "Cannot convert value to boolean")
 
 
-@standard("date", "Convert an ISO YYYY-MM-DD value to a date.", VALUE, ON_ERROR)
+@standard("date", "A date from its ISO form, year first.", VALUE, ON_ERROR)
 def f_to_date(value, on_error):
     out = to_day(value)
     return _converted(value, on_error, out, DATE, out.isNotNull() | _blank(value) | value.col.isNull(), "Cannot convert value to date; expected ISO YYYY-MM-DD")
@@ -411,7 +411,7 @@ def f_to_date(value, on_error):
 _ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?"
 
 
-@standard("timestamp", "Convert an offset ISO timestamp to UTC.", VALUE, ON_ERROR)
+@standard("timestamp", "An instant from an ISO time with an offset, in UTC.", VALUE, ON_ERROR)
 def f_to_timestamp(value, on_error):
     out = F.lit(None).cast("timestamp")
     if is_text(value.type):
@@ -422,7 +422,7 @@ def f_to_timestamp(value, on_error):
     return _converted(value, on_error, out, T.TimestampType(), out.isNotNull() | value.col.isNull(), "Cannot convert value to timestamp")
 
 
-@standard("timestamp_ntz", "Convert an ISO timestamp without a time zone.", VALUE, ON_ERROR)
+@standard("timestamp_ntz", "A wall-clock time from an ISO time without an offset.", VALUE, ON_ERROR)
 def f_to_timestamp_ntz(value, on_error):
     out = F.lit(None).cast("timestamp_ntz")
     if is_text(value.type):
@@ -471,33 +471,33 @@ def _product(a: Column, b: Column) -> Column:
     return F.coalesce(*[(_lossless(a, *p) * _lossless(b, *q)).try_cast(WIDE) for p, q in shapes])
 
 
-@standard("decimal", "Return an absolute decimal value.", VALUE)
+@standard("decimal", "A decimal without its sign.", VALUE)
 def f_decimal_abs(value):
     a, bad = exact(value, "value")
     return _fitted(F.abs(a).try_cast(WIDE), a.isNotNull(), (value,), *_if_known(value, bad))
 
 
-@standard("decimal", "Add two decimal values.", A("left"), A("right"))
+@standard("decimal", "The sum of two decimals.", A("left"), A("right"))
 def f_decimal_add(left, right):
     return _two(left, right, ("left", "right"), _sum(1))
 
 
-@standard("decimal", "Subtract two decimal values.", A("left"), A("right"))
+@standard("decimal", "The first decimal less the second.", A("left"), A("right"))
 def f_decimal_subtract(left, right):
     return _two(left, right, ("left", "right"), _sum(-1))
 
 
-@standard("decimal", "Multiply two decimal values.", A("left"), A("right"))
+@standard("decimal", "The product of two decimals.", A("left"), A("right"))
 def f_decimal_multiply(left, right):
     return _two(left, right, ("left", "right"), _product)
 
 
-@standard("decimal", "Return the smaller decimal.", A("left"), A("right"))
+@standard("decimal", "The lesser of two decimals.", A("left"), A("right"))
 def f_decimal_min(left, right):
     return _two(left, right, ("left", "right"), lambda a, b: F.least(a.try_cast(WIDE), b.try_cast(WIDE)))
 
 
-@standard("decimal", "Return the larger decimal.", A("left"), A("right"))
+@standard("decimal", "The greater of two decimals.", A("left"), A("right"))
 def f_decimal_max(left, right):
     return _two(left, right, ("left", "right"), lambda a, b: F.greatest(a.try_cast(WIDE), b.try_cast(WIDE)))
 
@@ -559,12 +559,12 @@ def _divide(numerator, denominator, scale, rounding_mode, bind, safe: bool):
 _DIVIDE_ARGS = (A("numerator"), A("denominator"), optional("scale", "integer", 18), ROUNDING)
 
 
-@standard("decimal", "Divide and round decimal values; zero is an error.", *_DIVIDE_ARGS)
+@standard("decimal", "A rounded quotient of decimals; a divisor of zero fails the row.", *_DIVIDE_ARGS)
 def f_decimal_divide(numerator, denominator, scale, rounding_mode, bind=lambda level, col: col):
     return _divide(numerator, denominator, scale, rounding_mode, bind, False)
 
 
-@standard("decimal", "Divide decimals; zero returns null.", *_DIVIDE_ARGS)
+@standard("decimal", "A rounded quotient of decimals; a divisor of zero gives null.", *_DIVIDE_ARGS)
 def f_decimal_safe_divide(numerator, denominator, scale, rounding_mode, bind=lambda level, col: col):
     return _divide(numerator, denominator, scale, rounding_mode, bind, True)
 
@@ -587,7 +587,7 @@ def round_to(x: Column, places: int, mode: str) -> Column:
     return (F.ceil(size, F.lit(places)) if mode == "up" else F.floor(size, F.lit(places))) * sign
 
 
-@standard("decimal", "Round a decimal using an explicit mode.", VALUE, A("scale", "integer"), ROUNDING)
+@standard("decimal", "A decimal rounded to a number of places in a named way.", VALUE, A("scale", "integer"), ROUNDING)
 def f_decimal_round(value, scale, rounding_mode):
     a, bad = exact(value, "value")
     a, mode = a.try_cast(WIDE), rounding_mode.value
@@ -600,7 +600,7 @@ def f_decimal_round(value, scale, rounding_mode):
     return _fitted(out, a.isNotNull(), (value, scale), *_if_known(value, bad, wrong, outside))
 
 
-@standard("decimal", "Clamp a decimal to inclusive bounds.", VALUE, A("minimum"), A("maximum"))
+@standard("decimal", "A decimal, or the bound it lies beyond.", VALUE, A("minimum"), A("maximum"))
 def f_decimal_clamp(value, minimum, maximum):
     parts = [exact(v, n) for v, n in ((value, "value"), (minimum, "minimum"), (maximum, "maximum"))]
     x, low, high = (p[0].try_cast(WIDE) for p in parts)
@@ -622,12 +622,12 @@ def _calendar(name: str, description: str, kind, hint: str, build: Callable[[Col
     standard(hint, description, VALUE)(f)
 
 
-_calendar("month_start", "Return the first calendar day of a month.", DATE, "date", lambda d: F.trunc(d, "MM"))
-_calendar("month_end", "Return the final calendar day of a month.", DATE, "date", F.last_day)
-_calendar("quarter_start", "Return the first calendar day of a quarter.", DATE, "date", lambda d: F.trunc(d, "QUARTER"))
-_calendar("quarter_end", "Return the final calendar day of a quarter.", DATE, "date", lambda d: F.last_day(F.add_months(F.trunc(d, "QUARTER"), 2)))
-_calendar("year_start", "Return the first calendar day of a year.", DATE, "date", lambda d: F.trunc(d, "YEAR"))
-_calendar("year_end", "Return the final calendar day of a year.", DATE, "date", lambda d: F.add_months(F.trunc(d, "YEAR"), 11) + F.expr("interval 30 days"))
+_calendar("month_start", "The first day of the date's month.", DATE, "date", lambda d: F.trunc(d, "MM"))
+_calendar("month_end", "The last day of the date's month.", DATE, "date", F.last_day)
+_calendar("quarter_start", "The first day of the date's quarter.", DATE, "date", lambda d: F.trunc(d, "QUARTER"))
+_calendar("quarter_end", "The last day of the date's quarter.", DATE, "date", lambda d: F.last_day(F.add_months(F.trunc(d, "QUARTER"), 2)))
+_calendar("year_start", "The first day of the date's year.", DATE, "date", lambda d: F.trunc(d, "YEAR"))
+_calendar("year_end", "The last day of the date's year.", DATE, "date", lambda d: F.add_months(F.trunc(d, "YEAR"), 11) + F.expr("interval 30 days"))
 
 
 def _moved(value: Val, by: Val, label: str, per: int, unit: str) -> Val:
@@ -647,17 +647,17 @@ def _moved(value: Val, by: Val, label: str, per: int, unit: str) -> Val:
     return _val(out, DATE, (value, by), bad, F.when(d.isNotNull(), wrong) if wrong is not None else None, outside)
 
 
-@standard("date", "Add integral calendar days.", VALUE, A("days", "integer"))
+@standard("date", "The date some days later, or earlier.", VALUE, A("days", "integer"))
 def f_date_add_days(value, days):
     return _moved(value, days, "days", 1, "days")
 
 
-@standard("date", "Add calendar months with month-end clamping.", VALUE, A("months", "integer"))
+@standard("date", "The date some months later, on the month's last day where its own is missing.", VALUE, A("months", "integer"))
 def f_date_add_months(value, months):
     return _moved(value, months, "months", 1, "months")
 
 
-@standard("date", "Add calendar years with leap-day clamping.", VALUE, A("years", "integer"))
+@standard("date", "The date some years later, on 28 February where the 29th is missing.", VALUE, A("years", "integer"))
 def f_date_add_years(value, years):
     return _moved(value, years, "years", 12, "months")
 
@@ -677,17 +677,17 @@ def _completed(per: int):
     return build
 
 
-@standard("integer", "Return elapsed calendar days.", A("start"), A("end"))
+@standard("integer", "Days from the first date to the second.", A("start"), A("end"))
 def f_date_diff_days(start, end):
     return _between(start, end, lambda a, b: F.datediff(b, a))
 
 
-@standard("integer", "Return completed whole calendar months.", A("start"), A("end"))
+@standard("integer", "Full months from the first date to the second.", A("start"), A("end"))
 def f_date_diff_months(start, end):
     return _between(start, end, _completed(1))
 
 
-@standard("integer", "Return completed whole calendar years.", A("start"), A("end"))
+@standard("integer", "Full years from the first date to the second.", A("start"), A("end"))
 def f_date_diff_years(start, end):
     return _between(start, end, _completed(12))
 
@@ -695,7 +695,7 @@ def f_date_diff_years(start, end):
 _PARTS = {"year": F.year, "quarter": F.quarter, "month": F.month, "day": F.dayofmonth, "day_of_week": lambda d: F.weekday(d) + 1, "day_of_year": F.dayofyear}
 
 
-@standard("integer", "Return a named calendar component.", VALUE, A("part", "string", allowed_values=DATE_PARTS, literal_only=True))
+@standard("integer", "One part of a date by name.", VALUE, A("part", "string", allowed_values=DATE_PARTS, literal_only=True))
 def f_date_part(value, part):
     d, bad = day(value)
     return _val(_PARTS[part.value](d).cast("bigint"), LONG, (value,), bad)
@@ -726,12 +726,12 @@ def _business_day(value: Val, holidays: Val, weekend_days: Val, last: bool) -> V
     return _val(out, DATE, (value, holidays), bad, *[F.when(known, e) for e in (wrong, missing, unread, empty, static, none) if e is not None])
 
 
-@standard("date", "Return the month's first configured business day.", *_BUSINESS_ARGS)
+@standard("date", "The month's first day that is neither at a weekend nor a holiday.", *_BUSINESS_ARGS)
 def f_first_business_day_of_month(value, holidays, weekend_days):
     return _business_day(value, holidays, weekend_days, False)
 
 
-@standard("date", "Return the month's last configured business day.", *_BUSINESS_ARGS)
+@standard("date", "The month's last day that is neither at a weekend nor a holiday.", *_BUSINESS_ARGS)
 def f_last_business_day_of_month(value, holidays, weekend_days):
     return _business_day(value, holidays, weekend_days, True)
 
@@ -739,7 +739,7 @@ def f_last_business_day_of_month(value, holidays, weekend_days):
 # ---- arrays
 
 
-@standard("integer", "Return an array's item count.", A("values", "sequence"))
+@standard("integer", "How many items a list has.", A("values", "sequence"))
 def f_array_size(values):
     if values.items is not None:
         return _val(F.lit(len(values.items)).cast("bigint"), LONG, (values,))
@@ -763,12 +763,12 @@ def _contains(values: Val, candidates: Val, every: bool) -> Val:
 _ARRAY_ARGS = (A("values", "sequence"), A("candidates", "sequence"))
 
 
-@standard("boolean", "Test whether an array contains any candidate.", *_ARRAY_ARGS)
+@standard("boolean", "True where at least one of the candidates is in the list.", *_ARRAY_ARGS)
 def f_array_contains_any(values, candidates):
     return _contains(values, candidates, False)
 
 
-@standard("boolean", "Test whether an array contains all candidates.", *_ARRAY_ARGS)
+@standard("boolean", "True where every candidate is in the list.", *_ARRAY_ARGS)
 def f_array_contains_all(values, candidates):
     return _contains(values, candidates, True)
 

@@ -26,8 +26,8 @@ from verdigris.sources.ruleset_export import content_hash
 COMPACT_FIELDS = ("error", "matched", "matched_rule_ids", "assign")
 AUDIT_FIELDS = ("matched_rules", "assignment_results")
 IDENTITY_FIELDS = ("ruleset", "engine_version")
-#: Fixed value: the start of the message with which a failed row raises.
-FAILURE = "Rules engine row evaluation failed with "
+#: The start of the message with which a failed row raises.
+FAILURE = "Row evaluation failed with "
 _IDS = T.ArrayType(T.StringType(), False)
 
 

@@ -10,6 +10,7 @@ import hashlib
 import json
 import math
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from decimal import Decimal
 from pathlib import Path
 from typing import Any
@@ -19,8 +20,8 @@ import yaml
 from verdigris.model import OPERANDS, Assignment, AssignedRef, Call, Condition, FieldRef, Group, Literal, Rule, Ruleset, all_operands
 from verdigris.sources.ruleset_yaml import TUPLE_TAG, compile_payload
 
-#: The keys of a typed envelope in stored JSON.
-TYPE_KEY, VALUE_KEY = "$rules_engine_type", "value"
+#: The keys of a typed envelope in stored JSON.
+TYPE_KEY, VALUE_KEY = "$type", "value"
 
 
 def _default(value: Literal) -> Any:
@@ -61,16 +62,17 @@ def to_plain(node: Any) -> Any:
 
 
 class _Dumper(yaml.SafeDumper):
-    """Safe dumper with exact decimals and tuples."""
+    """Safe dumper with exact decimals."""
 
 
 _Dumper.add_representer(Decimal, lambda d, v: d.represent_scalar("tag:yaml.org,2002:float", text if "." in (text := format(v, "f")) else f"{text}.0"))
-_Dumper.add_representer(tuple, lambda d, v: d.represent_sequence(TUPLE_TAG, v))
 
 
-def export_yaml(ruleset: Ruleset, path: str | Path | None = None) -> str:
+def export_yaml(ruleset: Ruleset, path: str | Path | None = None, tuple_tag: str = TUPLE_TAG) -> str:
     """YAML text of a ruleset, also written to ``path`` if given."""
-    text = yaml.dump(to_plain(ruleset), Dumper=_Dumper, sort_keys=False, allow_unicode=True)
+    dumper = type("_TaggedDumper", (_Dumper,), {})
+    dumper.add_representer(tuple, lambda d, v: d.represent_sequence(tuple_tag, v))
+    text = yaml.dump(to_plain(ruleset), Dumper=dumper, sort_keys=False, allow_unicode=True)
     if path is not None:
         Path(path).write_text(text, encoding="utf-8")
     return text
@@ -79,69 +81,94 @@ def export_yaml(ruleset: Ruleset, path: str | Path | None = None) -> str:
 # ---- canonical JSON
 
 
-def _tag(kind: str, body: str) -> str:
-    return f'{{"{TYPE_KEY}":"{kind}","{VALUE_KEY}":{body}}}'
-
-
-def _object(value: Mapping) -> str:
-    return "{" + ",".join(f"{json.dumps(k)}:{canonical_json(v)}" for k, v in sorted((str(k), v) for k, v in value.items())) + "}"
-
-
-def canonical_json(value: Any) -> str:
-    """Sorted JSON without blanks that keeps decimals exact and tags what JSON lacks."""
-    if isinstance(value, float | Decimal) and not math.isfinite(value):
-        raise ValueError("Persisted numbers must be finite.")
-    if isinstance(value, Decimal):
-        text = str(value)
-        return text if set(text) & set(".eE") else text + "e0"  # stays a fraction when read again
-    if isinstance(value, dt.date):
-        return _tag("datetime" if isinstance(value, dt.datetime) else "date", json.dumps(value.isoformat()))
-    if isinstance(value, list | tuple):
-        body = "[" + ",".join(map(canonical_json, value)) + "]"
-        return _tag("tuple", body) if isinstance(value, tuple) else body
-    if isinstance(value, set | frozenset):
-        return _tag("set", "[" + ",".join(sorted(map(canonical_json, value))) + "]")
-    if isinstance(value, Mapping):
-        return _tag("mapping", _object(value)) if TYPE_KEY in value else _object(value)
-    return json.dumps(value)
-
-
-def _open(value: Any) -> Any:
-    if isinstance(value, list):
-        return [_open(v) for v in value]
-    if not isinstance(value, dict):
-        return value
-    if set(value) != {TYPE_KEY, VALUE_KEY}:
-        return {k: _open(v) for k, v in value.items()}
-    kind, body = value[TYPE_KEY], value[VALUE_KEY]
-    wanted = {"date": str, "datetime": str, "tuple": list, "set": list, "mapping": dict}.get(kind)
-    if wanted is None:
-        raise ValueError(f"Unsupported persisted literal type envelope: {kind!r}.")
-    if not isinstance(body, wanted):
-        raise ValueError(f"Invalid persisted {kind!r} envelope.")
-    try:
-        if wanted is str:
-            return (dt.date if kind == "date" else dt.datetime).fromisoformat(body)
-        if wanted is dict:
-            return {k: _open(v) for k, v in body.items()}
-        return (tuple if kind == "tuple" else set)(map(_open, body))
-    except (TypeError, ValueError) as exc:
-        raise ValueError(f"Invalid persisted {kind!r} envelope.") from exc
-
-
-def payload_json(ruleset: Ruleset) -> str:
+@dataclass(frozen=True)
+class Wrapped:
+    """A kind of value that JSON lacks: what it holds inside its envelope, and how it is made from that again."""
+
+    holds: type
+    inside: Callable[[Any], Any]
+    outside: Callable[[Any], Any]
+
+
+#: By the name in the envelope.
+WRAPPED = {
+    "date": Wrapped(str, dt.date.isoformat, dt.date.fromisoformat),
+    "datetime": Wrapped(str, dt.datetime.isoformat, dt.datetime.fromisoformat),
+    "tuple": Wrapped(list, list, tuple),
+    "set": Wrapped(list, list, set),
+    "mapping": Wrapped(dict, dict, dict),
+}
+_KINDS = {dt.datetime: "datetime", dt.date: "date", tuple: "tuple", set: "set", frozenset: "set"}
+
+
+class CanonicalJson:
+    """Sorted JSON without blanks that keeps decimals exact and puts what JSON lacks into envelopes.
+
+    An envelope is an object of just ``type_key`` and ``value_key``. Documents written elsewhere may use other keys.
+    """
+
+    def __init__(self, type_key: str = TYPE_KEY, value_key: str = VALUE_KEY):
+        self.type_key, self.value_key = type_key, value_key
+
+    def write(self, value: Any) -> str:
+        if isinstance(value, float | Decimal) and not math.isfinite(value):
+            raise ValueError(f"{value} can't be stored: a number must be finite.")
+        if isinstance(value, Decimal):
+            text = str(value)
+            return text if set(text) & set(".eE") else text + "e0"  # stays a fraction when read again
+        kind = _KINDS.get(type(value), "mapping" if isinstance(value, Mapping) and self.type_key in value else None)
+        if kind is not None:
+            body = self._body(WRAPPED[kind].inside(value), sort=kind == "set")
+            return f'{{"{self.type_key}":"{kind}","{self.value_key}":{body}}}'
+        return self._body(value)
+
+    def _body(self, value: Any, sort: bool = False) -> str:
+        if isinstance(value, Mapping):
+            return "{" + ",".join(f"{json.dumps(k)}:{self.write(v)}" for k, v in sorted((str(k), v) for k, v in value.items())) + "}"
+        if isinstance(value, list):
+            items = [self.write(v) for v in value]
+            return "[" + ",".join(sorted(items) if sort else items) + "]"
+        return json.dumps(value)
+
+    def read(self, text: str) -> Any:
+        return self._opened(json.loads(text, parse_float=Decimal))
+
+    def _opened(self, value: Any) -> Any:
+        if isinstance(value, list):
+            return [self._opened(v) for v in value]
+        if not isinstance(value, dict):
+            return value
+        if value.keys() != {self.type_key, self.value_key}:
+            return {k: self._opened(v) for k, v in value.items()}
+        kind, body = value[self.type_key], value[self.value_key]
+        wrapped = WRAPPED.get(kind) if isinstance(kind, str) else None
+        try:
+            if wrapped is None or not isinstance(body, wrapped.holds):
+                raise TypeError(f"{type(body).__name__} in it")
+            # the members of a mapping are opened one by one: as a whole it may look like an envelope again
+            return wrapped.outside({k: self._opened(v) for k, v in body.items()} if wrapped.holds is dict else self._opened(body))
+        except (TypeError, ValueError) as exc:
+            raise ValueError(f"No value of kind {kind!r} in a stored envelope: {exc}") from exc
+
+
+def canonical_json(value: Any, type_key: str = TYPE_KEY) -> str:
+    """See :class:`CanonicalJson`."""
+    return CanonicalJson(type_key).write(value)
+
+
+def payload_json(ruleset: Ruleset, type_key: str = TYPE_KEY) -> str:
     """The stored document of a ruleset."""
-    return canonical_json(to_plain(ruleset))
+    return canonical_json(to_plain(ruleset), type_key)
 
 
-def content_hash(ruleset: Ruleset) -> str:
+def content_hash(ruleset: Ruleset, type_key: str = TYPE_KEY) -> str:
     """SHA-256 of the stored document."""
-    return hashlib.sha256(payload_json(ruleset).encode()).hexdigest()
+    return hashlib.sha256(payload_json(ruleset, type_key).encode()).hexdigest()
 
 
-def read_payload(text: str) -> Ruleset:
+def read_payload(text: str, type_key: str = TYPE_KEY) -> Ruleset:
     """A ruleset from its stored document."""
-    return compile_payload(_open(json.loads(text, parse_float=Decimal)))
+    return compile_payload(CanonicalJson(type_key).read(text))
 
 
 def summary_counts(ruleset: Ruleset) -> dict[str, int]:

@@ -21,8 +21,8 @@ from verdigris.errors import CompileError
 from verdigris.model import HINTS, OPERATORS, Assignment, AssignedRef, Call, Condition, FieldRef, Group, Literal, Rule, Ruleset
 
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
-#: Fixed value: the tag of a tuple in the exchange format.
-TUPLE_TAG = "!rules_engine/tuple"
+#: The tag of a tuple; documents written elsewhere may use another one.
+TUPLE_TAG = "!tuple"
 REQUIRED = object()
 
 
@@ -56,7 +56,6 @@ def _fraction(loader: _Loader, node: yaml.ScalarNode):
 
 _Loader.add_constructor("tag:yaml.org,2002:map", _mapping)
 _Loader.add_constructor("tag:yaml.org,2002:float", _fraction)
-_Loader.add_constructor(TUPLE_TAG, lambda loader, node: tuple(loader.construct_sequence(node, deep=True)))
 
 
 # ---- typed readers of single values
@@ -336,17 +335,19 @@ def compile_payload(payload: Any) -> Ruleset:
     return Ruleset(p["ruleset_id"], p["ruleset_name"], p["version"], tuple(_rule(r, at) for at, r in enumerate(p["rules"], 1)), p["description"], p["owner"], p["owner_department"])
 
 
-def compile_yaml(text: str) -> Ruleset:
+def compile_yaml(text: str, tuple_tag: str = TUPLE_TAG) -> Ruleset:
     """A ruleset from YAML text."""
+    loader = type("_TaggedLoader", (_Loader,), {})
+    loader.add_constructor(tuple_tag, lambda own, node: tuple(own.construct_sequence(node, deep=True)))
     try:
-        payload = yaml.load(text, Loader=_Loader)  # noqa: S506 - a SafeLoader
+        payload = yaml.load(text, Loader=loader)  # noqa: S506 - a SafeLoader
     except yaml.YAMLError as exc:
         raise CompileError(f"Failed to parse YAML: {exc}") from exc
     return compile_payload(payload)
 
 
-def compile_yaml_file(path: str | Path) -> Ruleset:
+def compile_yaml_file(path: str | Path, tuple_tag: str = TUPLE_TAG) -> Ruleset:
     """A ruleset from a UTF-8 YAML file."""
     if not Path(path).exists():
         raise CompileError(f"Ruleset YAML file not found: {path}")
-    return compile_yaml(Path(path).read_text(encoding="utf-8"))
+    return compile_yaml(Path(path).read_text(encoding="utf-8"), tuple_tag)
