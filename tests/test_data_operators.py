@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigris import session
 from verdigris.operators import heavy_keys, orphans, shred
+from verdigris.operators.skew import join_by_key
 from verdigris.plans import data_queries
 
 
@@ -220,6 +221,19 @@ def test_orphans_split_gives_what_one_join_gives(spark):
     assert orphans.orphans(refs, intervals.limit(0), always.limit(0), listed.limit(0)).count() == 24
 
 
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_joins_by_hot_keys_give_what_one_join_gives(spark, how):
+    rows = [("hot", 1, i) for i in range(60)] + [(None, 2, i) for i in range(30)] + [(f"k{i}", None, i) for i in range(10)]
+    left = spark.createDataFrame(rows, "a string, b int, v int")
+    right = spark.createDataFrame([("hot", 1, "x"), (None, 2, "y"), ("k3", None, "z"), ("none", 1, "q")], "a string, b int, w string")
+    want = sorted((a or "", b or 0, v, *([w] if how == "inner" else [])) for a, b, v in rows for c, d, w in (("hot", 1, "x"), (None, 2, "y"), ("k3", None, "z")) if (a, b) == (c, d))
+    for least in (5, 1000):
+        got = join_by_key(left, right, ["a", "b"], how, 0.1, least)
+        assert got.columns == ["a", "b", "v", *(["w"] if how == "inner" else [])]
+        assert sorted((a or "", b or 0, *rest) for a, b, *rest in got.collect()) == want
+    assert join_by_key(left.limit(0), right, ["a", "b"], how).count() == 0
+
+
 def test_heavy_keys_match_counters(spark):
     rows = [(i, "hot" if i % 3 else f"k{i}", None if i % 5 == 0 else f"w{i % 7}", i % 2 == 0, None) for i in range(3000)]
     rows += rows[:500] + [(None, "hot", "w", True, True)] * 3

@@ -1,6 +1,8 @@
 """Value tables of the standard functions, through literals and through columns."""
 
 import datetime as dt
+import random
+import re
 from decimal import Decimal as D
 
 import pytest
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 from verdigris import compile_payload, evaluate
 from verdigris.functions.compare import compare
 from verdigris.functions.expr import Val, literal, shown, text, trace_text
-from verdigris.functions.standard import Unsupported, standard_registry
 from verdigris.functions import fallback
+from verdigris.functions.patterns import JavaPattern, Untranslatable
+from verdigris.functions.standard import Unsupported, standard_registry
 
 R = standard_registry()
 day = dt.date
@@ -116,6 +119,92 @@ def test_python_fallbacks_through_rules(spark):
         fallback.decimal_divide(1, 0)
 
 
+ATOMS = ["a", "b", ".", r"\d", r"\s", r"\S", r"\w", r"\W", r"\b", r"\B", "^", "$", r"\Z", "[ab]", "[^a]", "[a&&b]", "[a[]", "[^\\s&]", r"[\W\d]", "[a-c-]", "&", "K", r"\r", r"\x1c", "(?i:k)", "(?m:^a)", "(?m:b$)", "(?s:.)", "(a)", "(?P<n>b)?", "(?=a)", "(?!b)", "(?<=a)", "(?<!b)", "(a|b)", "(?>a+)"]
+QUANTIFIERS = ["", "", "", "*", "+", "?", "{2}", "{0,2}", "*?", "+?", "++"]
+TEXTS = ["", "a", "ab", "a\rb", "a\nb", "b\n", "\n", "&", "[", "x\x1cy", "a b", "a\u2028b", "\u00e9a", "\u0663", "k", "\u212a", "aab1 ba", "b-c", "\U0001f600a", "_a", "a\x85", "\u00b2"]
+
+
+def pattern(rng):
+    parts = []
+    for _ in range(rng.randint(1, 4)):
+        part = rng.choice(ATOMS) + rng.choice(QUANTIFIERS)
+        parts.append(f"(?:{part}|{rng.choice(ATOMS)})" if rng.random() < 0.15 else part)
+    return "".join(parts)
+
+
+@pytest.mark.filterwarnings("ignore::FutureWarning")
+def test_patterns_mean_what_they_mean_in_python(spark):
+    rng, patterns = random.Random(5), set()
+    while len(patterns) < 150:
+        p = pattern(rng)
+        try:
+            re.compile(p)
+            JavaPattern(p)
+        except (re.error, Untranslatable):
+            continue
+        patterns.add(p)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string").coalesce(1)
+    patterns = sorted(patterns)
+    for low in range(0, len(patterns), 50):
+        made = []
+        for at, p in enumerate(patterns[low : low + 50]):
+            made.append(F.coalesce(R.native("regex_match")(Val(F.col("t"), literal("").type), literal(p)).col.cast("string"), F.lit("none")).alias(f"m{at}"))
+            made.append(R.native("regex_extract")(Val(F.col("t"), literal("").type), literal(p), literal(0)).col.alias(f"x{at}"))
+            try:
+                made.append(R.native("regex_replace")(Val(F.col("t"), literal("").type), literal(p), literal("<\\g<0>$1\\n>")).col.alias(f"r{at}"))
+            except Unsupported:
+                made.append(F.lit(None).alias(f"r{at}"))
+        for row in df.select("t", *made).collect():
+            for at, p in enumerate(patterns[low : low + 50]):
+                found = re.search(p, row.t)
+                assert row[f"m{at}"] == str(found is not None).lower(), (p, row.t)
+                assert row[f"x{at}"] == (found and found[0]), (p, row.t)
+                assert row[f"r{at}"] is None or row[f"r{at}"] == re.sub(p, "<\\g<0>$1\\n>", row.t), (p, row.t)
+
+
+@pytest.mark.parametrize("p", ["(a|b)*", "(?:ab)+", "(a", "[", "(?a:\\w)", "(?a)x", "(?i)\u00e9", "(a)(?(1)b|c)", "(?:a?){3}", "\ud800"])
+def test_patterns_without_a_safe_form(p):
+    with pytest.raises(Untranslatable):
+        JavaPattern(p)
+
+
+def test_long_texts_don_t_exhaust_the_stack(spark):
+    df = spark.range(1).selectExpr("repeat('ab ', 300000) t")
+    for p in (r"[ab]+ (?!q)", r".*$", r"^(?:ab ){3}\S*?\s", r"\w+?\s+\Z"):
+        assert df.select(R.native("regex_match")(Val(F.col("t"), literal("").type), literal(p)).col).first()[0] is (re.search(p, "ab " * 300000) is not None)
+
+
+def test_lists_of_several_types_through_rules(spark):
+    mixed = [1, "a", None, True, D("2.5")]
+    calls = {
+        "a": {"name": "array_contains_any", "args": {"values": {"field": "v"}, "candidates": [1, "a"]}},
+        "b": {"name": "array_contains_all", "args": {"values": mixed, "candidates": {"field": "v"}}},
+        "c": {"name": "text_contains_any", "args": {"value": {"field": "s"}, "candidates": [{"field": "s"}, "zz", None]}},
+        "d": {"name": "first_business_day_of_month", "args": {"value": {"field": "w"}, "holidays": [day(2024, 6, 3), "2024-06-04"]}},
+        "e": {"name": "concat_ws", "args": {"values": [{"field": "v"}, "x"], "separator": "-"}},
+    }
+    row = {"rule_id": "a", "rule_name": "a", "when": {"all": [{"left": {"literal": 1}, "operator": "eq", "right": {"literal": 1}}]}, "assign": {k: {"custom_function": c} for k, c in calls.items() if k != "e"}}
+    failing = row | {"assign": {"e": {"custom_function": calls["e"]}}}
+    base = {"ruleset_id": "r", "ruleset_name": "r", "version": "1", "owner": "o", "owner_department": "d"}
+    df = spark.createDataFrame([(["a"], "x1", "2024-06-09"), (["b", None], "b", "2024-07-01"), (None, None, None)], "v array<string>, s string, w string")
+    got = [tuple(r)[3:] for r in evaluate(df, compile_payload({**base, "rules": [row]})).apply_assignments().collect()]
+    assert got == [(True, True, True, day(2024, 6, 5)), (False, False, True, day(2024, 7, 1)), (None, None, None, None)]
+    errors = [r[0] for r in evaluate(df, compile_payload({**base, "rules": [failing]}), fail_on_error=False).results_df.select("rules_error").collect()]
+    assert [e is not None for e in errors] == [True, True, False] and errors[0].startswith("ValueError: Cannot convert value to string")
+
+
+def test_fallbacks_and_expressions_agree():
+    for name, args, want in CASES:
+        function = getattr(fallback, name, None)
+        if function is None:
+            continue
+        try:
+            got = function(**R.get_spec(name).bind_args(args))
+        except Exception as exc:  # noqa: BLE001
+            got = type(exc).__name__
+        assert got == want, (name, args, got)
+
+
 @pytest.mark.parametrize("v", [0.0, -0.0, 1.0, 0.1, 1e16, 123456789.125, 1e-4, 1.5e-5, 1e22, 12345678901234567.0, -2.5e-7, float("inf"), 9999999.0, 10000000.0, 100000000.5])
 def test_text_of_doubles(spark, v):
     assert spark.createDataFrame([(v,)], "v double").select(text(Val(F.col("v"), literal(v).type))).first()[0] == str(v)

@@ -1,11 +1,12 @@
 """Python versions of the standard functions for arguments that Spark expressions can't treat exactly.
 
-They run as Arrow UDFs and only where an argument isn't known when the plan is built: patterns and scales
-from columns, groups that may take no part in a match, lists of several types.
+They run as Arrow UDFs and only where a Spark expression can't say the same: patterns and scales from columns,
+patterns without a safe form in Java, groups that may take no part in a match, lists of several types.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from decimal import ROUND_CEILING, ROUND_DOWN, ROUND_FLOOR, ROUND_HALF_DOWN, ROUND_HALF_EVEN, ROUND_HALF_UP, ROUND_UP, Context, Decimal, InvalidOperation
 
@@ -70,3 +71,99 @@ def decimal_divide(numerator, denominator, scale=18, rounding_mode="half_up"):
 
 def decimal_safe_divide(numerator, denominator, scale=18, rounding_mode="half_up"):
     return _quotient(numerator, denominator, scale, rounding_mode, lambda: None)
+
+
+# ---- lists of several types
+
+
+def _listed(values, label):
+    if not isinstance(values, list | tuple | set | frozenset):
+        raise TypeError(f"{label} must be an array.")
+    return list(values)
+
+
+def _plain_text(value):
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, Decimal):
+        return format(value, "f")
+    if isinstance(value, dt.date):
+        return value.isoformat()
+    if isinstance(value, str | int | float):
+        return str(value)
+    raise ValueError(f"Cannot convert value to string: {value!r}")
+
+
+def concat_ws(values, separator, skip_nulls=True):
+    if values is None:
+        return None
+    items = _listed(values, "values")
+    kept = [item for item in items if item is not None]
+    return separator.join(map(_plain_text, kept)) if skip_nulls or len(kept) == len(items) else None
+
+
+array_join = concat_ws
+
+
+def text_contains_any(value, candidates):
+    if value is None or candidates is None:
+        return None
+    return any(c is not None and str(c) in str(value) for c in _listed(candidates, "candidates"))
+
+
+def _hits(values, candidates):
+    """For each candidate whether the list holds it; None where a list is missing."""
+    if values is None or candidates is None:
+        return None
+    items = _listed(values, "values")
+    return [c in items for c in _listed(candidates, "candidates")]
+
+
+def array_contains_any(values, candidates):
+    hits = _hits(values, candidates)
+    return hits if hits is None else any(hits)
+
+
+def array_contains_all(values, candidates):
+    hits = _hits(values, candidates)
+    return hits if hits is None else all(hits)
+
+
+def _day(value, label):
+    if isinstance(value, dt.datetime):
+        return value.date()
+    if isinstance(value, dt.date):
+        return value
+    if isinstance(value, str) and not value.strip():
+        return None
+    if isinstance(value, str) and re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", value.strip()):
+        return dt.date.fromisoformat(value.strip())
+    raise ValueError(f"Cannot convert value to date; expected ISO YYYY-MM-DD: {value!r}")
+
+
+def _open_days(value, holidays, weekend_days):
+    day = None if value is None else _day(value, "value")
+    if day is None:
+        return None
+    closed = {None if h is None else _day(h, "holidays") for h in _listed(holidays, "holidays")}
+    if None in closed:
+        raise ValueError("holidays cannot contain null or blank values.")
+    if any(not 1 <= w <= 7 for w in weekend_days):
+        raise ValueError("weekend_days must contain ISO weekdays from 1 through 7.")
+    if len(set(weekend_days)) == 7:
+        raise ValueError("weekend_days cannot mark every weekday as a weekend.")
+    month = [day.replace(day=1) + dt.timedelta(n) for n in range(31)]
+    days = [d for d in month if d.month == day.month and d.isoweekday() not in weekend_days and d not in closed]
+    if not days:
+        raise ValueError("The month contains no available business day.")
+    return days
+
+
+def first_business_day_of_month(value, holidays, weekend_days=(6, 7)):
+    days = _open_days(value, holidays, weekend_days)
+    return days and days[0]
+
+
+def last_business_day_of_month(value, holidays, weekend_days=(6, 7)):
+    days = _open_days(value, holidays, weekend_days)
+    return days and days[-1]

@@ -11,12 +11,14 @@ import re
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
+from re._parser import parse_template
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.functions.expr import WHITESPACE, WIDE, Val, error, first_error, is_binary, is_integral, is_number, is_numeric_text, is_temporal, is_text, is_time, literal, not_finite, number, plain_decimal, shown, text, trace_text
+from verdigris.functions.patterns import JavaPattern, Untranslatable
 from verdigris.functions.registry import ArgSpec, FunctionRegistry, FunctionSpec
 
 STRING, LONG, BOOL, DATE = T.StringType(), T.LongType(), T.BooleanType(), T.DateType()
@@ -258,69 +260,52 @@ def f_array_join(values, separator, skip_nulls):
     return _join(values, separator, skip_nulls)
 
 
-def java_pattern(pattern: str) -> str:
-    """A Python pattern in Java's syntax, with Python's Unicode classes; raises for what can't be said."""
-    try:
-        re.compile(pattern)
-    except re.error as exc:
-        raise Unsupported from exc
-    if re.search(r"\(\?P?[<=][^=!]*_|\(\?\(|\(\?[aLu]", pattern):
-        raise Unsupported
-    out = re.sub(r"\(\?P<", "(?<", pattern)
-    out = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", out)
-    out = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", out)
-    out = re.sub(r"(?<![\\\[])\$(?=$|\))", r"(?=\\n?\\z)", out)
-    return "(?U)" + out
-
-
-def _literal_pattern(pattern: Val) -> str:
+def _literal_pattern(pattern: Val) -> JavaPattern:
     if not pattern.is_literal or not isinstance(pattern.value, str):
         raise Unsupported
-    return java_pattern(pattern.value)
+    try:
+        return JavaPattern(pattern.value)
+    except Untranslatable as exc:
+        raise Unsupported from exc
 
 
 @standard("string", "What a group of a pattern caught in a text, null without a match.", VALUE, A("pattern", "string"), optional("group", "integer", 1))
 def f_regex_extract(value, pattern, group):
     if not group.is_literal or isinstance(group.value, bool) or not isinstance(group.value, int):
         raise Unsupported
-    found = _literal_pattern(pattern)
-    groups = re.compile(pattern.value).groups
-    if not 0 <= group.value <= groups:
-        return _val(F.lit(None).cast("string"), STRING, (value,), *_if_known(value, F.when(F.regexp_like(text(value), F.lit(found)), error("ValueError", f"Regex group does not exist: {group.value!r}"))))
-    if re.search(r"\)[?*{]|\|", pattern.value):
+    found, t = _literal_pattern(pattern), text(value)
+    if not 0 <= group.value <= found.groups:
+        return _val(F.lit(None).cast("string"), STRING, (value,), *_if_known(value, F.when(F.regexp_like(t, F.lit(found.text)), error("ValueError", f"Regex group does not exist: {group.value!r}"))))
+    if group.value not in found.always:
         raise Unsupported  # a group may take no part, which Spark can't tell from empty
-    t = text(value)
-    return _val(F.when(F.regexp_like(t, F.lit(found)), F.regexp_extract(t, found, group.value)), STRING, (value,))
+    return _val(F.when(F.regexp_like(t, F.lit(found.text)), F.regexp_extract(t, found.text, group.value)), STRING, (value,))
 
 
 @standard("string", "The text with what a pattern matches exchanged for a replacement.", VALUE, A("pattern", "string"), A("replacement", "string"))
 def f_regex_replace(value, pattern, replacement):
     found = _literal_pattern(pattern)
-    if not replacement.is_literal or not isinstance(replacement.value, str):
-        raise Unsupported
-    groups = re.compile(pattern.value).groups
+    if not replacement.is_literal or not isinstance(replacement.value, str) or found.may_be_empty:
+        raise Unsupported  # empty matches beside others are counted differently
+    try:
+        template = parse_template(replacement.value, re.compile(pattern.value))
+    except (re.error, IndexError) as exc:
+        raise Unsupported from exc
     parts = []
-    for plain, ref in re.findall(r"([^\\]+)|\\(g<\d+>|\d|\\|n|t|.)", replacement.value, re.DOTALL):
-        if plain:
-            parts.append(re.sub(r"([\\$])", r"\\\1", plain))
-        elif ref == "\\":
-            parts.append("\\\\")
-        elif ref in ("n", "t"):
-            parts.append({"n": "\n", "t": "\t"}[ref])
-        elif (digits := re.sub(r"\D", "", ref)) and 0 <= int(digits) <= groups and len(digits) == 1 and (ref.isdigit() or ref.startswith("g<")):
-            if re.search(r"\)[?*{]|\|", pattern.value):
-                raise Unsupported
-            parts.append(f"${digits}")
+    for part in template:
+        if isinstance(part, str):
+            if parts and parts[-1].startswith("$") and part[:1].isdecimal():
+                raise Unsupported  # Java would read the digit as part of the group's number
+            parts.append(re.sub(r"([\\$])", r"\\\1", part))
+        elif part in found.always:
+            parts.append(f"${part}")
         else:
             raise Unsupported
-    if any(a.startswith("$") and b[:1].isdigit() for a, b in zip(parts, parts[1:])):
-        raise Unsupported
-    return _val(F.regexp_replace(text(value), found, "".join(parts)), STRING, (value,))
+    return _val(F.regexp_replace(text(value), found.text, "".join(parts)), STRING, (value,))
 
 
 @standard("boolean", "True where a pattern is found somewhere in the text.", VALUE, A("pattern", "string"))
 def f_regex_match(value, pattern):
-    return _val(F.regexp_like(text(value), F.lit(_literal_pattern(pattern))), BOOL, (value,))
+    return _val(F.regexp_like(text(value), F.lit(_literal_pattern(pattern).text)), BOOL, (value,))
 
 
 @standard("boolean", "True where at least one of the candidates stands in the text.", VALUE, A("candidates", "string_sequence"))

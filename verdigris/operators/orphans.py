@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.skew import join_by_key
 from verdigris.session import materialise
 
 #: Rows of validity intervals that may be broadcast for hot keys (about 100 bytes each in memory).
 BROADCAST_ROWS = 200_000
-#: Keys, and pairs of key and period, are hot if they hold more than this share of the references.
+#: Keys are hot if they hold more than this share of the references.
 HEAVY_SHARE = 0.01
 
 
@@ -117,18 +118,11 @@ def orphan_pairs(pairs: DataFrame, intervals: DataFrame, always: DataFrame, list
 def orphans(refs: DataFrame, intervals: DataFrame, always: DataFrame, listed: DataFrame, heavy_share: float = HEAVY_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The distinct rows of ``refs`` (key, period and any owner columns) whose key isn't valid at ``period``.
 
-    Null keys refer to nothing and are left out; a repeated row counts once. An owner column may have any name but
-    ``n_references``.
+    Null keys refer to nothing and are left out; a repeated row counts once. Owner columns may have any other name.
     """
     refs, pairs = _reduced(refs)
     found = materialise(orphan_pairs(pairs, intervals, always, listed, heavy_share, broadcast_rows), "orphan-pairs")
-    total = pairs.agg(F.sum("n_references").alias("n")).first()["n"] or 0
-    is_hot = F.col("n_references") > max(1.0, total * heavy_share)  # at most 1 / heavy_share pairs
-    names = found.select(F.col("key").alias("__key"), F.col("period").alias("__period"), "n_references")
-    same = (F.col("key") == F.col("__key")) & F.col("period").eqNullSafe(F.col("__period"))
-    hot, cold = names.filter(is_hot), names.filter(~is_hot)
-    owned = refs.join(F.broadcast(hot), same, "left_semi").unionByName(refs.join(cold, same, "left_semi"))
-    return owned.select(*[F.col(f"`{c}`") for c in refs.columns])
+    return join_by_key(refs, found.select("key", "period"), ["key", "period"], "left_semi").select(*[F.col(f"`{c}`") for c in refs.columns])
 
 
 def _reduced(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
