@@ -29,24 +29,64 @@ def test_null_fits_sizes_and_counts():
     assert np.allclose(p @ ni, sizes, rtol=1e-5) and np.allclose(nb @ p, degrees, rtol=1e-5)
 
 
-def exact_tail(q, n, m):
-    mass = [1.0]
+def exact_log_tail(q, n, m):
+    """By adding the trials one at a time; every term is positive, so small tails keep their digits."""
+    mass = np.zeros(int(sum(n)) + 2)
+    mass[0] = 1.0
     for qk, nk in zip(q, n, strict=True):
         for _ in range(int(nk)):
-            mass = [(mass[i] if i < len(mass) else 0) * (1 - qk) + (mass[i - 1] * qk if i else 0) for i in range(len(mass) + 1)]
-    return sum(mass[int(m) :])
+            mass[1:] = mass[1:] * (1 - qk) + mass[:-1] * qk
+            mass[0] *= 1 - qk
+    total = math.fsum(mass[int(m) :])
+    return math.log(total) if total > 0 else -math.inf
 
 
 def test_tails_against_exact_sums():
-    n = np.array([120, 60, 30])
-    q = np.array([[0.02, 0.1, 0.3]] * 9 + [[0.9, 0.99, 1.0]] * 3)
-    m = np.array([0, 5, 17, 18, 19, 25, 40, 80, 120, 190, 205, 210])
-    got = cooccurrence.log_tail(m, q, n)
-    for g, qq, mm in zip(got, q, m, strict=True):
-        want = exact_tail(qq, n, mm)
-        assert math.isclose(math.exp(g), want, rel_tol=0.05, abs_tol=0.01 if want > 1e-3 else 0) or abs(g - math.log(want)) < 0.02 * abs(g) + 0.05
-    few = cooccurrence.log_tail(np.array([0, 1, 3, 9]), np.array([[0.1, 0.5]] * 4), np.array([4, 4]))
-    assert np.allclose(np.exp(few), [exact_tail([0.1, 0.5], [4, 4], k) for k in (0, 1, 3, 9)])
+    rng = np.random.default_rng(8)
+    for total, classes in ((1, 1), (5, 2), (40, 3), (64, 4), (65, 4), (300, 6), (2000, 8)):
+        n = rng.multinomial(total, np.ones(classes) / classes)
+        n = n[n > 0]
+        top = float(rng.choice([0.02, 0.3, 1.0]))
+        q = rng.random((40, len(n))) * top
+        q[:3, 0] = 1.0
+        q[3:5, 0] = 0.0
+        m = np.array([max(0, min(total + 1, int(rng.normal((row @ n), 1 + 4 * math.sqrt(row @ n))))) for row in q])
+        m[-3:] = 0, total, total + 1
+        got = cooccurrence.log_tail(m, q, n)
+        for g, row, count in zip(got, q, m, strict=True):
+            want = exact_log_tail(row, n, count)
+            if want < -650:  # beyond what the sum above can hold
+                continue
+            assert g == want or abs(g - want) <= 1e-9 * max(1.0, abs(want)) + 1e-12, (total, count, g, want)
+
+
+def test_far_tails_keep_their_digits():
+    n, q = np.array([100_000, 5_000]), np.array([[0.001, 0.01]])
+    for m in (151, 400, 2_000, 20_000):
+        got = cooccurrence.log_tail(np.array([m]), q, n)[0]
+        # exact by a convolution of two binomials in logarithms
+        j = np.arange(0, min(m, 5_000) + 1)
+        lg = math.lgamma
+
+        def log_pmf(size, p, k):
+            return lg(size + 1) - lg(k + 1) - lg(size - k + 1) + k * math.log(p) + (size - k) * math.log1p(-p)
+
+        def log_sum(x):
+            return max(x) + math.log(math.fsum(np.exp(np.array(x) - max(x))))
+
+        terms = [log_sum([log_pmf(5_000, 0.01, int(k)) + log_pmf(100_000, 0.001, t - int(k)) for k in j if 0 <= t - k <= 100_000]) for t in range(m, m + (300 if m < 1000 else 12))]
+        assert math.isclose(got, log_sum(terms), rel_tol=1e-8, abs_tol=1e-7), (m, got, log_sum(terms))
+
+
+def test_every_distinct_tail_has_one_cell(spark):
+    """Hot ties: thousands of pairs of equal counts are tested once, and their ranks are those of single pairs."""
+    rows = [(i, [f"a{i}", f"b{i}"]) for i in range(300)] + [(1000 + i, ["x", "y"]) for i in range(5)] + [(2000, ["x"]), (2001, ["y"])]
+    df = spark.createDataFrame(rows, "id long, items array<string>")
+    got = cooccurrence.surprising_pairs(df, "id", None, "items").collect()
+    once = [r for r in got if r.n_ab == 1]
+    assert len(once) == 300 and len({(r.log_p, r.log_q, r.expected) for r in once}) == 1
+    tests = 602 * 601 / 2
+    assert math.isclose(once[0].log_q, min(0.0, once[0].log_p + math.log(tests) - math.log(301)), abs_tol=1e-9)
 
 
 def test_pairs_and_false_discovery(spark):
@@ -74,6 +114,16 @@ def test_pairs_and_false_discovery(spark):
             best = min(best, r.log_p + math.log(tests) - math.log(rank))
             assert math.isclose(r.log_q, best, abs_tol=1e-9)
         assert {mine[0].item_a, mine[0].item_b} == {"x", "y"} and mine[0].log_q < math.log(1e-6)
+        m = np.array([[k in b for k in sorted({x[1] for x in one if x[0] == g})] for h, b in baskets.values() if h == g])
+        names = sorted({x[1] for x in one if x[0] == g})
+        p = cooccurrence.fit_null(m.sum(1), np.ones(len(m)), m.sum(0), np.ones(m.shape[1]))  # every basket and item on its own
+        for r in mine:
+            both = p[:, names.index(r.item_a)] * p[:, names.index(r.item_b)]
+            assert math.isclose(r.expected, both.sum(), rel_tol=1e-6)
+            assert math.isclose(r.log_p, exact_log_tail(both, np.ones(len(m)), r.n_ab), rel_tol=1e-5, abs_tol=1e-6)
+    for support in (2, 10, 40):
+        some = cooccurrence.surprising_pairs(df, "id", "grp", "items", support).collect()
+        assert {(r.group_key, r.item_a, r.item_b, r.log_q) for r in some} == {(r.group_key, r.item_a, r.item_b, r.log_q) for r in got if r.n_ab >= support}
     assert cooccurrence.surprising_pairs(df.limit(0), "id", "grp", "items").count() == 0
     assert cooccurrence.pair_counts(df, "id", None, "items")[1].filter("item_a = 'x' and item_b = 'x'").first().n_ab > 50
 

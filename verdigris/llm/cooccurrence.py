@@ -4,8 +4,10 @@ Pair counts are exact: baskets are reduced to distinct sorted items, pairs come
 up by hash before the shuffle. The null is the bipartite configuration model of each group: basket i holds
 item a with probability x_i y_a / (1 + x_i y_a), where expected basket sizes and item counts equal the
 observed ones. Baskets of one size share x and items of one count share y, so fitting needs two histograms,
-however many baskets there are. Under the null a pair's count is a sum of independent trials (Poisson-binomial),
-whose upper tail gives the surprise; Benjamini-Hochberg over all possible pairs of a group gives q-values.
+however many baskets there are; each group is fitted once. Under the null a pair's count is a sum of independent
+trials (Poisson-binomial), whose upper tail gives the surprise; Benjamini-Hochberg over all possible pairs of a
+group gives q-values. Pairs of equal counts have one tail, so tails and ranks are computed per distinct
+combination of counts.
 """
 
 from __future__ import annotations
@@ -15,34 +17,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.skew import join_by_key
 from verdigris.session import materialise
 
-#: Pairs of one group that are tested in one task.
-PAIRS_PER_TASK = 50_000
-#: Tails over at most this many baskets are exact; beyond, a saddlepoint approximation is used.
-EXACT_BASKETS = 64
+#: Combinations of counts of one group that are tested in one task.
+CELLS_PER_TASK = 20_000
+#: Numbers held at once by the transforms of one batch of tails.
+BATCH_NUMBERS = 1 << 20
 
 
-def fit_null(sizes: np.ndarray, n_baskets: np.ndarray, degrees: np.ndarray, n_items: np.ndarray, tolerance: float = 1e-9, rounds: int = 2000) -> np.ndarray:
-    """Membership probabilities by (basket size class, item count class).
+def null_weights(sizes: np.ndarray, n_baskets: np.ndarray, degrees: np.ndarray, n_items: np.ndarray, tolerance: float = 1e-9, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """The weights x of basket sizes and y of item counts.
 
-    Items in every basket and baskets with every item have probability 1; they leave the fit, which is then
-    a fixed-point iteration of the maximum-likelihood equations.
+    Items in every basket and baskets with every item are certain: their weight is infinite and they leave the
+    fit, which is then a fixed-point iteration of the maximum-likelihood equations. A size or count that is
+    used up by what is certain has weight zero.
     """
     sizes, n_baskets, degrees, n_items = (np.asarray(v, float) for v in (sizes, n_baskets, degrees, n_items))
-    p = np.zeros((len(sizes), len(degrees)))
+    x, y = np.zeros(len(sizes)), np.zeros(len(degrees))
     row_left, col_left = sizes.copy(), degrees.copy()
     rows, cols = np.ones(len(sizes), bool), np.ones(len(degrees), bool)
     while True:  # peel what is certain
         full_cols = cols & (col_left >= n_baskets[rows].sum() - 1e-9)
         if rows.any() and full_cols.any():
-            p[np.ix_(rows, full_cols)] = 1.0
+            y[full_cols] = np.inf
             row_left[rows] -= n_items[full_cols].sum()
             cols &= ~full_cols
             continue
         full_rows = rows & (row_left >= n_items[cols].sum() - 1e-9)
         if cols.any() and full_rows.any():
-            p[np.ix_(full_rows, cols)] = 1.0
+            x[full_rows] = np.inf
             col_left[cols] -= n_baskets[full_rows].sum()
             rows &= ~full_rows
             continue
@@ -52,114 +56,128 @@ def fit_null(sizes: np.ndarray, n_baskets: np.ndarray, degrees: np.ndarray, n_it
     if rows.any() and cols.any():
         k, nb, d, ni = row_left[rows], n_baskets[rows], col_left[cols], n_items[cols]
         total = (k * nb).sum()
-        x, y = k / np.sqrt(total), d / np.sqrt(total)
+        u, v = k / np.sqrt(total), d / np.sqrt(total)
         for _ in range(rounds):
-            x = k / (ni * y / (1 + np.outer(x, y))).sum(1)
-            z = 1 + np.outer(x, y)
-            y = d / ((nb * x)[:, None] / z).sum(0)
-            q = np.outer(x, y) / (1 + np.outer(x, y))
+            u = k / (ni * v / (1 + np.outer(u, v))).sum(1)
+            z = 1 + np.outer(u, v)
+            v = d / ((nb * u)[:, None] / z).sum(0)
+            q = np.outer(u, v) / (1 + np.outer(u, v))
             if np.max(np.abs(q @ ni - k) / k) < tolerance:
                 break
-        p[np.ix_(rows, cols)] = q
-    return np.clip(p, 0.0, 1.0)
+        x[rows], y[cols] = u, v
+    return x, y
 
 
-def _log_normal_ratio(w: np.ndarray) -> np.ndarray:
-    """(1 - Phi(w)) / phi(w), from a rational erfc with relative error below 1.2e-7."""
-    z = np.abs(w) / np.sqrt(2)
-    t = 1 / (1 + z / 2)
-    c = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    ratio = 0.5 * np.sqrt(2 * np.pi) * t * np.exp(np.polynomial.polynomial.polyval(t, c))
-    return np.where(w >= 0, ratio, np.sqrt(2 * np.pi) * np.exp(np.minimum(w * w / 2, 700)) - ratio)
+def membership(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Probabilities by (basket, item) from their weights."""
+    certain = np.isinf(x)[:, None] | np.isinf(y)[None, :]
+    z = np.outer(np.where(np.isinf(x), 0.0, x), np.where(np.isinf(y), 0.0, y))
+    return np.where(certain, 1.0, z / (1 + z))
+
+
+def fit_null(sizes: np.ndarray, n_baskets: np.ndarray, degrees: np.ndarray, n_items: np.ndarray) -> np.ndarray:
+    """Membership probabilities by (basket size class, item count class)."""
+    return membership(*null_weights(sizes, n_baskets, degrees, n_items))
 
 
 def log_tail(counts: np.ndarray, q: np.ndarray, n_baskets: np.ndarray) -> np.ndarray:
-    """log P(X >= count) for sums of ``n_baskets[k]`` trials with probabilities ``q[pair, k]``."""
+    """log P(X >= count) for sums of ``n_baskets[k]`` trials with probabilities ``q[pair, k]``.
+
+    The distribution is tilted so that its mean is the count, the tilted one comes from a discrete Fourier transform
+    of its characteristic function around the count, and the tilt is taken back term by term. What is cut off
+    or folded back lies 8 standard deviations and 16 away, so that a tail is right to about 10 digits
+    however small it is and however many baskets there are.
+    """
     counts, n = np.asarray(counts, float), np.asarray(n_baskets, float)
-    total = int(n.sum())
-    if total <= EXACT_BASKETS:
-        return _exact_log_tail(counts, q, n_baskets)
-    mean, certain = q @ n, (q >= 1 - 1e-12) @ n
-    trials = (q > 0) @ n
+    certain, trials = (q >= 1 - 1e-12) @ n, (q > 0) @ n
     out = np.zeros(len(counts))
     out[counts > trials] = -np.inf
     inside = (counts > certain) & (counts <= trials)
+    at_end = inside & (counts >= trials)
     with np.errstate(divide="ignore"):
-        at_end = inside & (counts >= trials)
-        out[at_end] = (np.where(q[at_end] > 0, np.log(np.maximum(q[at_end], 1e-300)), 0.0)) @ n
+        out[at_end] = np.where(q[at_end] > 0, np.log(np.maximum(q[at_end], 1e-300)), 0.0) @ n
     do = np.flatnonzero(inside & ~at_end)
-    if not len(do):
-        return np.minimum(out, 0.0)
-    m, qq = counts[do], q[do]
-    var = np.maximum((qq * (1 - qq)) @ n, 1e-300)
-    low, high = np.full(len(do), -60.0), np.full(len(do), 60.0)
-    s = np.clip(np.log(m / np.maximum(mean[do], 1e-300)), -50, 50)
+    if len(do):
+        mean = q[do] @ n
+        tilt = np.where(counts[do] > mean, _tilt(counts[do], q[do], n), 0.0)
+        e = q[do] * np.exp(tilt)[:, None]
+        r = e / (1 - q[do] + e)
+        spread = np.sqrt((r * (1 - r)) @ n)
+        length = 2 ** np.ceil(np.log2(16 * spread + 32)).astype(int)
+        centre = np.where(tilt > 0, counts[do], np.rint(mean))
+        scale = np.log1p(q[do] * np.expm1(tilt)[:, None]) @ n - counts[do] * tilt
+        for size in np.unique(length).tolist():
+            of_size = np.flatnonzero(length == size)
+            for low in range(0, len(of_size), max(1, BATCH_NUMBERS // size)):
+                at = of_size[low : low + max(1, BATCH_NUMBERS // size)]
+                mass = _mass(r[at], n, centre[at], size)
+                offset = np.arange(size) - np.where(np.arange(size) < size // 2, 0, size)  # distance from the centre
+                above = (centre[at, None] + offset >= counts[do[at], None]) & (centre[at, None] + offset >= 0)
+                total = np.where(above, mass * np.exp(-tilt[at, None] * np.where(above, centre[at, None] + offset - counts[do[at], None], 0)), 0.0).sum(1)
+                out[do[at]] = np.log(np.maximum(total, 1e-300)) + scale[at]
+    return np.minimum(out, 0.0)
+
+
+def _tilt(counts: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """About the s for which trials with odds multiplied by exp(s) have mean ``counts``; how near doesn't matter."""
+    s = np.clip(np.log(counts / np.maximum(q @ n, 1e-300)), -50, 50)
+    low, high = np.full(len(counts), -60.0), np.full(len(counts), 700.0)
     for _ in range(60):  # Newton inside a shrinking bracket
-        e = qq * np.exp(s)[:, None]
-        r = e / (1 - qq + e)
-        gap, slope = r @ n - m, np.maximum((r * (1 - r)) @ n, 1e-300)
+        e = q * np.exp(np.minimum(s, 600))[:, None]
+        r = e / (1 - q + e)
+        gap, slope = r @ n - counts, np.maximum((r * (1 - r)) @ n, 1e-300)
+        if np.all(np.abs(gap) <= 0.01 * np.sqrt(slope) + 1e-9):
+            break
         high, low = np.where(gap > 0, s, high), np.where(gap > 0, low, s)
         step = s - gap / slope
-        s_next = np.where((step > low) & (step < high), step, (low + high) / 2)
-        if np.max(np.abs(s_next - s)) < 1e-10:
-            s = s_next
-            break
-        s = s_next
-    e = qq * np.exp(s)[:, None]
-    r = e / (1 - qq + e)
-    curve = np.maximum((r * (1 - r)) @ n, 1e-300)
-    power = m * s - np.log1p(qq * np.expm1(s)[:, None]) @ n
-    w = np.sign(s) * np.sqrt(2 * np.maximum(power, 0))
-    near = np.abs(s) < 1e-3
-    u = np.where(near, 1.0, -np.expm1(-s) * np.sqrt(curve))
-    ratio = _log_normal_ratio(w) + 1 / u - np.where(near, 1.0, 1 / np.where(near, 1.0, w))
-    far = -w * w / 2 - 0.5 * np.log(2 * np.pi) + np.log(np.maximum(ratio, 1e-300))
-    v = (m - 0.5 - mean[do]) / np.sqrt(var)
-    mid = -v * v / 2 - 0.5 * np.log(2 * np.pi) + np.log(np.maximum(_log_normal_ratio(v), 1e-300))
-    out[do] = np.where(near, mid, far)
-    return np.minimum(out, 0.0)
+        s = np.where((step > low) & (step < high), step, (low + high) / 2)
+    return np.maximum(s, 0.0)
 
 
-def _exact_log_tail(counts: np.ndarray, q: np.ndarray, n_baskets: np.ndarray) -> np.ndarray:
-    """By adding the trials one at a time; every term is positive, so small tails keep their digits."""
-    mass = np.zeros((len(counts), int(np.sum(n_baskets)) + 1))
-    mass[:, 0] = 1.0
-    for k, times in enumerate(n_baskets):
-        hit = q[:, k : k + 1]
-        for _ in range(int(times)):
-            mass[:, 1:] = mass[:, 1:] * (1 - hit) + mass[:, :-1] * hit
-            mass[:, :1] *= 1 - hit
-    above = np.cumsum(mass[:, ::-1], axis=1)[:, ::-1]
-    at = np.clip(counts.astype(int), 0, mass.shape[1] - 1)
-    with np.errstate(divide="ignore"):
-        found = np.log(above[np.arange(len(counts)), at])
-    return np.where(counts > mass.shape[1] - 1, -np.inf, np.minimum(found, 0.0))
-
-
-def _test_pairs(null: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Expected count and tail of the pairs of one group (or of a slice of them)."""
-    if not pairs.num_rows:  # a group without pairs to test needs no fit
-        columns = {"group_key": pa.string(), "item_a": pa.string(), "item_b": pa.string(), **dict.fromkeys(("n_ab", "n_a", "n_b", "n", "n_items"), pa.int64()), **dict.fromkeys(("expected", "log_p"), pa.float64())}
-        return pa.schema(list(columns.items())).empty_table()
-    kind = null.column("kind").combine_chunks()
-    level, n_level = (null.column(c).to_numpy() for c in ("level", "n"))
-    is_size = np.array(kind.to_pylist()) == "size"
-    n = n_level[is_size].astype(float)
-    p = fit_null(level[is_size], n, level[~is_size], n_level[~is_size])
+def _mass(r: np.ndarray, n: np.ndarray, centre: np.ndarray, size: int) -> np.ndarray:
+    """P(X = centre + j) modulo ``size``, for j = 0, 1, ..., -2, -1, of sums of trials with probabilities ``r[pair, k]``."""
+    turn = np.exp(2j * np.pi * np.arange(size // 2 + 1) / size)
+    power = -np.outer(centre % size, 2j * np.pi * np.arange(size // 2 + 1) / size)
+    for k, times in enumerate(n):
+        factor = 1 + r[:, k : k + 1] * (turn - 1)
+        power += times * np.log(np.where(np.abs(factor) < 1e-200, 1e-200, factor))
+    return np.maximum(np.fft.irfft(np.exp(power).conj(), size, axis=1), 0.0)
+
+
+def _fit_groups(null: pa.Table) -> pa.Table:
+    """The rows of one group's null with their weights."""
+    level, n = (null.column(c).to_numpy().astype(float) for c in ("level", "n"))
+    is_size = np.array([k == "size" for k in null.column("kind").to_pylist()], bool)
+    weight = np.zeros(len(level))
+    weight[is_size], weight[~is_size] = null_weights(level[is_size], n[is_size], level[~is_size], n[~is_size])
+    return null.append_column("weight", pa.array(weight))
+
+
+_CELLS = pa.schema([("group_key", pa.string()), *[(c, pa.int64()) for c in ("n_ab", "n_low", "n_high", "n_pairs", "n", "n_items")], ("expected", pa.float64()), ("log_p", pa.float64())])
+
+
+def _test_cells(null: pa.Table, cells: pa.Table) -> pa.Table:
+    """Expected count and tail of combinations of counts of one group (or of a slice of them)."""
+    if not cells.num_rows:
+        return _CELLS.empty_table()
+    level, n, weight = (null.column(c).to_numpy() for c in ("level", "n", "weight"))
+    is_size = np.array([k == "size" for k in null.column("kind").to_pylist()], bool)
+    of_size = n[is_size].astype(float)
     order = np.argsort(level[~is_size])
     degrees = level[~is_size][order]
-    a, b = (order[np.searchsorted(degrees, pairs.column(c).to_numpy())] for c in ("n_a", "n_b"))
-    counts = pairs.column("n_ab").to_numpy()
+    p = membership(weight[is_size], weight[~is_size][order])
+    a, b = (np.searchsorted(degrees, cells.column(c).to_numpy()) for c in ("n_low", "n_high"))
+    counts = cells.column("n_ab").to_numpy()
     expected, tail = np.empty(len(counts)), np.empty(len(counts))
     for low in range(0, len(counts), 4096):
         part = slice(low, low + 4096)
         q = (p[:, a[part]] * p[:, b[part]]).T
-        expected[part] = q @ n
-        tail[part] = log_tail(counts[part], q, n)
-    out = pairs.select(["group_key", "item_a", "item_b", "n_ab", "n_a", "n_b"])
-    for name, values in (("n", int(n.sum())), ("n_items", int(n_level[~is_size].sum()))):
-        out = out.append_column(name, pa.array(np.full(len(counts), values, np.int64)))
-    return out.append_column("expected", pa.array(expected)).append_column("log_p", pa.array(np.maximum(tail, -1e300)))
+        expected[part] = q @ of_size
+        tail[part] = log_tail(counts[part], q, of_size)
+    out = cells.select(["group_key", "n_ab", "n_low", "n_high", "n_pairs"])
+    for values in (int(of_size.sum()), int(n[~is_size].sum())):
+        out = out.append_column(f"c{out.num_columns}", pa.array(np.full(len(counts), values, np.int64)))
+    return out.append_column("expected", pa.array(expected)).append_column("log_p", pa.array(np.maximum(tail, -1e300))).rename_columns(_CELLS.names)
 
 
 def pair_counts(df: DataFrame, record: str, group: str | None, items: str) -> tuple[DataFrame, DataFrame]:
@@ -181,9 +199,9 @@ def pair_counts(df: DataFrame, record: str, group: str | None, items: str) -> tu
 def surprising_pairs(df: DataFrame, record: str, group: str | None, items: str, min_support: int = 1) -> DataFrame:
     """Every pair of items with at least ``min_support`` common records, its null expectation and surprise.
 
-    Columns: group_key, item_a < item_b, n_ab, n_a, n_b, n (records of the group), expected, log_p and log_q
-    (natural logarithms of the tail and its false-discovery value), lift. Pairs below the support are
-    still counted as tests. An empty table gives no rows.
+    Columns: group_key, item_a < item_b, n_ab, n_a, n_b, n (records of the group), n_items, expected, log_p and log_q
+    (natural logarithms of the tail and its false-discovery value), lift. ``min_support`` only chooses the
+    pairs that are given; all pairs are tested and ranked. An empty table gives no rows.
     """
     sizes, counted = pair_counts(df, record, group, items)
     # written as one table, so that both counts come from one pass over the baskets; size rows have no first item
@@ -194,40 +212,51 @@ def surprising_pairs(df: DataFrame, record: str, group: str | None, items: str,
     own = counted.filter("item_a = item_b").select("group_key", F.col("item_a").alias("item"), F.col("n_ab").alias("n_item"))
     degrees = own.groupBy("group_key", F.col("n_item").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     null = sizes.select("group_key", F.lit("size").alias("kind"), F.col("level").cast("bigint").alias("level"), "n").unionByName(degrees.select("group_key", F.lit("degree").alias("kind"), "level", "n"))
-    together = counted.filter((F.col("item_a") != F.col("item_b")) & (F.col("n_ab") >= min_support))
-    a = own.select("group_key", F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
-    b = own.select("group_key", F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
-    together = together.join(a, ["group_key", "item_a"]).join(b, ["group_key", "item_b"])
-    slices = counted.groupBy("group_key").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_TASK).cast("int").alias("slices"))
-    together = together.join(slices, "group_key").withColumn("slice", F.pmod(F.xxhash64("item_a", "item_b"), F.col("slices")).cast("int")).drop("slices")
-    repeats = slices.select("group_key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    null = null.join(repeats, "group_key")
-    schema = "group_key string, item_a string, item_b string, n_ab bigint, n_a bigint, n_b bigint, n bigint, n_items bigint, expected double, log_p double"
+    fitted = materialise(null.groupBy("group_key").applyInArrow(_fit_groups, "group_key string, kind string, level bigint, n bigint, weight double"), "fitted-null")
+    together = counted.filter("item_a != item_b")
+    for side in ("a", "b"):
+        together = join_by_key(together, own.select("group_key", F.col("item").alias(f"item_{side}"), F.col("n_item").alias(f"n_{side}")), ["group_key", f"item_{side}"])
+    together = materialise(together.withColumns({"n_low": F.least("n_a", "n_b"), "n_high": F.greatest("n_a", "n_b")}), "pairs")
+    tested = tested_cells(together.groupBy("group_key", "n_ab", "n_low", "n_high").agg(F.count(F.lit(1)).alias("n_pairs")), fitted)
+    ranked = materialise(with_false_discovery(tested).drop("n_pairs"), "ranked-cells")
+    out = join_by_key(together.filter(F.col("n_ab") >= min_support), ranked, ["group_key", "n_ab", "n_low", "n_high"])
+    columns = ["group_key", "item_a", "item_b", "n_ab", "n_a", "n_b", "n", "n_items", "expected", "log_p", "log_q"]
+    return out.select(*columns, (F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))).alias("lift"))
+
 
+def tested_cells(cells: DataFrame, fitted: DataFrame) -> DataFrame:
+    """The combinations of counts with expectation and tail; a group's combinations are cut into slices by hash."""
+    cells = materialise(cells, "cells")
+    slices = cells.groupBy("group_key").agg(F.ceil(F.count(F.lit(1)) / CELLS_PER_TASK).cast("int").alias("slices"))
+    cells = cells.join(slices, "group_key").withColumn("slice", F.pmod(F.xxhash64("n_ab", "n_low", "n_high"), F.col("slices")).cast("int")).drop("slices")
+    null = fitted.join(slices.select("group_key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")), "group_key")
     null = null.toDF(*null.columns)  # columns of its own: both sides come from one table
-    tested = null.groupBy("group_key", "slice").cogroup(together.groupBy("group_key", "slice")).applyInArrow(_test_pairs, schema)
-    return with_false_discovery(tested).withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b")))
+    schema = "group_key string, n_ab bigint, n_low bigint, n_high bigint, n_pairs bigint, n bigint, n_items bigint, expected double, log_p double"
+    return null.groupBy("group_key", "slice").cogroup(cells.groupBy("group_key", "slice")).applyInArrow(_test_cells, schema)
 
 
 def with_false_discovery(tested: DataFrame, per_unit: int = 8) -> DataFrame:
     """Benjamini-Hochberg values over the ``n_items`` choose 2 possible pairs of each group.
 
-    Ranks come from counts of coarse steps of log p plus a rank inside each step, so that no task sorts a
-    whole group. Ties share the higher rank's value through the running minimum.
+    ``tested`` has a row per combination of counts with ``n_pairs`` pairs. Ranks come from numbers of pairs per coarse
+    step of log p plus a rank inside each step, so that no task sorts a whole group. Equal tails share the highest of
+    their ranks. A tail of one can't be a discovery and isn't ranked.
     """
     step = F.floor(F.greatest(F.col("log_p"), F.lit(-1e15)) * per_unit)
     # near the top many pairs have log p of about 0; finer steps there keep every step small
     fine = F.when(F.col("log_p") > -1, F.floor(F.exp("log_p") * 4096)).otherwise(F.lit(0))
-    kept = materialise(tested.withColumn("step", step).withColumn("fine", fine), "tested-pairs")
-    counts = kept.groupBy("group_key", "step", "fine").agg(F.count(F.lit(1)).alias("n_step"))
+    stored = materialise(tested.withColumn("step", step).withColumn("fine", fine), "tested-cells")
+    kept = stored.filter("log_p < 0")
+    counts = kept.groupBy("group_key", "step", "fine").agg(F.sum("n_pairs").alias("n_step"))
     ordered = Window.partitionBy("group_key").orderBy("step", "fine")
     before = counts.withColumn("before", F.sum("n_step").over(ordered.rowsBetween(Window.unboundedPreceding, -1))).drop("n_step")
-    inside = Window.partitionBy("group_key", "step", "fine").orderBy("log_p", "item_a", "item_b")
+    inside = Window.partitionBy("group_key", "step", "fine").orderBy("log_p").rangeBetween(Window.unboundedPreceding, 0)
     tests = F.log(F.greatest(F.col("n_items") * (F.col("n_items") - 1) / 2, F.lit(1.0)))
-    rank = F.coalesce(F.col("before"), F.lit(0)) + F.row_number().over(inside)
+    rank = F.coalesce(F.col("before"), F.lit(0)) + F.sum("n_pairs").over(inside)
     raw = kept.join(before, ["group_key", "step", "fine"]).withColumn("raw", F.col("log_p") + tests - F.log(rank))
     least = raw.groupBy("group_key", "step", "fine").agg(F.min("raw").alias("least"))
     later = least.withColumn("later", F.min("least").over(ordered.rowsBetween(1, Window.unboundedFollowing))).drop("least")
-    after = Window.partitionBy("group_key", "step", "fine").orderBy(F.desc("log_p"), F.desc("item_a"), F.desc("item_b")).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("group_key", "step", "fine").orderBy(F.desc("log_p")).rangeBetween(Window.unboundedPreceding, 0)
     value = F.least(F.min("raw").over(after), F.coalesce("later", F.lit(0.0)), F.lit(0.0))
-    return raw.join(later, ["group_key", "step", "fine"]).withColumn("log_q", value).drop("step", "fine", "before", "raw", "later")
+    ranked = raw.join(later, ["group_key", "step", "fine"]).withColumn("log_q", value)
+    return ranked.select(*tested.columns, "log_q").unionByName(stored.filter("log_p >= 0").select(*tested.columns, F.lit(0.0).alias("log_q")))

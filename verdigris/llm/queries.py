@@ -27,6 +27,12 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder, 1).withColumnsRenamed({"group_key": "ruleset_id", "item_a": "rule_id_a", "item_b": "rule_id_b"})
 
 
+def p1_surprise(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rules that occur together more often than the null allows, at a false-discovery rate of one in a hundred."""
+    found = _pairs(spark, folder, 1).filter(F.col("log_q") <= F.log(F.lit(0.01)))
+    return found.select(F.col("group_key").alias("ruleset_id"), F.col("item_a").alias("rule_id_a"), F.col("item_b").alias("rule_id_b"), "n_ab", "expected", "log_p", "log_q")
+
+
 def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Exact pair counts alone."""
     _, counted = cooccurrence.pair_counts(table(spark, folder, "decisions"), "decision_id", "ruleset_id", "matched_rule_ids")
@@ -90,7 +96,7 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.look_alike_documents(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_counts, p5_found, p5_terms, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_surprise, p1_counts, p5_found, p5_terms, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_classes)}
 
 _P1 = """
 with d as (select distinct decision_id, ruleset_id, list_sort(list_distinct(matched_rule_ids)) ids from decisions
