@@ -227,8 +227,8 @@ def test_joins_by_hot_keys_give_what_one_join_gives(spark, how):
     left = spark.createDataFrame(rows, "a string, b int, v int")
     right = spark.createDataFrame([("hot", 1, "x"), (None, 2, "y"), ("k3", None, "z"), ("none", 1, "q")], "a string, b int, w string")
     want = sorted((a or "", b or 0, v, *([w] if how == "inner" else [])) for a, b, v in rows for c, d, w in (("hot", 1, "x"), (None, 2, "y"), ("k3", None, "z")) if (a, b) == (c, d))
-    for least in (5, 1000):
-        got = join_by_key(left, right, ["a", "b"], how, 0.1, least)
+    for least, bound in ((5, 1), (1000, 1), (5, 100)):  # hot keys apart, one shuffle, one broadcast
+        got = join_by_key(left, right, ["a", "b"], how, 0.1, least, bound)
         assert got.columns == ["a", "b", "v", *(["w"] if how == "inner" else [])]
         assert sorted((a or "", b or 0, *rest) for a, b, *rest in got.collect()) == want
     assert join_by_key(left.limit(0), right, ["a", "b"], how).count() == 0
