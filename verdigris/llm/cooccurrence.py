@@ -12,8 +12,12 @@ combination of counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,40 +148,91 @@ def _mass(r: np.ndarray, n: np.ndarray, centre: np.ndarray, size: int) -> np.nda
     return np.maximum(np.fft.irfft(np.exp(power).conj(), size, axis=1), 0.0)
 
 
-def _fit_groups(null: pa.Table) -> pa.Table:
+def over_groups(df: DataFrame, keys: list[str], order: list[str], function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``function`` over the rows of each key, in as many tasks as the session shuffles into.
+
+    Partitions are sorted by key and streamed, so that thousands of small keys cost one call of Python's worker, and a
+    worker holds one key at a time. Keys hold no nulls.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def stage(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch])
+            if not table.num_rows:
+                continue
+            same = [pc.equal(table.column(k), table.column(k)[-1]) for k in keys]
+            whole = int(pc.index(reduce(pc.and_, same), True).as_py())  # the last key may go on in the next batch
+            held = table.slice(whole).combine_chunks().to_batches()
+            yield from _each(table.slice(0, whole))
+        if held:
+            yield from _each(pa.Table.from_batches(held))
+
+    def _each(table: pa.Table):
+        if not table.num_rows:
+            return
+        table = table.combine_chunks()
+        new = reduce(pc.or_, [pc.not_equal(table.column(k).slice(1), table.column(k).slice(0, table.num_rows - 1)) for k in keys])
+        starts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), table.num_rows]
+        made = [function(table.slice(low, high - low)) for low, high in zip(starts, starts[1:])]
+        yield from pa.concat_tables([m for m in made if m.num_rows] or made[:1]).to_batches()
+
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(stage, schema)
+
+
+def _fit_group(null: pa.Table) -> pa.Table:
     """The rows of one group's null with their weights."""
     level, n = (null.column(c).to_numpy().astype(float) for c in ("level", "n"))
-    is_size = np.array([k == "size" for k in null.column("kind").to_pylist()], bool)
+    is_size = null.column("is_size").to_numpy()
     weight = np.zeros(len(level))
     weight[is_size], weight[~is_size] = null_weights(level[is_size], n[is_size], level[~is_size], n[~is_size])
     return null.append_column("weight", pa.array(weight))
 
 
-_CELLS = pa.schema([("group_key", pa.string()), *[(c, pa.int64()) for c in ("n_ab", "n_low", "n_high", "n_pairs", "n", "n_items")], ("expected", pa.float64()), ("log_p", pa.float64())])
+_NULL_ROW = "group_key string, is_size boolean, level bigint, n bigint, weight double"
+_CELL_COUNTS = ["n_ab", "n_low", "n_high", "n_pairs"]
+_CELL = "group_key string, n_ab bigint, n_low bigint, n_high bigint, n_pairs bigint, n bigint, n_items bigint, expected double, log_p double"
 
 
-def _test_cells(null: pa.Table, cells: pa.Table) -> pa.Table:
-    """Expected count and tail of combinations of counts of one group (or of a slice of them)."""
-    if not cells.num_rows:
-        return _CELLS.empty_table()
+def _test_cells(rows: pa.Table) -> pa.Table:
+    """Expected count and tail of combinations of counts of one group, or of a slice of them, behind the rows of its null."""
+    weight = rows.column("weight")
+    is_null_row = weight.is_valid().to_numpy()
+    null, cells = rows.filter(pa.array(is_null_row)), rows.filter(pa.array(~is_null_row))
     level, n, weight = (null.column(c).to_numpy() for c in ("level", "n", "weight"))
-    is_size = np.array([k == "size" for k in null.column("kind").to_pylist()], bool)
+    is_size = null.column("is_size").to_numpy()
     of_size = n[is_size].astype(float)
     order = np.argsort(level[~is_size])
     degrees = level[~is_size][order]
     p = membership(weight[is_size], weight[~is_size][order])
-    a, b = (np.searchsorted(degrees, cells.column(c).to_numpy()) for c in ("n_low", "n_high"))
-    counts = cells.column("n_ab").to_numpy()
+    counts, low_count, high_count, _ = (cells.column(c).to_numpy() for c in _CELL_COUNTS)
+    a, b = np.searchsorted(degrees, low_count), np.searchsorted(degrees, high_count)
     expected, tail = np.empty(len(counts)), np.empty(len(counts))
     for low in range(0, len(counts), 4096):
         part = slice(low, low + 4096)
         q = (p[:, a[part]] * p[:, b[part]]).T
         expected[part] = q @ of_size
         tail[part] = log_tail(counts[part], q, of_size)
-    out = cells.select(["group_key", "n_ab", "n_low", "n_high", "n_pairs"])
-    for values in (int(of_size.sum()), int(n[~is_size].sum())):
-        out = out.append_column(f"c{out.num_columns}", pa.array(np.full(len(counts), values, np.int64)))
-    return out.append_column("expected", pa.array(expected)).append_column("log_p", pa.array(np.maximum(tail, -1e300))).rename_columns(_CELLS.names)
+    same = [pa.array(np.full(len(counts), value, np.int64)) for value in (int(of_size.sum()), int(n[~is_size].sum()))]
+    columns = [cells.column(c) for c in ("group_key", *_CELL_COUNTS)] + same + [pa.array(expected), pa.array(np.maximum(tail, -1e300))]
+    return pa.table(columns, names=[part.split()[0] for part in _CELL.split(", ")])
+
+
+def marked_counts(df: DataFrame, record: str, group: str | None, items: str) -> DataFrame:
+    """Exact counts in one pass over the baskets: (group_key, item_a, item_b, n_ab).
+
+    A pair of one item is its own count. Rows without ``item_a`` count the baskets of the size in ``item_b``.
+    """
+    key = F.col(f"`{group}`") if group else F.lit("all")
+    rows = df.filter(F.col(f"`{record}`").isNotNull()).select(F.col(f"`{record}`").alias("record"), key.cast("string").alias("group_key"), F.array_sort(F.array_distinct(F.array_compact(F.col(f"`{items}`")))).alias("items"))
+    baskets = rows.filter("group_key is not null and size(items) > 0").distinct()
+    firsts = baskets.select("group_key", "items", F.posexplode("items").alias("at", "item_a"))
+    # the first item also gives a null partner, which stands for the basket itself
+    partners = F.concat(F.slice("items", F.col("at") + 1, F.size("items") - F.col("at")), F.when(F.col("at") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    pairs = firsts.select("group_key", F.col("item_a").cast("string").alias("item"), F.size("items").cast("string").alias("size"), F.explode(partners).alias("partner"))
+    both = pairs.select("group_key", F.when(F.col("partner").isNotNull(), F.col("item")).alias("item_a"), F.coalesce("partner", "size").alias("item_b"))
+    return both.groupBy("group_key", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
 
 
 def pair_counts(df: DataFrame, record: str, group: str | None, items: str) -> tuple[DataFrame, DataFrame]:
@@ -187,13 +242,9 @@ def pair_counts(df: DataFrame, record: str, group: str | None, items: str) -> tu
     group (where one is named) or any item are left out, null items too. A record id with different contents
     counts once for each.
     """
-    key = F.col(f"`{group}`") if group else F.lit("all")
-    rows = df.filter(F.col(f"`{record}`").isNotNull()).select(F.col(f"`{record}`").alias("record"), key.cast("string").alias("group_key"), F.array_sort(F.array_distinct(F.array_compact(F.col(f"`{items}`")))).alias("items"))
-    baskets = rows.filter("group_key is not null and size(items) > 0").distinct()
-    sizes = baskets.groupBy("group_key", F.size("items").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    firsts = baskets.select("group_key", "items", F.posexplode("items").alias("at", "item_a"))
-    pairs = firsts.select("group_key", "item_a", F.explode(F.slice("items", F.col("at") + 1, F.size("items") - F.col("at"))).alias("item_b"))
-    return sizes, pairs.groupBy("group_key", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
+    counts = marked_counts(df, record, group, items)
+    sizes = counts.filter("item_a is null").select("group_key", F.col("item_b").cast("bigint").alias("level"), F.col("n_ab").alias("n"))
+    return sizes, counts.filter("item_a is not null")
 
 
 def surprising_pairs(df: DataFrame, record: str, group: str | None, items: str, min_support: int = 1) -> DataFrame:
@@ -203,17 +254,12 @@ def surprising_pairs(df: DataFrame, record: str, group: str | None, items: str,
     (natural logarithms of the tail and its false-discovery value), lift. ``min_support`` only chooses the
     pairs that are given; all pairs are tested and ranked. An empty table gives no rows.
     """
-    sizes, counted = pair_counts(df, record, group, items)
-    # written as one table, so that both counts come from one pass over the baskets; size rows have no first item
-    marked = sizes.select("group_key", F.lit(None).cast("string").alias("item_a"), F.col("level").cast("string").alias("item_b"), F.col("n").alias("n_ab"))
-    kept = materialise(counted.unionByName(marked), "pair-counts")
-    counted = kept.filter("item_a is not null")
-    sizes = kept.filter("item_a is null").select("group_key", F.col("item_b").cast("bigint").alias("level"), F.col("n_ab").alias("n"))
-    own = counted.filter("item_a = item_b").select("group_key", F.col("item_a").alias("item"), F.col("n_ab").alias("n_item"))
-    degrees = own.groupBy("group_key", F.col("n_item").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    null = sizes.select("group_key", F.lit("size").alias("kind"), F.col("level").cast("bigint").alias("level"), "n").unionByName(degrees.select("group_key", F.lit("degree").alias("kind"), "level", "n"))
-    fitted = materialise(null.groupBy("group_key").applyInArrow(_fit_groups, "group_key string, kind string, level bigint, n bigint, weight double"), "fitted-null")
-    together = counted.filter("item_a != item_b")
+    kept = materialise(marked_counts(df, record, group, items), "pair-counts")
+    own = materialise(kept.filter("item_a = item_b").select("group_key", F.col("item_a").alias("item"), F.col("n_ab").alias("n_item")), "item-counts")
+    sizes = kept.filter("item_a is null").select("group_key", F.lit(True).alias("is_size"), F.col("item_b").cast("bigint").alias("level"), F.col("n_ab").alias("n"))
+    degrees = own.groupBy("group_key", F.lit(False).alias("is_size"), F.col("n_item").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    fitted = materialise(over_groups(sizes.unionByName(degrees), ["group_key"], [], _fit_group, _NULL_ROW), "fitted-null")
+    together = kept.filter("item_a != item_b")
     for side in ("a", "b"):
         together = join_by_key(together, own.select("group_key", F.col("item").alias(f"item_{side}"), F.col("n_item").alias(f"n_{side}")), ["group_key", f"item_{side}"])
     together = materialise(together.withColumns({"n_low": F.least("n_a", "n_b"), "n_high": F.greatest("n_a", "n_b")}), "pairs")
@@ -230,9 +276,8 @@ def tested_cells(cells: DataFrame, fitted: DataFrame) -> DataFrame:
     slices = cells.groupBy("group_key").agg(F.ceil(F.count(F.lit(1)) / CELLS_PER_TASK).cast("int").alias("slices"))
     cells = cells.join(slices, "group_key").withColumn("slice", F.pmod(F.xxhash64("n_ab", "n_low", "n_high"), F.col("slices")).cast("int")).drop("slices")
     null = fitted.join(slices.select("group_key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")), "group_key")
-    null = null.toDF(*null.columns)  # columns of its own: both sides come from one table
-    schema = "group_key string, n_ab bigint, n_low bigint, n_high bigint, n_pairs bigint, n bigint, n_items bigint, expected double, log_p double"
-    return null.groupBy("group_key", "slice").cogroup(cells.groupBy("group_key", "slice")).applyInArrow(_test_cells, schema)
+    both = null.unionByName(cells, allowMissingColumns=True)
+    return over_groups(both, ["group_key", "slice"], [F.col("weight").isNull()], _test_cells, _CELL)
 
 
 def with_false_discovery(tested: DataFrame, per_unit: int = 8) -> DataFrame:
