@@ -306,6 +306,36 @@ def test_spaced_masks_alone_find_every_exact_run():
             assert index.verify(ids, np.array([(at, 1 - j)]))[0][1] == leakage.RUN
 
 
+def test_two_substituted_words_are_found_wherever_they_stand(spark):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(66)]
+    docs, want = [], set()
+    for i, pair in enumerate(itertools.combinations(range(12), 2)):
+        docs.append((i, "before " + " ".join("other" if j in pair else f"i{i}w{j}" for j in range(12)) + " after"))
+        want.add((i, i))
+    rng = np.random.default_rng(6)
+    for d in range(300):  # longer items, on average one word in eight substituted
+        i = 100 + d % 30
+        words = [f"i{i}w{j}" for j in range(60)]
+        if d < 30:
+            items.append((i, " ".join(words)))
+        changed = rng.random(60) < 0.12
+        docs.append((1000 + d, " ".join(["x"] * (d % 7) + [f"s{d}" if c else w for c, w in zip(changed, words, strict=True)])))
+        if any(changed[j : j + 12].sum() <= 2 for j in range(49)):
+            want.add((1000 + d, i))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    for limit in (leakage.BROADCAST_WORDS, 0):
+        got = {(r.doc_id, r.item_id) for r in leakage.leaks(frames[0], "doc_id", "text", frames[1], "item_id", "item_text", limit).filter("tolerant_words >= 10").collect()}
+        assert want <= got  # a recall of one
+
+
+def test_seed_filters_lose_nothing(spark):
+    seeds = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 70_000)
+    made = leakage.seed_filter(spark.createDataFrame([(int(s),) for s in seeds], "seed long"))
+    others = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 50_000)
+    assert made.may_hold(seeds).all() and made.may_hold(others).mean() < 0.03
+    assert not leakage.seed_filter(spark.createDataFrame([], "seed long")).may_hold(others).any()
+
+
 def test_both_ways_give_the_same(spark, data):
     docs, items = siblings()
     items += [(5, items[4][1].upper().replace(" ", ",\n")), (6, "u0 u1 u2 u3 u4 u5 u6 u7 u8 u9"), (6, "t0 t1 u0 u1 u2 u3 u4 u5 u6 u7")]

@@ -18,17 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.lookalike import Rewriter
-from verdigris.session import bounded_batches, materialise
+from verdigris.session import bounded, materialise
 
 #: Words of the shortest run that counts.
 RUN = 8
-#: Spaced seeds over a run's words (1: compared), which ignore disjoint positions and find runs with substituted words.
-#: Each fits in a run and every own window is seeded, so that no exact run is missed.
-MASKS = ("11101101", "10110111")
+#: Spaced seeds over a run's words (1: compared). Each fits in a run and every own window is seeded, so that no exact run
+#: is missed; together they hit a tolerant window wherever its two substituted words stand (all 66 placements).
+MASKS = ("11100101", "10110011")
 #: A tolerant window has this many words, of which at least ``TOLERANT_HITS`` agree in place.
 TOLERANT_WINDOW, TOLERANT_HITS = 12, 10
-#: Items with at most this many words in all go to every task (about 40 bytes each); more are joined by a shuffle.
-BROADCAST_WORDS = 2_000_000
+#: Items with at most this many words in all go to every task (about 90 bytes a word there, 500 while the driver builds
+#: the index); more are joined by a shuffle.
+BROADCAST_WORDS = 500_000
+#: Bits of the filter that keeps windows of documents without a seed out of that shuffle: 16 a seed, within these bounds.
+#: A fuller filter lets more windows through and loses none.
+FILTER_BITS = (1 << 20, 1 << 29)
+_BLOCK_BITS = 1 << 18
 
 _WORD = re.compile(r"[^\W_]+")
 #: Fixed odd multipliers of the window hash, one per position.
@@ -166,7 +171,6 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     occur in no other item; ``tolerant_words`` adds those in windows with substituted words. Items with
     equal texts share all their runs and match nothing. Null ids and texts are left out; empty texts match nothing.
     """
-    bounded_batches(docs.sparkSession)
     form = Rewriter()
     documents = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id is not null and text is not null")
     held_out = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("item_text")).filter("item_id is not null and item_text is not null").distinct()
@@ -177,7 +181,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     index = ItemIndex([(r["item_id"], words(r["item_text"], form)) for r in held_out.collect()])  # checked above
 
     def search(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             encoded = [index.encode(words(batch.column(1)[at].as_py(), form)) for at in range(batch.num_rows)]
             rows = [(batch.column(0)[at].as_py(), *r) for at, *r in index.search(encoded)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "exact_words", "tolerant_words"])
@@ -192,16 +196,55 @@ def _word_hashes(text: str | None, form: Rewriter) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in ws), np.int64, len(ws))
 
 
+def _bits(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each seed in a filter of ``bits``, a power of two."""
+    u = seeds.astype(np.int64).view(np.uint64)
+    return (u & np.uint64(bits - 1)).astype(np.int64), ((u * FACTORS[0]) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+class SeedFilter:
+    """A Bloom filter: tells windows that may hold a seed from those that hold none."""
+
+    def __init__(self, bits: int, blocks: dict[int, bytes]):
+        self.bits = bits
+        self.cells = np.zeros(bits // 8, np.uint8)
+        for block, cells in blocks.items():
+            self.cells[block * _BLOCK_BITS // 8 : (block + 1) * _BLOCK_BITS // 8] = np.frombuffer(cells, np.uint8)
+
+    def may_hold(self, seeds: np.ndarray) -> np.ndarray:
+        one, other = _bits(seeds, self.bits)
+        return ((self.cells[one >> 3] >> (one & 7)) & (self.cells[other >> 3] >> (other & 7)) & 1).astype(bool)
+
+
+def seed_filter(seeds: DataFrame) -> SeedFilter:
+    """The filter over the column ``seed``, put together from blocks that are built apart; its size is bounded."""
+    bits = 1 << max(FILTER_BITS[0], min(FILTER_BITS[1], 16 * seeds.count())).bit_length() - 1
+
+    def places(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(_bits(batch.column(0).to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((at // _BLOCK_BITS).astype(np.int32)), pa.array((at % _BLOCK_BITS).astype(np.int32))], names=["block", "place"])
+
+    def block(rows: pa.Table) -> pa.Table:
+        cells = np.zeros(_BLOCK_BITS, np.uint8)
+        cells[rows.column("place").to_numpy()] = 1
+        return pa.table({"block": rows.column("block").slice(0, 1), "cells": pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())})
+
+    made = seeds.select("seed").mapInArrow(places, "block int, place int").distinct().groupBy("block").applyInArrow(block, "block int, cells binary")
+    return SeedFilter(bits, {r["block"]: bytes(r["cells"]) for r in made.collect()})  # FILTER_BITS[1] bits at most
+
+
 def _joined_leaks(documents: DataFrame, held_out: DataFrame, form: Rewriter) -> DataFrame:
     """The same for item sets too large for every task: seeds meet in a shuffle join, candidates are verified in pairs.
 
     Words are 63-bit hashes here. Whether a window is an item's own is counted over all items first. An item's
-    texts are rows of their own, for an id delivered with several texts has different windows in each.
+    texts are rows of their own, for an id delivered with several texts has different windows in each. Of the
+    documents' windows only those that pass a filter of the seeds are shuffled.
     """
     held_out = materialise(held_out.withColumn("text_row", F.monotonically_increasing_id()), "item-texts")
 
     def windows(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             for at in range(batch.num_rows):
                 ids = _word_hashes(batch.column(1)[at].as_py(), form)
                 full = seed_hashes(ids, "1" * RUN)
@@ -212,25 +255,42 @@ def _joined_leaks(documents: DataFrame, held_out: DataFrame, form: Rewriter) ->
                         names=["id", "mask", "seed", "full", "place"],
                     )
 
-    schema = "id bigint, mask int, seed bigint, full bigint, place int"
-    own = materialise(held_out.select("text_row", "item_text").mapInArrow(windows, schema), "item-windows")
+    own = materialise(held_out.select("text_row", "item_text").mapInArrow(windows, "id bigint, mask int, seed bigint, full bigint, place int"), "item-windows")
     owners = held_out.select(F.col("text_row").alias("id"), "item_id")
     once = own.filter("mask = 0").join(owners, "id").groupBy("full").agg(F.count_distinct("item_id").alias("n")).filter("n = 1").select("full")
     own = materialise(own.join(once, "full", "left_semi"), "own-windows")
-    seeds = own.select("mask", "seed", F.col("id").alias("text_row")).distinct()
-    theirs = documents.mapInArrow(windows, schema).select("mask", "seed", F.col("id").alias("doc_id"))
+    seeds = materialise(own.select("mask", "seed", F.col("id").alias("text_row")).distinct(), "seeds")
+    shared = documents.sparkSession.sparkContext.broadcast(seed_filter(seeds.select("seed").distinct()))
+
+    def passing(batches):
+        for batch in bounded(batches, 256):
+            rows, numbers, found = [], [], []
+            for at in range(batch.num_rows):
+                ids = _word_hashes(batch.column(1)[at].as_py(), form)
+                for number, mask in enumerate(MASKS):
+                    mine = np.unique(seed_hashes(ids, mask).view(np.int64))
+                    mine = mine[shared.value.may_hold(mine)]
+                    rows.append(np.full(len(mine), at))
+                    numbers.append(np.full(len(mine), number, np.int32))
+                    found.append(mine)
+            index = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(np.concatenate(numbers) if rows else np.zeros(0, np.int32)), pa.array(np.concatenate(found) if rows else np.zeros(0, np.int64))], names=["doc_id", "mask", "seed"])
+
+    theirs = documents.mapInArrow(passing, "doc_id bigint, mask int, seed bigint")
     pairs = theirs.join(seeds, ["mask", "seed"]).select("doc_id", "text_row").distinct()
     places = own.filter("mask = 0").groupBy("id").agg(F.collect_list("place").alias("places")).withColumnRenamed("id", "text_row")  # one text's windows
-    joined = pairs.join(documents, "doc_id").join(held_out, "text_row").join(places, "text_row").select("doc_id", "item_id", "text", "item_text", "places")
+    joined = pairs.join(documents, "doc_id").join(held_out, "text_row").join(places, "text_row").select("doc_id", "text_row", "item_id", "text", "item_text", "places")
 
     def verify(frames):
+        at, index = None, None  # rows come by item text, so that one index serves many of them
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                item_words = words(row.item_text, form)
-                own = np.zeros(max(0, len(item_words) - RUN + 1), bool)
-                own[np.asarray(row.places, int)] = True
-                index = ItemIndex([(row.item_id, item_words)], [own])
+                if row.text_row != at:
+                    item_words = words(row.item_text, form)
+                    own = np.zeros(max(0, len(item_words) - RUN + 1), bool)
+                    own[np.asarray(row.places, int)] = True
+                    at, index = row.text_row, ItemIndex([(row.item_id, item_words)], [own])
                 out += [(row.doc_id, *r) for _, *r in index.search([index.encode(words(row.text, form))])]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "exact_words", "tolerant_words"])
 
