@@ -303,7 +303,8 @@ def test_spaced_masks_alone_find_every_exact_run():
         for j in np.flatnonzero(index.own[at]).tolist():
             ids = index.encode(["x", *ws[j : j + leakage.RUN], "y"])
             assert (at, 1 - j) in {(item, shift) for item, _, shift in index.hits(ids).tolist()}
-            assert index.verify(ids, np.array([(at, 1 - j)]))[0][1] == leakage.RUN
+            assert index.verify(ids, np.array([0, len(ids) + leakage.RUN]), np.array([(0, at, 1 - j)]))[0][2] == leakage.RUN
+            assert (0, index.ids[at], leakage.RUN) in {r[:3] for r in index.search([ids])}
 
 
 def test_two_substituted_words_are_found_wherever_they_stand(spark):

@@ -34,6 +34,8 @@ BROADCAST_WORDS = 500_000
 #: A fuller filter lets more windows through and loses none.
 FILTER_BITS = (1 << 20, 1 << 29)
 _BLOCK_BITS = 1 << 18
+#: Words of items that are compared at once.
+VERIFIED_WORDS = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 #: Fixed odd multipliers of the window hash, one per position.
@@ -86,8 +88,13 @@ class ItemIndex:
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for _, ws in items]
         self.own = own if own is not None else self._own()
         # places where a run may start, and those where a tolerant window holds an own window somewhere in it
-        self.starts = [np.concatenate([own, np.zeros(len(ws) - len(own), bool)]) for ws, own in zip(self.words, self.own, strict=True)]
-        self.near = [np.convolve(starts, np.ones(TOLERANT_WINDOW - RUN + 1), "full")[TOLERANT_WINDOW - RUN :] > 0 if len(starts) else starts for starts in self.starts]
+        starts = [np.concatenate([own, np.zeros(len(ws) - len(own), bool)]) for ws, own in zip(self.words, self.own, strict=True)]
+        near = [np.convolve(s, np.ones(TOLERANT_WINDOW - RUN + 1), "full")[TOLERANT_WINDOW - RUN :] > 0 if len(s) else s for s in starts]
+        near = [n & (np.arange(len(n)) <= len(n) - TOLERANT_WINDOW) for n in near]
+        none = np.zeros(0, bool)
+        self.lengths = np.array([len(ws) for ws in self.words], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.flat, self.flat_starts, self.flat_near = np.concatenate([none.astype(np.int64), *self.words]), np.concatenate([none, *starts]), np.concatenate([none, *near])
         places = [np.flatnonzero(own) for own in self.own]
         owner = np.repeat(np.arange(len(items)), [len(p) for p in places])
         p = np.concatenate([np.zeros(0, np.int64), *places])
@@ -141,27 +148,41 @@ class ItemIndex:
         """
         gap = np.zeros(RUN, np.int64)
         starts = np.cumsum([0, *[len(d) + RUN for d in documents]])
-        found = self.hits(np.concatenate([x for d in documents for x in (d, gap)] or [gap]))
+        row = np.concatenate([x for d in documents for x in (d, gap)] or [gap])
+        found = self.hits(row)
         owner = np.searchsorted(starts, found[:, 1], "right") - 1
-        rows = np.unique(np.stack([owner, found[:, 0], found[:, 2] - starts[owner]], axis=1), axis=0)
-        out = []
-        for doc in np.unique(rows[:, 0]).tolist():
-            mine = rows[rows[:, 0] == doc]
-            out += [(doc, *r) for r in self.verify(documents[doc], mine[:, 1:])]
-        return out
-
-    def verify(self, ids: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item id, words in exact runs, words in tolerant windows) of the items hit."""
-        exact: dict[int, np.ndarray] = {}
-        tolerant: dict[int, np.ndarray] = {}
-        for item, shift in diagonals.tolist():
-            ws = self.words[item]
-            low, high = max(0, -shift), min(len(ws), len(ids) - shift)
-            equal = np.zeros(len(ws), bool)
-            equal[low:high] = ws[low:high] == ids[low + shift : high + shift]
-            exact[item] = exact.get(item, False) | covered(equal, self.starts[item], RUN, RUN)
-            tolerant[item] = tolerant.get(item, False) | covered(equal, self.near[item], TOLERANT_WINDOW, TOLERANT_HITS)
-        return [(self.ids[i], int(exact[i].sum()), int((exact[i] | tolerant[i]).sum())) for i in exact]
+        diagonals = np.unique(np.stack([owner, found[:, 0], found[:, 2]], axis=1), axis=0)
+        return self.verify(row, starts, diagonals)
+
+    def verify(self, row: np.ndarray, starts: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item id, words in exact runs, words in tolerant windows) of diagonals (document, item, shift in ``row``).
+
+        All diagonals of a batch are laid out behind each other and compared at once; no window crosses from one to
+        the next, for none may start where it would leave its item.
+        """
+        exact: dict[tuple[int, int], np.ndarray] = {}
+        tolerant: dict[tuple[int, int], np.ndarray] = {}
+        ends = np.cumsum(self.lengths[diagonals[:, 1]])
+        low = 0
+        while low < len(diagonals):  # so many diagonals at once that their words fit in a bounded array
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + VERIFIED_WORDS, "right")))
+            part = diagonals[low:high]
+            length = self.lengths[part[:, 1]]
+            begin = np.cumsum(length) - length
+            inner = np.arange(length.sum()) - np.repeat(begin, length)
+            mine = np.repeat(self.offsets[part[:, 1]], length) + inner
+            theirs = np.repeat(part[:, 2], length) + inner
+            inside = (theirs >= np.repeat(starts[part[:, 0]], length)) & (theirs < np.repeat(starts[part[:, 0] + 1] - RUN, length))
+            equal = inside & (self.flat[mine] == row[np.where(inside, theirs, 0)])
+            runs, near = covered(equal, self.flat_starts[mine], RUN, RUN), covered(equal, self.flat_near[mine], TOLERANT_WINDOW, TOLERANT_HITS)
+            for at in np.flatnonzero(np.add.reduceat(runs | near, begin) if len(begin) else begin).tolist():
+                doc, item, _ = part[at].tolist()
+                own = slice(begin[at], begin[at] + length[at])
+                exact[doc, item] = exact.get((doc, item), False) | runs[own]
+                tolerant[doc, item] = tolerant.get((doc, item), False) | near[own]
+            low = high
+        return [(doc, self.ids[item], int(exact[doc, item].sum()), int((exact[doc, item] | tolerant[doc, item]).sum())) for doc, item in exact]
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
