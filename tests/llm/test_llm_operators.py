@@ -12,6 +12,8 @@ from hypothesis import strategies as st
 
 pytest.importorskip("verdigris.llm.queries")
 
+import outlines  # noqa: E402
+
 from verdigris.llm import cooccurrence, leakage, lookalike, packing, queries, terms  # noqa: E402
 
 # ---- problem 1
@@ -370,6 +372,10 @@ def test_both_ways_give_the_same(spark, data):
         ("АΒС", "ABC"),
         ("oﬀi", "ofﬁ"),
         ("e‍́", "é"),
+        ("Ⅻ ⅸ", "XII ix"),
+        ("ꓮꓰ 𝖺𝖹", "AE aZ"),
+        ("սո µ", "un μ"),
+        ("ΠΑ", "ПА"),
     ],
 )
 def test_alike(a, b):
@@ -377,7 +383,7 @@ def test_alike(a, b):
     assert form(a) == form(b) and form(form(a)) == form(a)
 
 
-@pytest.mark.parametrize(("a", "b"), [("a", "A"), ("e", "é"), ("1", "l"), ("O", "0"), ("a b", "a\nb"), ("a b", "a  b"), ("a,b", "a.b"), ("x²", "x2"), ("к", "k"), ("a–b", "a-b"), ("'", "’"), ("", " "), ("①", "1")])
+@pytest.mark.parametrize(("a", "b"), [("a", "A"), ("e", "é"), ("1", "l"), ("O", "0"), ("a b", "a\nb"), ("a b", "a  b"), ("a,b", "a.b"), ("x²", "x2"), ("к", "k"), ("a–b", "a-b"), ("'", "’"), ("", " "), ("①", "1"), ("α", "a"), ("κ", "k"), ("т", "T"), ("𝐚", "a"), ("ſ", "s"), ("ا", "l")])
 def test_not_alike(a, b):
     form = lookalike.Rewriter()
     assert form(a) != form(b)
@@ -394,7 +400,7 @@ def test_form_is_stable_whatever_the_frequencies(text, frequencies):
 def test_form_agrees_with_compatibility_forms_on_the_data(spark, data):
     """On the data's own characters, compatibility normalisation is a second way to the same classes."""
     form = lookalike.Rewriter()
-    letters = {ord(o): k for k, v in lookalike.DRAWN_ALIKE.items() for o in v}
+    letters = {ord(o): k for k, v in (*lookalike.DRAWN_ALIKE.items(), *((t[0], t[1:]) for t in lookalike.TWINS)) for o in v}
     docs = queries.table(spark, data, "documents").select("doc_id", "text").collect()
     own, other = defaultdict(set), defaultdict(set)
     for d, t in docs:
@@ -404,6 +410,37 @@ def test_form_agrees_with_compatibility_forms_on_the_data(spark, data):
     assert sorted(map(sorted, own.values())) == sorted(map(sorted, other.values()))
 
 
+def test_frequencies_count_every_character(spark, data):
+    docs = queries.table(spark, data, "documents")
+    want = Counter(c for r in docs.select("text").collect() for c in unicodedata.normalize("NFD", r.text or ""))
+    got = lookalike.member_frequencies(docs, "text")
+    assert got == {m: want[m] for m in lookalike._counted_members() if want[m]} and got["a"] > 1000
+
+
+@pytest.mark.parametrize(("name", "least"), [("DejaVuSans", 1.0), ("DejaVuSansMono", 1.0), ("DejaVuSerif", 1.0)])
+def test_letters_a_font_draws_with_one_outline_are_joined(name, least):
+    """The fonts' own outlines as an independent list of letters that no reader can tell apart."""
+    path = outlines.FOLDER / f"{name}.ttf"
+    if not path.exists():
+        pytest.skip("the font isn't installed")
+    font = outlines.Font(path)
+    latin = {font.shape(c): c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    # Arabic letters change with their neighbours; monospaced letters are a style that shows in all but monospaced fonts
+    letters = [chr(p) for p in font.glyph_of if p > 127 and unicodedata.category(chr(p))[0] in "LN" and not any(n in unicodedata.name(chr(p), "") for n in ("ARABIC", "MATHEMATICAL MONOSPACE"))]
+    same = [(c, latin[shape]) for c in letters if (shape := font.shape(c)) in latin]
+    form = lookalike.Rewriter()
+    missed = [(c, unicodedata.name(c), a) for c, a in same if form(c) != form(a)]
+    assert len(same) > 40 and 1 - len(missed) / len(same) >= least, missed
+
+
+def test_large_classes_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "PAIR_BLOCK", 4)
+    rows = [(i, ("ab", "ａb", "a\u200bb")[i % 3]) for i in range(25)] + [(100, "x"), (101, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = [tuple(r) for r in lookalike.look_alike_pairs_of_documents(df, "doc_id", "text").collect()]
+    assert sorted(pairs) == [(a, b) for a in range(25) for b in range(a + 1, 25) if a % 3 != b % 3]
+
+
 def test_look_alike_documents(spark):
     rows = [(1, "ab"), (2, "ab"), (3, "ａb"), (4, "a​b"), (5, "AB"), (6, None), (7, ""), (8, "​"), (None, "ab"), (1, "ab"), (9, "z" * 50000), (10, "z" * 50000 + "⁠")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 canon_key")

@@ -1,7 +1,8 @@
 """One consistent form for texts that look alike but are stored differently.
 
-Pairs of look-alike strings come from Unicode's own decompositions (full and half width, joined forms), from its
-blanks and default-ignorable characters, and from a short list of letters of other scripts. Union-find over
+Pairs of look-alike strings come from Unicode's own decompositions (full and half width, joined forms, numerals made of
+letters), from its blanks and default-ignorable characters, and from lists of letters of other scripts. Letters are
+listed if a common font without serifs draws them with the very outline of another letter. Union-find over
 these strings makes the classes transitive. Each class is written as its most frequent member in the corpus,
 and a multi-pattern automaton rewrites texts greedily, longest match first, in decomposed form, so that
 accents of look-alike letters meet too. Case, accents, digits, marks, words and line breaks stay as they are.
@@ -22,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.session import bounded_batches, materialise
+from verdigris.operators.skew import join_by_key
+from verdigris.session import bounded, materialise
 
-#: Letters of other scripts drawn like a Latin letter, by that letter.
+#: Letters of other scripts (and small capitals) drawn like a Latin letter, by that letter.
 DRAWN_ALIKE = {
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ΥҮ", "Z": "Ζ",
+    "a": "а", "b": "Ꮟ", "c": "сϲⲥᴄ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іᎥ", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօⲟᴏ", "p": "рρⲣ", "q": "ԛ", "s": "ѕꜱ", "u": "ս", "v": "ѵνᴠ", "w": "ԝᴡ", "x": "х", "y": "у", "z": "ᴢ",
+    "A": "АΑꓮᎪ", "B": "ВΒꓐᏴⲂ", "C": "СϹꓚᏟⲤ", "D": "ꓓᎠᗞ", "E": "ЕΕꓰᎬⴹ", "F": "Ϝꓝ", "G": "ԌꓖᏀ", "H": "НΗꓧᎻⲎᕼ", "I": "ІΙӀꓲⲒⵏ", "J": "ЈͿᎫ", "K": "КΚꓗᏦⲔ", "L": "ԼꓡᏞᒪ", "M": "МΜꓟᎷⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ",
+    "P": "РΡꓑᏢⲢ", "Q": "Ԛ", "R": "ꓣᎡ", "S": "ЅՏꓢᏚ", "T": "ТΤꓔᎢⲦ", "U": "Սꓴᑌ", "V": "ѴꓦᏙᐯⴸ", "W": "ԜꓪᎳ", "X": "ХΧꓫⲬⵝ", "Y": "ΥҮꓬ", "Z": "ΖꓜᏃ",
 }
+#: Letters drawn like each other, none of them like a letter above.
+TWINS = ("ÆӔ", "æӕ", "ÐĐƉ", "ÞϷ", "ƂБ", "ƏӘ", "əǝә", "ƐԐ", "ɛε", "ƖꙆ", "ɩꙇ", "ƧꙄ", "ƨꙅ", "ƩΣ", "ƷӠ", "ʒӡ", "ɅΛ", "ʌᴧ", "ɵө", "ʙв", "ʜн", "ΠП", "δẟ", "ϴѲӨ", "ЧꞍ", "лᴫ", "мᴍ", "тᴛ", "ᴘᴩ", "ꚘꝎ", "ꚙꝏ", "µμ")
 #: Kinds of hyphens drawn as one stroke of hyphen length.
 HYPHENS = "-‐‑﹣－"
 #: Tags of decompositions that change only width, joining or breaking.
@@ -65,6 +70,15 @@ def _is_joined(char: str, plain: str) -> bool:
     return len(plain) > 1 and unicodedata.category(char) in ("Ll", "Lu", "Lt", "Lo") and all(c.isalpha() or unicodedata.combining(c) for c in plain)
 
 
+def _is_letter_numeral(char: str, plain: str) -> bool:
+    return unicodedata.category(char) == "Nl" and plain.isascii() and plain.isalpha()
+
+
+def _is_plain_sans(char: str) -> bool:
+    """Mathematical letters without serifs that are neither bold nor slanted."""
+    return re.fullmatch("MATHEMATICAL SANS-SERIF (CAPITAL|SMALL) .", unicodedata.name(char, "")) is not None
+
+
 def _is_invisible(char: str) -> bool:
     point = ord(char)
     ignorable = point in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5) or 0x180B <= point <= 0x180F or 0xFE00 <= point <= 0xFE0F or 0xE0000 <= point <= 0xE0FFF
@@ -86,11 +100,12 @@ def look_alike_pairs() -> tuple[tuple[str, str], ...]:
             pairs.append((own, " "))
         else:
             tag, _, points = unicodedata.decomposition(char).partition(" ")
-            if tag in PLAIN_TAGS or tag == "<compat>":
+            if tag in PLAIN_TAGS or tag in ("<compat>", "<font>"):
                 plain = "".join(chr(int(p, 16)) for p in points.split())
-                if tag in PLAIN_TAGS or _is_joined(char, plain):
+                if tag in PLAIN_TAGS or tag == "<compat>" and (_is_joined(char, plain) or _is_letter_numeral(char, plain)) or tag == "<font>" and _is_plain_sans(char):
                     pairs.append((own, unicodedata.normalize("NFD", plain)))
     pairs += [(letter, other) for letter, others in DRAWN_ALIKE.items() for other in others]
+    pairs += [(first, other) for first, *others in TWINS for other in others]
     return tuple(pairs + [(h, "-") for h in HYPHENS[1:]])
 
 
@@ -175,24 +190,36 @@ class Rewriter:
         return out
 
 
+@lru_cache(1)
+def _counted_members() -> tuple[str, ...]:
+    """The members whose frequency can decide: single characters of classes whose members are all of that length."""
+    classes = [c for c in look_alike_classes() if "" not in c and "\n" not in c and max(map(len, c)) == 1]
+    return tuple(sorted(m for c in classes for m in c))
+
+
 def member_frequencies(df: DataFrame, text: str) -> dict[str, int]:
-    """How often each member of a class occurs in all texts; the result has at most one row per known member."""
-    bounded_batches(df.sparkSession)
-    singles = np.array(sorted({ord(m) for c in look_alike_classes() for m in c if len(m) == 1}), np.uint32)
-    longer = sorted({m for c in look_alike_classes() for m in c if len(m) > 1})
+    """How often each member that can become a representative occurs in all texts; at most one row per such member.
+
+    Characters are counted by table look-up, those of ASCII texts as bytes.
+    """
+    members = _counted_members()
+    code_of = np.zeros(sys.maxunicode + 1, np.uint16)
+    code_of[[ord(m) for m in members]] = np.arange(1, len(members) + 1)
 
     def count(batches):
-        points, strings = np.zeros(len(singles), np.int64), np.zeros(len(longer), np.int64)
-        for batch in batches:
-            joined = unicodedata.normalize("NFD", "\n".join(t for t in batch.column(0).to_pylist() if t))
+        totals, ascii_totals = np.zeros(len(members) + 1, np.int64), np.zeros(256, np.int64)
+        for batch in bounded(batches):
+            plain, other = [], []
+            for t in batch.column(0).to_pylist():
+                if t:
+                    (plain if t.isascii() else other).append(t)
+            ascii_totals += np.bincount(np.frombuffer("".join(plain).encode(), np.uint8), minlength=256)
+            joined = "".join(unicodedata.normalize("NFD", t) for t in other)
             for low in range(0, len(joined), 1 << 20):
-                codes = np.frombuffer(joined[low : low + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32)
-                values, counts = np.unique(codes, return_counts=True)
-                at = np.minimum(np.searchsorted(singles, values), len(singles) - 1)
-                hit = singles[at] == values
-                points[at[hit]] += counts[hit]
-            strings += np.fromiter((joined.count(s) for s in longer), np.int64, len(longer))
-        found = [(chr(c), int(n)) for c, n in zip(singles, points, strict=True) if n] + [(s, int(n)) for s, n in zip(longer, strings, strict=True) if n]
+                codes = code_of[np.frombuffer(joined[low : low + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32)]
+                totals += np.bincount(codes, minlength=len(totals))
+        totals += np.bincount(code_of[:256], ascii_totals, len(totals)).astype(np.int64)
+        found = [(m, int(n)) for m, n in zip(members, totals[1:], strict=True) if n]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], names=["member", "n"])
 
     counted = df.select(F.col(f"`{text}`")).mapInArrow(count, "member string, n bigint").groupBy("member").agg(F.sum("n").alias("n"))
@@ -205,10 +232,9 @@ def _digest(text: str) -> bytes:
 
 def canonical_keys(df: DataFrame, doc_id: str, text: str, rewriter: Rewriter) -> DataFrame:
     """(doc_id, canon_key, text_key): 128-bit digests of the consistent form and of the text as stored; null texts are left out."""
-    bounded_batches(df.sparkSession)
 
     def keys(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             texts = batch.column(1).to_pylist()
             canon, stored = [], []
             for t in texts:
@@ -231,32 +257,37 @@ def consistent_text(df: DataFrame, text: str, rewriter: Rewriter, output: str =
     return df.withColumn(output, rewrite(F.col(f"`{text}`")))
 
 
+#: Documents of one class that meet all others of the class in one group of a join.
+PAIR_BLOCK = 1024
+
+
 def look_alike_documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per document: its class (the smallest document id in it), the class's documents and stored forms.
 
-    Null ids and null texts are left out; a repeated row counts once.
+    ``form`` is the digest of the text as stored, equal for exact copies. Null ids and null texts are left out; a
+    repeated row counts once.
     """
     rewriter = Rewriter(member_frequencies(df, text))
     keys = materialise(canonical_keys(df, doc_id, text, rewriter).filter("doc_id is not null").distinct(), "look-alike-keys")
     variants = keys.groupBy("canon_key", "text_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = variants.groupBy("canon_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_forms"))
-    return keys.join(classes, "canon_key").select("doc_id", "class_id", "n_documents", "n_forms")
+    classes = materialise(variants.groupBy("canon_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_forms")), "look-alike-classes")
+    return join_by_key(keys, classes, ["canon_key"]).select("doc_id", "class_id", "n_documents", "n_forms", F.col("text_key").alias("form"))
 
 
-def look_alike_pairs_of_documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id_a, doc_id_b): documents whose texts differ as stored but have one consistent form.
+def class_pairs(documents: DataFrame) -> DataFrame:
+    """(doc_id_a, doc_id_b) of classes: their documents of different forms, each pair once.
 
-    Stored forms are paired first, and documents joined to these pairs, so that exact copies among a class meet
-    only the copies of other forms, never each other.
+    Its size is the square of a class, which ``n_documents`` and ``n_forms`` tell beforehand. A large class is cut
+    into blocks on one side, so that its pairs come from many tasks.
     """
-    rewriter = Rewriter(member_frequencies(df, text))
-    keys = materialise(canonical_keys(df, doc_id, text, rewriter).filter("doc_id is not null").distinct(), "look-alike-keys")
-    forms = keys.select("canon_key", "text_key").distinct()
-    several = forms.groupBy("canon_key").count().filter("count > 1").select("canon_key")
-    forms = forms.join(several, "canon_key", "left_semi")
-    one, other = forms.withColumnRenamed("text_key", "form_a"), forms.withColumnRenamed("text_key", "form_b")
-    pairs = one.join(other, "canon_key").filter("form_a < form_b").select("form_a", "form_b")
-    a = keys.select(F.col("text_key").alias("form_a"), F.col("doc_id").alias("a"))
-    b = keys.select(F.col("text_key").alias("form_b"), F.col("doc_id").alias("b"))
-    joined = pairs.join(a, "form_a").join(b, "form_b").filter("a != b")
-    return joined.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
+    several = documents.filter("n_forms > 1").withColumn("blocks", F.ceil(F.col("n_documents") / PAIR_BLOCK).cast("int"))
+    a = several.select("class_id", F.col("doc_id").alias("a"), F.col("form").alias("form_a"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    b = several.select("class_id", F.col("doc_id").alias("b"), F.col("form").alias("form_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # an id with several texts may meet itself, or another id in both directions
+    met = a.join(b, ["class_id", "block"]).filter("form_a < form_b and a != b")
+    return met.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
+
+
+def look_alike_pairs_of_documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id_a, doc_id_b): documents whose texts differ as stored but have one consistent form."""
+    return class_pairs(materialise(look_alike_documents(df, doc_id, text), "look-alike-documents"))

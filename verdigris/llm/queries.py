@@ -98,7 +98,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its class of texts that read the same."""
-    return lookalike.look_alike_documents(table(spark, folder, "documents"), "doc_id", "text")
+    return lookalike.look_alike_documents(table(spark, folder, "documents"), "doc_id", "text").drop("form")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_surprise, p1_counts, p5_found, p5_terms, p6_pack, p6_fill, p7_found, p7_leaks, p7_leaks_shuffled, p8_found, p8_classes)}
