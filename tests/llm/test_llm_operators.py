@@ -156,9 +156,24 @@ def test_plans_hold_everything_within_capacity(histogram, tiers):
             load[int(c)] += size
     total = sum(s * n for s, n in histogram.items())
     assert all(v <= 50 for v in load.values()) and plan.containers <= max(1, 2 * -(-total // 50))
-    firsts, before, filled, groups = plan.steps(4)
-    runs = {int(f): int(v) for f, v in zip(firsts, filled, strict=True)}
-    assert sum(load.values()) == total and all(load[f] == v for f, v in runs.items())
+    runs = plan.steps(4)[0]
+    assert sum(load.values()) == total and all(load[int(f)] == v for f, _, v, _ in runs)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(0, 50), st.integers(1, 40), max_size=25))
+def test_windows_of_several_lengths_hold_everything(histogram):
+    plan = packing.Plan(50, histogram, [10, 30], True)
+    load = Counter()
+    for size, n in histogram.items():
+        for c in plan.place(size, np.arange(n)):
+            load[int(c)] += size
+    runs = plan.steps(4)[0]
+    window = {first + i: length for first, count, _, length in runs.tolist() for i in range(count)}
+    assert set(window.values()) <= {10, 30, 50} and all(load[c] <= window[c] for c in load)
+    alone = {bound: packing.Plan(bound, {s: n for s, n in histogram.items() if low < s <= bound}).containers for low, bound in ((0, 10), (10, 30), (30, 50))}
+    opened = Counter(window[c] for c in window if load[c])
+    assert opened[50] == alone[50] and opened[30] <= alone[30] and opened[10] <= alone[10]  # short texts fill gaps, they never open long windows
 
 
 def test_tiers_fill_long_windows_first():
@@ -187,6 +202,43 @@ def test_pack(spark):
     assert empty.count() == 0
 
 
+def test_tiers_change_the_packing_and_steps_mix_them(spark):
+    limits = {"note": 16, "page": 40, "book": 100}
+    sizes = [(i, 1 + (i * 7919) % 97) for i in range(3000)] + [(i, 3) for i in range(3000, 4000)] + [(5000, 0), (5001, 350), (5002, 200)]
+    df = spark.createDataFrame(sizes, "doc_id long, n_tokens long")
+    packed = packing.pack_tiers(df, limits, 16).collect()
+    load, window, step = Counter(), {}, {}
+    for r in packed:
+        load[r.container_id] += r.n_tokens
+        window[r.container_id], step[r.container_id] = r.capacity, r.step_id
+    assert sorted((d, sum(r.n_tokens for r in rows)) for d, rows in itertools.groupby(sorted(packed, key=lambda r: r.doc_id), key=lambda r: r.doc_id)) == sorted(sizes)
+    assert all(load[c] <= window[c] for c in load) and {r.container_id: r.filled_tokens for r in packed} == dict(load)
+    room = sum(window.values())
+    rests = Counter(n % 100 if n > 100 else n for _, n in sizes)
+    apart = sum(bound * packing.Plan(bound, {n: k for n, k in rests.items() if low < n <= bound}).containers for low, bound in ((0, 16), (16, 40), (40, 100)))
+    assert room - 500 < apart and sum(n for _, n in sizes) > 0.98 * room  # five full parts; without the gaps the tiers would need more
+    by_step = defaultdict(Counter)
+    tokens = Counter()
+    for c, s in step.items():
+        by_step[s][window[c]] += 1
+        tokens[s] += load[c]
+    assert max(sum(v.values()) for v in by_step.values()) <= 16 and len(by_step) == -(-len(step) // 16)
+    for length in limits.values():
+        shares = [v[length] for v in by_step.values()]
+        assert max(shares) - min(shares) <= 2
+    assert max(tokens.values()) < 1.2 * min(tokens.values())
+    assert packing.pack_tiers(df.limit(0), limits).count() == 0
+
+
+def test_hot_sizes_are_ranked_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 7) for i in range(400)] + [(i, 90 + i % 3) for i in range(50)] + [(7, 7)] * 5, "doc_id long, n_tokens long")
+    whole = Counter((r.container_id, r.n_tokens) for r in packing.pack(df, {"x": 30}).collect() if "full" not in r.container_id)
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", 16)
+    rows = packing.pack(df, {"x": 30}).collect()
+    cut = Counter((r.container_id, r.n_tokens) for r in rows if "full" not in r.container_id)
+    assert cut == whole and len({r.step_id for r in rows}) == -(-len({r.container_id for r in rows}) // packing.STEP_CONTAINERS)
+
+
 def test_steps_count_full_parts(spark):
     sizes = [(i % 50, 30 * (i % 40) + i % 7) for i in range(120)] + [(None, 95), (60, 3000)]
     for per_step in (4, 64):

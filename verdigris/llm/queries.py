@@ -57,19 +57,24 @@ def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     return _terms(spark, folder)
 
 
-def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, int]]:
+def _sizes(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, int]]:
     limits = {r["limit_name"]: r["capacity_tokens"] for r in table(spark, folder, "pack_limits").collect()}  # a row per size
-    return packing.pack(packing.token_counts(table(spark, folder, "documents"), "doc_id", "text"), limits), limits
+    return packing.token_counts(table(spark, folder, "documents"), "doc_id", "text"), limits
 
 
 def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place in containers of each size."""
-    return _packed(spark, folder)[0]
+    return packing.pack(*_sizes(spark, folder))
+
+
+def p6_tiers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in one layout with windows of all sizes, and step groups that mix them."""
+    return packing.pack_tiers(*_sizes(spark, folder))
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     """How full the containers of each size are."""
-    return packing.tiered(*_packed(spark, folder))
+    return packing.fill_report(p6_pack(spark, folder))
 
 
 def _leaks(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -101,7 +106,7 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.look_alike_documents(table(spark, folder, "documents"), "doc_id", "text").drop("form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_surprise, p1_counts, p5_found, p5_terms, p6_pack, p6_fill, p7_found, p7_leaks, p7_leaks_shuffled, p8_found, p8_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_surprise, p1_counts, p5_found, p5_terms, p6_pack, p6_tiers, p6_fill, p7_found, p7_leaks, p7_leaks_shuffled, p8_found, p8_classes)}
 
 _P1 = """
 with d as (select distinct decision_id, ruleset_id, list_sort(list_distinct(matched_rule_ids)) ids from decisions
