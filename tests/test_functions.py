@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+from decimal import Context
 from decimal import Decimal as D
 
 import pytest
@@ -37,7 +38,7 @@ CASES = [
     ("to_date", dict(value=" 2024-02-29 "), day(2024, 2, 29)), ("to_date", dict(value="2024-2-9"), "ValueError"), ("to_date", dict(value="2023-02-29"), "ValueError"), ("to_date", dict(value=dt.datetime(2024, 1, 2, 23)), day(2024, 1, 2)), ("to_date", dict(value=5, on_error="null"), None),
     ("to_timestamp_ntz", dict(value="2024-01-02 03:04:05.5"), dt.datetime(2024, 1, 2, 3, 4, 5, 500000)), ("to_timestamp_ntz", dict(value="2024-01-02T03:04:05Z"), "ValueError"), ("to_timestamp_ntz", dict(value=""), "ValueError"), ("to_timestamp", dict(value="2024-01-02"), "ValueError"), ("to_timestamp", dict(value="2024-01-02T03:04:05", on_error="null"), None),
     ("decimal_abs", dict(value="-1.5"), D("1.5")), ("decimal_add", dict(left="0.1", right=0.2), D("0.3")), ("decimal_add", dict(left=1, right=None), None), ("decimal_add", dict(left="", right=1), "ValueError"), ("decimal_add", dict(left=True, right=1), "TypeError"), ("decimal_subtract", dict(left=1, right=D("0.999")), D("0.001")),
-    ("decimal_multiply", dict(left="123456789.123456789", right="98765.4321"), D("123456789.123456789") * D("98765.4321")), ("decimal_multiply", dict(left=D("1e15"), right=D("1e15")), "ValueError"), ("decimal_divide", dict(numerator=1, denominator=3), D("0.333333333333333333")), ("decimal_divide", dict(numerator=2, denominator=3), D("0.666666666666666667")),
+    ("decimal_multiply", dict(left="123456789.123456789", right="98765.4321"), D("123456789.123456789") * D("98765.4321")), ("decimal_multiply", dict(left=D("1e15"), right=D("1e15")), "ValueError"), ("decimal_multiply", dict(left="0.000000000001", right="12.5"), D("0.0000000000125")), ("decimal_multiply", dict(left="-1234567890123456789.5", right="3"), D("-3703703670370370368.5")), ("decimal_multiply", dict(left=12, right=D("1.50")), D("18")), ("decimal_divide", dict(numerator=1, denominator=3), D("0.333333333333333333")), ("decimal_divide", dict(numerator=2, denominator=3), D("0.666666666666666667")),
     ("decimal_divide", dict(numerator=-1, denominator=8, scale=2, rounding_mode="half_even"), D("-0.12")), ("decimal_divide", dict(numerator=1, denominator=8, scale=2, rounding_mode="half_down"), D("0.12")), ("decimal_divide", dict(numerator=-1, denominator=3, scale=1, rounding_mode="floor"), D("-0.4")), ("decimal_divide", dict(numerator=1, denominator=0), "ZeroDivisionError"),
     ("decimal_divide", dict(numerator=1, denominator=3, scale=19), "ValueError"), ("decimal_safe_divide", dict(numerator=1, denominator=0), None), ("decimal_safe_divide", dict(numerator="1e10", denominator="7", scale=4, rounding_mode="up"), D("1428571428.5715")),
     *[("decimal_round", dict(value=v, scale=1, rounding_mode=m), D(w)) for m, ws in {"half_up": ("0.3", "-0.3", "0.4"), "half_even": ("0.2", "-0.2", "0.4"), "half_down": ("0.2", "-0.2", "0.3"), "up": ("0.3", "-0.3", "0.4"), "down": ("0.2", "-0.2", "0.3"), "ceiling": ("0.3", "-0.2", "0.4"), "floor": ("0.2", "-0.3", "0.3")}.items() for v, w in zip(("0.25", "-0.25", "0.35"), ws, strict=True)],
@@ -205,6 +206,23 @@ def test_fallbacks_and_expressions_agree():
         assert got == want, (name, args, got)
 
 
+def test_products_are_exact_or_null(spark):
+    rng = random.Random(9)
+
+    def number():
+        digits, places = rng.randint(1, 38), rng.randint(0, 18)
+        return D(rng.choice([-1, 1]) * rng.randrange(10**digits)).scaleb(-places).quantize(D("1E-18"), context=Context(prec=60)) if digits - places <= 20 else number()
+
+    pairs = [(number(), number()) for _ in range(400)] + [(D("1E-9"), D("1E-9")), (D("1E-10"), D("1E-9")), (D(10) ** 19, D(9)), (D(10) ** 19, D(10)), (D(0), D(10) ** 19), (D("0.5"), D(10) ** 19 * 9)]
+    df = spark.createDataFrame(pairs, "a decimal(38,18), b decimal(38,18)").coalesce(1)
+    value = R.native("decimal_multiply")(Val(F.col("a"), df.schema["a"].dataType), Val(F.col("b"), df.schema["b"].dataType))
+    wide = Context(prec=90)
+    for (a, b), got in zip(pairs, [r[0] for r in df.select(value.col).collect()], strict=True):
+        exact = wide.multiply(a, b)
+        fits = abs(exact) < D(10) ** 20 and exact == exact.quantize(D("1E-18"), context=wide)
+        assert got == (exact if fits else None), (a, b, got)
+
+
 @pytest.mark.parametrize("v", [0.0, -0.0, 1.0, 0.1, 1e16, 123456789.125, 1e-4, 1.5e-5, 1e22, 12345678901234567.0, -2.5e-7, float("inf"), 9999999.0, 10000000.0, 100000000.5])
 def test_text_of_doubles(spark, v):
     assert spark.createDataFrame([(v,)], "v double").select(text(Val(F.col("v"), literal(v).type))).first()[0] == str(v)

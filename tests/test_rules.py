@@ -219,6 +219,51 @@ def test_user_functions_run_once_per_row_and_report_errors(spark):
         evaluate(df, ruleset, registry).results_df.collect()
 
 
+def test_user_functions_are_not_called_behind_a_stop(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        calls.add(1)
+        return value
+
+    registry = standard_registry()
+    registry.register(FunctionSpec("seen", "tests.seen", (ArgSpec("value"),), return_type_hint="same_as:value"), seen)
+    call = {"custom_function": {"name": "seen", "args": {"value": {"field": "v"}}}}
+    early = {"when": {"all": [cond("v", "lt", 90)]}, "assign": {"x": 0}, "stop_on_match": True}
+    df = spark.createDataFrame([(i,) for i in range(100)], "v int").coalesce(1)
+    out = evaluate(df, rules(early, {"when": {"all": [cond(call, "ge", 0)]}, "assign": {"x": 1}}), registry).apply_assignments()
+    assert sum(r.x for r in out.collect()) == 10 and calls.value == 10
+    chain = rules(early, {"when": {"all": [cond({"assigned": "x"}, "is_null"), cond(call, "ge", 95)]}, "assign": {"y": call}})
+    assert sum(r.y is not None for r in evaluate(df, chain, registry).apply_assignments().collect()) == 5
+    assert calls.value == 10 + 20
+
+
+def test_functions_that_cannot_travel_fail_before_any_job(spark):
+    import threading
+
+    lock = threading.Lock()
+    registry = standard_registry()
+    registry.register(FunctionSpec("locked", "tests.locked", (ArgSpec("value"),), return_type_hint="string"), lambda value: str(lock) + value)
+    call = {"custom_function": {"name": "locked", "args": {"value": {"field": "v"}}}}
+    with pytest.raises(RegistryError, match="sent to workers"):
+        evaluate(spark.createDataFrame([("a",)], "v string"), rules({"when": ALWAYS, "assign": {"x": call}}), registry)
+
+
+@pytest.mark.parametrize("stops", [False, True])
+def test_coverage_counts_what_evaluation_decides(spark, stops):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.choice([None, 1, 2, 3, 9]), rng.choice(["a", "b", None])) for _ in range(200)], "i int, s string")
+    error = {"error_on_null": True} if not stops else {}
+    ruleset = rules(*[{"when": {"any": [cond("i", "eq", k, **(error if k == 2 else {})), cond("s", "eq", "b")]} if k != 3 else {"all": [cond("i", "gt", 5)]}, "assign": {"x": k}, "stop_on_match": stops or k == 3} for k in (1, 2, 3, 4)])
+    report = coverage(df, ruleset, broad_match_threshold=0.3)
+    decided = evaluate(df, ruleset, fail_on_error=False).attached_df.collect()
+    fine = [r for r in decided if r.rules_error is None]
+    assert (report.total_rows, report.error_count, report.no_match_count) == (200, 200 - len(fine), sum(not r.rules_matched for r in fine))
+    assert report.match_counts == {f"r{k}": sum(f"r{k}" in r.rules_matched_rule_ids for r in fine) for k in (1, 2, 3, 4)}
+    assert report.first_match_distribution == {f"r{k}": sum(r.rules_matched_rule_ids[:1] == [f"r{k}"] for r in fine) for k in (1, 2, 3, 4)}
+    assert sorted(map(str, report.no_match_rows.collect())) == sorted(str(r)[: str(r).index(", rules_")] + ")" for r in fine if not r.rules_matched)
+
+
 def test_coverage(spark):
     df = spark.createDataFrame([(1, 740), (2, 690), (3, 600)], "loan_id bigint, fico bigint")
     ruleset = rules({"when": {"all": [cond("fico", "ge", 680)]}, "assign": {"x": 1}}, {"when": {"all": [cond("fico", "gt", 700)]}, "assign": {"x": 2}}, {"when": {"all": [cond("fico", "gt", 900)]}, "assign": {"x": 3}})

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.functions.expr import WHITESPACE, WIDE, Val, error, first_error, is_binary, is_integral, is_number, is_numeric_text, is_temporal, is_text, is_time, literal, not_finite, number, plain_decimal, shown, text, trace_text
+from verdigris.functions.expr import INTEGRAL, WHITESPACE, WIDE, Val, error, first_error, is_binary, is_integral, is_number, is_numeric_text, is_temporal, is_text, is_time, literal, not_finite, number, plain_decimal, shown, text, trace_text
 from verdigris.functions.patterns import JavaPattern, Untranslatable
 from verdigris.functions.registry import ArgSpec, FunctionRegistry, FunctionSpec
 
@@ -431,6 +431,8 @@ def _fitted(out: Column, known: Column, args: tuple[Val, ...], *errors: Column |
 
 def _lossless(x: Column, precision: int, scale: int) -> Column:
     narrow = x.try_cast(T.DecimalType(precision, scale))
+    if scale == WIDE.scale:  # no digit after the point can be lost, and what overflows is null
+        return narrow
     return F.when(narrow.try_cast(WIDE) == x.try_cast(WIDE), narrow)  # compared in one type: a common one may round
 
 
@@ -451,9 +453,40 @@ def _sum(sign: int):
 
 
 def _product(a: Column, b: Column) -> Column:
-    """Exact: the factors are narrowed to pairs of types whose product has at most 38 digits, 18 after the point."""
-    shapes = [((19, 9), (18, 9)), ((25, 6), (12, 6)), ((12, 6), (25, 6)), ((28, 9), (9, 9)), ((9, 9), (28, 9)), ((19, 18), (18, 0)), ((18, 0), (19, 18)), ((19, 0), (18, 0)), ((30, 12), (7, 6)), ((7, 6), (30, 12)), ((36, 18), (1, 0)), ((1, 0), (36, 18))]
-    return F.coalesce(*[(_lossless(a, *p) * _lossless(b, *q)).try_cast(WIDE) for p, q in shapes])
+    """Exact: nearly all factors fit types whose product can't lose digits; the others are multiplied in parts.
+
+    The parts are worked out inside a lambda, which is interpreted, so that the common way stays short enough to be compiled.
+    """
+    plain = (_lossless(a, 19, 9) * _lossless(b, 18, 9)).try_cast(WIDE)
+    parts = F.transform(F.array(F.struct(a.try_cast(WIDE).alias("a"), b.try_cast(WIDE).alias("b"))), lambda f: _product_in_parts(f.getField("a"), f.getField("b")))
+    return F.coalesce(plain, F.get(parts, F.lit(0)))
+
+
+def _product_in_parts(a: Column, b: Column) -> Column:
+    """The exact product of two decimal(38,18), or null where it doesn't fit one.
+
+    Each factor is a whole number and a fraction in units of the 18th place; all products of these are whole numbers.
+    """
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        size = F.abs(x)
+        return F.floor(size).try_cast(T.DecimalType(20, 0)), ((size % F.lit(1)).cast(T.DecimalType(18, 18)) * _power(18)).cast(T.DecimalType(18, 0))
+
+    (whole_a, part_a), (whole_b, part_b) = halves(a), halves(b)
+    high = F.try_multiply(F.try_multiply(whole_a, whole_b).try_cast(T.DecimalType(20, 0)), _power(18))
+    middle = F.try_add(F.try_multiply(whole_a, part_b), F.try_multiply(part_a, whole_b))
+    low = part_a * part_b
+    carried = ((low - low % _power(18)) / _power(18)).try_cast(T.DecimalType(18, 0))
+    total = F.when(low % _power(18) == 0, F.try_add(F.try_add(high, middle), carried)).try_cast(T.DecimalType(38, 0))
+    sign = F.when((a < 0) != (b < 0), "-").otherwise("")
+    return F.concat(sign, plain_decimal(total), F.lit("E-18")).try_cast(WIDE)
+
+
+def _declared(v: Val) -> T.DecimalType | None:
+    """The decimal type a number is declared with."""
+    if isinstance(v.type, T.DecimalType):
+        return v.type
+    return T.DecimalType(len(str(2 ** INTEGRAL[type(v.type)])), 0) if is_integral(v.type) else None
 
 
 @standard("decimal", "A decimal without its sign.", VALUE)
@@ -474,6 +507,9 @@ def f_decimal_subtract(left, right):
 
 @standard("decimal", "The product of two decimals.", A("left"), A("right"))
 def f_decimal_multiply(left, right):
+    p, q = _declared(left), _declared(right)
+    if p is not None and q is not None and p.precision + q.precision < 38 and p.scale + q.scale <= WIDE.scale:
+        return _two(left, right, ("left", "right"), lambda a, b: (a.cast(p) * b.cast(q)).try_cast(WIDE))
     return _two(left, right, ("left", "right"), _product)
 
 

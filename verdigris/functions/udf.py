@@ -9,10 +9,12 @@ from collections.abc import Callable, Mapping
 from decimal import Decimal
 from typing import Any
 
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdigris.errors import RegistryError
 from verdigris.functions.expr import INTEGRAL, Val
 
 
@@ -70,16 +72,25 @@ def _plan(v: Val, inputs: list[Column]) -> Callable[[tuple], Any]:
     return lambda row: row[at]
 
 
-def guarded_udf(function: Callable, t: T.DataType, args: Mapping[str, Val], keep_traceback: bool = False):
-    """(UDF, its input columns). It isn't called where an argument has already failed.
+def _check_travels(function: Callable) -> None:
+    """Raises where a function can't be sent to the workers, before any job starts."""
+    try:
+        CloudPickleSerializer().dumps(function)
+    except Exception as exc:  # noqa: BLE001 - pickling may fail with anything
+        raise RegistryError(f"The function {getattr(function, '__name__', function)!r} can't be sent to workers: {type(exc).__name__}: {exc}") from exc
+
+
+def guarded_udf(function: Callable, t: T.DataType, args: Mapping[str, Val], keep_traceback: bool = False, unreached: Column | None = None):
+    """(UDF, its input columns). It isn't called where an argument has already failed or the rule is known not to be reached.
 
     The result is marked as nondeterministic only so that Spark never duplicates a call; functions should be
     deterministic.
     """
+    _check_travels(function)
     inputs: list[Column] = []
     plans = {name: _plan(v, inputs) for name, v in args.items()}
     failed = [v.err.isNotNull() for v in args.values() if v.err is not None]
-    guard = F.lit(False)
+    guard = F.lit(False) if unreached is None else unreached
     for f in failed:
         guard = guard | f
     inputs.append(guard)

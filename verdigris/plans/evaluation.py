@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import operator as py
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -93,6 +94,23 @@ def _keys(df: DataFrame, wanted: Sequence[str] | None, targets: set[str]) -> tup
     return tuple(wanted)
 
 
+def lowered(df: DataFrame, ruleset: Ruleset, registry: FunctionRegistry | None, column_prefix: str, keyed: bool = False, full_audit: bool = False, include_error_traceback: bool = False) -> Lowering:
+    """The checked ruleset over the schema of ``df``, ready to be attached; raises for findings and clashing names."""
+    registry = registry or standard_registry()
+    doubled = [n for n, k in Counter(c.casefold() for c in df.columns).items() if k > 1]
+    if doubled and keyed:
+        raise ValueError(f"input columns are ambiguous: {doubled}")
+    reserved = {f"{column_prefix}_{n}".casefold() for n in (*result_field_names(True), *IDENTITY_FIELDS)}
+    result, typed = check_against_schema(ruleset, df.schema, registry)
+    if clash := [c for c in [*df.columns, *(typed.targets if typed else ())] if c.casefold() in reserved]:
+        raise ValueError(f"columns are reserved for results: {clash}")
+    if not result.passed or typed is None:
+        raise ValidationFailed(result)
+    if doubled:
+        raise ValueError(f"input columns are ambiguous: {doubled}")
+    return Lowering(typed, registry, full_audit, include_error_traceback)
+
+
 def evaluate(
     df: DataFrame,
     ruleset: Ruleset,
@@ -116,20 +134,9 @@ def evaluate(
             raise TypeError(f"{name} must be a bool, not {type(flag).__name__}.")
     if not isinstance(column_prefix, str) or not column_prefix.strip():
         raise ValueError("column_prefix must be a non-empty string.")
-    registry = registry or standard_registry()
-    doubled = [n for n, k in Counter(c.casefold() for c in df.columns).items() if k > 1]
-    if doubled and key_columns is not None:
-        raise ValueError(f"input columns are ambiguous: {doubled}")
-    reserved = {f"{column_prefix}_{n}".casefold() for n in (*result_field_names(True), *IDENTITY_FIELDS)}
-    result, typed = check_against_schema(ruleset, df.schema, registry)
-    if clash := [c for c in [*df.columns, *(typed.targets if typed else ())] if c.casefold() in reserved]:
-        raise ValueError(f"columns are reserved for results: {clash}")
-    if not result.passed or typed is None:
-        raise ValidationFailed(result)
-    if doubled:
-        raise ValueError(f"input columns are ambiguous: {doubled}")
+    low = lowered(df, ruleset, registry, column_prefix, key_columns is not None, full_audit, include_error_traceback)
+    typed = low.typed
     keys = _keys(df, key_columns, set(typed.targets))
-    low = Lowering(typed, registry, full_audit, include_error_traceback)
     plan = _decide(df, low, column_prefix, fail_on_error, full_audit)
     identity = F.struct(F.lit(ruleset.ruleset_id).alias("id"), F.lit(ruleset.version).alias("version"), F.lit(content_hash(ruleset)).alias("content_hash"))
     plan = plan.withColumns({f"{column_prefix}_ruleset": identity, f"{column_prefix}_engine_version": F.lit(__version__)})
@@ -138,33 +145,57 @@ def evaluate(
     return Evaluation(plan, df.columns, keys, column_prefix, typed.targets, full_audit)
 
 
-def _decide(df: DataFrame, low: Lowering, prefix: str, fail_on_error: bool, full_audit: bool) -> DataFrame:
+@dataclass
+class Effects:
+    """Which rules took effect, as columns of ``df``: one flag per rule (``effective``), the first of them, and the error."""
+
+    df: DataFrame
+    effective: Mapping[int, Column] | _Equal
+    failed: Column | None
+    first: Column | None  # where the number of the first match says it all
+
+    def number_of_first(self, rules: int) -> Column:
+        if self.first is not None:
+            return self.first
+        found = [F.when(self.effective[k], F.lit(k)) for k in range(rules)]
+        return F.coalesce(*found, F.lit(None).cast("int"))
+
+
+def effects(df: DataFrame, low: Lowering) -> Effects:
+    """The flags of all rules, in one plan over ``df``."""
     df = low.attach(df)
-    targets = low.typed.targets
     failed: Column | None = None
+    if low.first is not None:
+        return Effects(df, _Equal(low.first), None, low.first)
+    stop = low.stopped_at()
+    if stop is not None:
+        df = df.select("*", stop.alias(f"{TEMPORARY}stop"))
+        at = F.col(f"{TEMPORARY}stop")
+        for k, rule in sorted(low.lowered.items()):
+            if rule.error is not None:
+                failed = F.when(at == k, rule.error) if failed is None else failed.when(at == k, rule.error)
+        effective = {k: r.match & F.coalesce(at >= k, F.lit(True)) for k, r in sorted(low.lowered.items())}
+    else:
+        effective = {k: r.match for k, r in sorted(low.lowered.items())}
+    if failed is not None:
+        df = df.select("*", failed.alias(f"{TEMPORARY}error"))
+        failed = F.col(f"{TEMPORARY}error")
+    return Effects(df, effective, failed, None)
+
+
+def _decide(df: DataFrame, low: Lowering, prefix: str, fail_on_error: bool, full_audit: bool) -> DataFrame:
+    found = effects(df, low)
+    df, effective, failed = found.df, found.effective, found.failed
+    targets = low.typed.targets
     if low.first is not None:
         texts = [sql_literal(r.rule_id) for r in low.rules]
         ids = F.expr(f"array({', '.join(texts)})") if None not in texts else F.array(*[F.lit(r.rule_id) for r in low.rules])
         matched = low.first.isNotNull()
         rule_ids = F.when(matched, F.array(F.coalesce(F.get(ids, low.first), F.lit("")))).otherwise(F.array().cast(_IDS))
-        effective = _Equal(low.first)
     else:
-        stop = low.stopped_at()
-        if stop is not None:
-            df = df.select("*", stop.alias(f"{TEMPORARY}stop"))
-            at = F.col(f"{TEMPORARY}stop")
-            errors = [(k, r.error) for k, r in sorted(low.lowered.items()) if r.error is not None]
-            for k, e in errors:
-                failed = F.when(at == k, e) if failed is None else failed.when(at == k, e)
-            effective = {k: r.match & F.coalesce(at >= k, F.lit(True)) for k, r in sorted(low.lowered.items())}
-        else:
-            effective = {k: r.match for k, r in sorted(low.lowered.items())}
         matched = reduce(py.or_, effective.values()) if effective else F.lit(False)
-        found = [F.when(test, low.rules[k].rule_id) for k, test in effective.items()]
-        rule_ids = F.array_compact(F.array(*found)) if found else F.array().cast(_IDS)
-    if failed is not None:
-        df = df.select("*", failed.alias(f"{TEMPORARY}error"))
-        failed = F.col(f"{TEMPORARY}error")
+        hits = [F.when(test, low.rules[k].rule_id) for k, test in effective.items()]
+        rule_ids = F.array_compact(F.array(*hits)) if hits else F.array().cast(_IDS)
     fine = F.lit(True)
     if failed is not None:
         fine = failed.isNull()

@@ -142,7 +142,7 @@ class Lowering:
         self._calls: dict[tuple[int, int], Val] = {}
         self._python_depth: dict[int, int] = {}
         self._count = 0
-        self.layers: list[list[Column]] = []
+        self._stops: list[Column] = []
 
     # ---- operands
 
@@ -271,7 +271,7 @@ class Lowering:
     def _python_call(self, op: Call, bound: dict, args: dict[str, Val], at: int) -> Val:
         """One Arrow UDF column per call and row, in a layer below the columns that use it."""
         t = self.typed.call_type(op, self.typed.assigned) or T.StringType()
-        udf, inputs = guarded_udf(self.registry.get_implementation(op.function), t, args, self.keep_traceback)
+        udf, inputs = guarded_udf(self.registry.get_implementation(op.function), t, args, self.keep_traceback, self._unreached(at))
         depth = max((self._depth(v) for v in bound.values()), default=0)
         self._python_depth[id(op)] = depth + 1
         arguments_failed = first_error(*[a.err for a in args.values()])
@@ -351,27 +351,60 @@ class Lowering:
         strata = self.strata()
         if len(strata) == 1 and self._one_pass(df):
             return self._attached
-        for members in strata:
-            self.udfs = []
-            made = []
-            apart = (self.full_audit or self._conditions(members) >= WIDE_LAYER) and bool(df.columns)
-            for k in members:
-                low = self.rule(k, unfused(df.columns[0]) if apart and k == members[0] else None)
-                self.lowered[k] = low
-                made.append(as_column(low.match).alias(f"{TEMPORARY}m{k}"))
-                if low.error is not None:
-                    made.append(low.error.alias(f"{TEMPORARY}e{k}"))
-                    low.error = F.col(f"{TEMPORARY}e{k}")
-                for i, a in enumerate(low.rule.assignments):
-                    if a.target in later or self.full_audit:
-                        made.append(as_column(low.values[i]).alias(f"{TEMPORARY}v{k}_{i}"))
-                        low.values[i] = F.col(f"{TEMPORARY}v{k}_{i}")
-                low.match = F.col(f"{TEMPORARY}m{k}")
-            for layer in self.udfs:
-                df = df.select("*", *layer)
-            df = df.select("*", *made)
+        for number, members in enumerate(strata):
+            calling = [k for k in members if self._calls_python(self.rules[k])]
+            plain = [k for k in members if k not in calling]
+            df = self._attach_rules(df, plain, later)
+            if plain and (calling or number + 1 < len(strata)):
+                # which rule has stopped a row so far is known before any Python function of a later rule runs
+                if (stop := self._first_stop(plain)) is not None:
+                    df = df.select("*", stop.alias(f"{TEMPORARY}s{number}"))
+                    self._stops.append(F.col(f"{TEMPORARY}s{number}"))
+            df = self._attach_rules(df, calling, later)
         return df
 
+    def _attach_rules(self, df: DataFrame, members: list[int], later: set[str]) -> DataFrame:
+        if not members:
+            return df
+        self.udfs = []
+        made = []
+        apart = (self.full_audit or self._conditions(members) >= WIDE_LAYER) and bool(df.columns)
+        for k in members:
+            low = self.rule(k, unfused(df.columns[0]) if apart and k == members[0] else None)
+            self.lowered[k] = low
+            made.append(as_column(low.match).alias(f"{TEMPORARY}m{k}"))
+            if low.error is not None:
+                made.append(low.error.alias(f"{TEMPORARY}e{k}"))
+                low.error = F.col(f"{TEMPORARY}e{k}")
+            for i, a in enumerate(low.rule.assignments):
+                if a.target in later or self.full_audit:
+                    made.append(as_column(low.values[i]).alias(f"{TEMPORARY}v{k}_{i}"))
+                    low.values[i] = F.col(f"{TEMPORARY}v{k}_{i}")
+            low.match = F.col(f"{TEMPORARY}m{k}")
+        for layer in self.udfs:
+            df = df.select("*", *layer)
+        return df.select("*", *made)
+
+    def _calls_python(self, rule: Rule) -> bool:
+        operands = rule_operands(rule, active_only=not self.full_audit)
+        return any(isinstance(o, Call) and self.registry.native(o.function) is None for root in operands for o in all_operands(root))
+
+    def _first_stop(self, members: list[int]) -> Column | None:
+        """The first of these rules that stopped the row or failed."""
+        ends = []
+        for k in sorted(members):
+            low = self.lowered[k]
+            test = [t for t in (low.error.isNotNull() if low.error is not None else None, low.match if low.rule.stop_on_match else None) if t is not None]
+            if test:
+                ends.append(F.when(reduce(py.or_, test), F.lit(k)))
+        return F.coalesce(*ends) if ends else None
+
+    def _unreached(self, at: int) -> Column | None:
+        """Whether a rule before ``at`` is known to have stopped the row."""
+        if not self._stops:
+            return None
+        return F.coalesce((F.least(*self._stops) if len(self._stops) > 1 else self._stops[0]) < at, F.lit(False))
+
     def _one_pass(self, df: DataFrame) -> bool:
         """First-match rulesets whose rules can't fail need no flags: the first match's number says it all."""
         stops = all(r.stop_on_match for r in self.rules[:-1])
@@ -381,6 +414,8 @@ class Lowering:
         lowered = [self.rule(k) for k in range(len(self.rules))]
         self.lowered = dict(enumerate(lowered))
         if self.udfs or any(low.error is not None for low in lowered):
+            # the rules are lowered again, layer by layer: nothing of this attempt may be referred to
+            self.lowered, self._calls, self._python_depth = {}, {}, {}
             return False
         # chunks keep each generated method small
         chunks = []
@@ -404,12 +439,7 @@ class Lowering:
 
     def stopped_at(self) -> Column | None:
         """The first rule that stopped the row or failed."""
-        ends = []
-        for k, low in sorted(self.lowered.items()):
-            test = [t for t in (low.error.isNotNull() if low.error is not None else None, low.match if low.rule.stop_on_match else None) if t is not None]
-            if test:
-                ends.append(F.when(reduce(py.or_, test), F.lit(k)))
-        return F.coalesce(*ends) if ends else None
+        return self._first_stop(list(self.lowered))
 
     def outcome_type(self) -> T.StructType:
         return T.StructType([T.StructField(t, T.StructType([T.StructField("applied", T.BooleanType(), False), T.StructField("value", kind, True)]), False) for t, kind in self.typed.targets.items()])

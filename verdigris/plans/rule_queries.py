@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.standard import standard_registry
 from verdigris.model import Ruleset
-from verdigris.plans.coverage import coverage_counts, decisions
+from verdigris.plans.coverage import coverage_counts, no_match_rows
 from verdigris.plans.evaluation import evaluate
 from verdigris.sources.ruleset_yaml import compile_payload
 
@@ -348,8 +348,7 @@ def coverage_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("coverage_no_match", "select o_orderkey from orders where not (o_totalprice > 150000 or o_orderstatus = 'F')")
 def coverage_no_match(spark: SparkSession, folder: str) -> DataFrame:
-    plan = decisions(read(spark, folder, "orders"), COVERED, None, "c")
-    return plan.filter("not c_matched and c_error is null").select("o_orderkey")
+    return no_match_rows(read(spark, folder, "orders"), COVERED).select("o_orderkey")
 
 
 AUDITED = ruleset(
