@@ -17,7 +17,7 @@ from verdigris.functions.registry import ArgSpec, FunctionRegistry, FunctionSpec
 from verdigris.functions.standard import standard_registry
 from verdigris.plans.audit import ASSIGNMENT_EVENT, RULE_TRACE
 from verdigris.plans.checks import check_ruleset
-from verdigris.plans.describe import authoring_manifest, describe_rules
+from verdigris.plans.describe import authoring_manifest, describe_rule, describe_rules, matched_explanation
 from verdigris.plans.evaluation import result_field_names
 from verdigris.model import Literal, required_columns
 from verdigris.plans.typing import check_against_schema, given_by, takes
@@ -420,6 +420,13 @@ def test_words_and_manifest():
     assert len(manifest["operators"]) == 18 and len(manifest["functions"]) == 58
 
 
+def test_explanations_of_passed_branches():
+    rule = rules({"when": {"all": [cond("a", "eq", 1, condition_id="c1"), {"any": [cond("b", "eq", 2, condition_id="c2"), cond("c", "is_null", condition_id="c3"), {"all": []}]}]}, "assign": {"x": 1}, "active_flag": False}).rules[0]
+    assert matched_explanation(rule, {"c1", "c2", "c3"}) == "a == 1 AND (b == 2 OR c is null)"
+    assert matched_explanation(rule, ["c1"]) == "a == 1" and matched_explanation(rule, {"c2"}) is None
+    assert describe_rule(rule)["rule_logic"].startswith("[inactive rule] a == 1")
+
+
 def names(ruleset, schema=None):
     registry = standard_registry()
     return set((check_ruleset(ruleset, registry) if schema is None else check_against_schema(ruleset, T._parse_datatype_string(schema), registry)[0]).names())

@@ -71,6 +71,33 @@ def test_lifecycle(spark, service):
     assert spark.table("rules_test.ruleset_versions").count() == 2
 
 
+@pytest.mark.parametrize("crash", ["new written", "old aside", "new named", None])
+def test_a_crash_inside_a_replacement_loses_nothing(spark, service, crash, monkeypatch):
+    service.publish_yaml_text(TEXT.format(version="1"))
+    store, steps = service.store, {"new written": 1, "old aside": 2, "new named": 3, None: 99}
+    real, done = type(spark).sql, []
+
+    def sql(self, text, *args, **kwargs):
+        if text.startswith(("DROP TABLE", "ALTER TABLE")):
+            done.append(text)
+            if len(done) > steps[crash]:
+                raise RuntimeError("crash")
+        return real(self, text, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark), "sql", sql)
+    if crash is None:
+        store.retire("s1", "1")
+    else:
+        with pytest.raises(RuntimeError):
+            store.retire("s1", "1")
+    monkeypatch.undo()
+    assert store.recover() == (["rules_test.ruleset_versions"] if crash == "old aside" else [])
+    rows = spark.table("rules_test.ruleset_versions").collect()
+    assert [(r.ruleset_id, r.status) for r in rows] == [("s1", "retired" if crash in ("new named", None) else "published")]
+    assert store.recover() == [] and not spark.catalog.tableExists("rules_test.ruleset_versions_before")
+    assert service.table_names == {"versions": "rules_test.ruleset_versions", "functions": "rules_test.function_registry"}
+
+
 def test_function_table(spark, service):
     service.save_standard_functions()
     assert service.store.functions().count() == 58

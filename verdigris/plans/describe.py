@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from decimal import Decimal
 from typing import Any
 
@@ -66,18 +66,33 @@ def group_text(group: Group, nested: bool = False) -> str:
     return f"({joined})" if nested and len(parts) > 1 else joined
 
 
+def matched_explanation(rule: Rule, passed_condition_ids: Collection[str]) -> str | None:
+    """The branches of a rule's logic that passed, given the ids of the conditions that did; None if the rule doesn't match."""
+
+    def passed(group: Group, nested: bool) -> tuple[bool, str | None]:
+        found = [(c.condition_id in passed_condition_ids, condition_text(c)) for c in group.conditions] + [passed(g, True) for g in group.groups]
+        texts = [text for ok, text in found if ok and text]
+        joined = (" AND " if group.logic == "all" else " OR ").join(texts) or None
+        holds = all(ok for ok, _ in found) if group.logic == "all" else any(ok for ok, _ in found)
+        return holds, f"({joined})" if nested and len(texts) > 1 else joined
+
+    holds, text = passed(rule.when, False)
+    return text if holds else None
+
+
 def assignment_text(a: Assignment) -> str:
     return f"{a.target} = {operand_text(a.value)}"
 
 
-def describe_rules(ruleset: Ruleset) -> list[dict[str, str]]:
-    """One row per rule in evaluation order: its logic and what it assigns."""
+def describe_rule(rule: Rule) -> dict[str, str]:
+    """A rule's logic and what it assigns, in words."""
+    logic = group_text(rule.when)
+    return {"rule_id": rule.rule_id, "rule_name": rule.rule_name, "rule_logic": logic if rule.active else f"[inactive rule] {logic}", "match_payload": ", ".join(map(assignment_text, rule.assignments))}
 
-    def row(rule: Rule) -> dict[str, str]:
-        logic = group_text(rule.when)
-        return {"rule_id": rule.rule_id, "rule_name": rule.rule_name, "rule_logic": logic if rule.active else f"[inactive] {logic}", "match_payload": ", ".join(map(assignment_text, rule.assignments))}
 
-    return [row(r) for r in sorted(ruleset.rules, key=lambda r: r.order)]
+def describe_rules(ruleset: Ruleset) -> list[dict[str, str]]:
+    """One row per rule in evaluation order."""
+    return [describe_rule(r) for r in sorted(ruleset.rules, key=lambda r: r.order)]
 
 
 def authoring_manifest(registry: FunctionRegistry) -> dict[str, Any]:
@@ -93,4 +108,4 @@ def authoring_manifest(registry: FunctionRegistry) -> dict[str, Any]:
     }
 
 
-__all__ = ["Call", "assignment_text", "authoring_manifest", "condition_text", "describe_rules", "group_text"]
+__all__ = ["Call", "assignment_text", "authoring_manifest", "condition_text", "describe_rule", "describe_rules", "group_text", "matched_explanation"]

@@ -31,6 +31,11 @@ class RulesService:
     def from_schema(cls, spark: SparkSession, schema: str, versions_table: str = "ruleset_versions", functions_table: str = "function_registry", registry: FunctionRegistry | None = None) -> RulesService:
         return cls(RulesetStore(spark, f"{schema}.{versions_table}", f"{schema}.{functions_table}"), registry)
 
+    @property
+    def table_names(self) -> dict[str, str]:
+        """The tables of versions and of functions."""
+        return {"versions": self._stored().versions_table, "functions": self._stored().functions_table}
+
     def create_tables(self, mode: str = "error") -> None:
         self._stored().create_tables(mode)
 

@@ -59,13 +59,6 @@ def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(low, rows)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of long texts small, so that a Python worker holds few of them at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
-
-
 def release() -> None:
     """Remove all written tables now, for sessions that live long; DataFrames that read them can't run any more."""
     _remove(_WRITTEN)

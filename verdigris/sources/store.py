@@ -1,7 +1,8 @@
 """Published ruleset versions and function contracts in catalog tables.
 
 Delta tables are used where Delta is installed; otherwise parquet tables, whose updates rewrite the table beside it
-and swap names. Neither way is atomic across two writers: publish from one place at a time.
+and swap names; :meth:`RulesetStore.recover` puts right what a crash in between leaves. Neither way is atomic across two
+writers: publish from one place at a time.
 """
 
 from __future__ import annotations
@@ -86,12 +87,31 @@ class RulesetStore:
         self.spark.createDataFrame(data, schema).coalesce(1).write.format(self.format).mode("append").saveAsTable(quoted(name))
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        """Put ``df``, which reads the table, in its place."""
-        head, _, _ = name.rpartition(".")
-        side = ".".join(filter(None, [head, f"swap_{uuid.uuid4().hex}"]))
+        """Put ``df``, which reads the table, in its place.
+
+        At every moment a whole table stands under ``name``, under ``name_before`` or both, so that a crash loses nothing:
+        the new table is complete before the old one gives up its name, which goes only once the new one has it.
+        """
+        head, _, own = name.rpartition(".")
+        side, before = (".".join(filter(None, [head, part])) for part in (f"swap_{uuid.uuid4().hex}", f"{own}_before"))
         df.write.format(self.format).saveAsTable(quoted(side))
-        self.spark.sql(f"DROP TABLE {quoted(name)}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {quoted(before)}")
+        self.spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(before)}")
         self.spark.sql(f"ALTER TABLE {quoted(side)} RENAME TO {quoted(name)}")
+        self.spark.sql(f"DROP TABLE {quoted(before)}")
+
+    def recover(self) -> list[str]:
+        """Give tables back their names after a crash inside a replacement; the names of those that needed it."""
+        found = []
+        for name, _ in self._tables:
+            before = f"{name}_before"
+            if self.spark.catalog.tableExists(before):
+                if not self.spark.catalog.tableExists(name):
+                    self.spark.sql(f"ALTER TABLE {quoted(before)} RENAME TO {quoted(name)}")
+                    found.append(name)
+                else:
+                    self.spark.sql(f"DROP TABLE {quoted(before)}")
+        return found
 
     def _find(self, **where: str) -> list:
         found = self._table(self.versions_table)
