@@ -7,21 +7,26 @@ the SQL twin states the expected rows.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.errors import RulesError
-from verdigris.functions.standard import standard_registry
+from verdigris.functions.standard import standard_registry, standard_rows
+from verdigris.model import Ruleset
 from verdigris.plans.checks import check_ruleset
 from verdigris.plans.describe import authoring_manifest, describe_rules
 from verdigris.plans.evaluation import evaluate, result_field_names
 from verdigris.plans.rule_queries import ALWAYS, AUDITED, COVERED, KEYS, MANY, cond, f, flat, lit, read, ruleset
 from verdigris.plans.typing import check_against_schema
+from verdigris.session import materialise, shared_folder
 from verdigris.sources.ruleset_export import content_hash, export_yaml, payload_json, read_payload, summary_counts
 from verdigris.sources.ruleset_yaml import compile_payload, compile_yaml
+from verdigris.sources.store import RulesetStore
 from verdigris.streaming.decisions import windowed_coverage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +250,66 @@ def coverage_by_window(spark: SparkSession, folder: str) -> DataFrame:
     rules = ruleset({"when": {"any": [cond("value", "gt", 50), cond("event_type", "eq", "error")]}, "assign": {"x": 1}})
     decided = evaluate(read(spark, folder, "events"), rules, fail_on_error=False).attached_df
     return windowed_coverage(decided, "ts", "1 day", "1 hour")
+
+
+# ---- the store of published versions, in a database of its own that is dropped again
+
+
+def _stored(spark: SparkSession, rows_of: Callable[[RulesetStore], DataFrame]) -> DataFrame:
+    database = f"verdigris_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{shared_folder(spark)}/{database}'")
+    try:
+        store = RulesetStore(spark, f"{database}.versions", f"{database}.functions", "parquet")
+        store.create_tables()
+        return materialise(rows_of(store), "stored-rows")
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def _version(number: str, rules: Ruleset) -> Ruleset:
+    return replace(rules, version=number)
+
+
+@query(
+    "store_versions",
+    """select * from (values ('1', 'retired', 2, 3, 'me', 'you', true, 64), ('2', 'published', 2, 3, 'me', null, true, 64)) as t(version, status, rule_count, condition_count, published_by, retired_by, loads, hash_length)""",
+)
+def store_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two versions are published, the first is retired, the second is what loads."""
+
+    def rows(store: RulesetStore) -> DataFrame:
+        for number in ("1", "2"):
+            store.publish(_version(number, AUDITED), "me")
+        store.retire("driver", "1", "you")
+        same = store.load("Driver") == _version("2", AUDITED)
+        versions = spark.table(store.versions_table)
+        return versions.select("version", "status", "rule_count", "condition_count", "published_by", "retired_by", F.lit(same).alias("loads"), F.length("content_hash").alias("hash_length"))
+
+    return _stored(spark, rows)
+
+
+@query("store_refusals", "select * from (values ('create again', 'StoreError'), ('load nothing', 'StoreError'), ('publish again', 'StoreError'), ('retire again', 'StoreError'), ('retire nothing', 'StoreError'), ('unsafe name', 'ValueError')) as t(action, raised)")
+def store_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    def rows(store: RulesetStore) -> DataFrame:
+        store.publish(AUDITED)
+        store.retire("driver", "1")
+        tries = {
+            "create again": store.create_tables, "load nothing": lambda: store.load("Driver"), "publish again": lambda: store.publish(AUDITED), "retire again": lambda: store.retire("driver", "1"),
+            "retire nothing": lambda: store.retire("driver", "7"), "unsafe name": lambda: RulesetStore(spark, "a; drop table b"),
+        }
+        return spark.createDataFrame([(name, _raises(action)) for name, action in tries.items()], "action string, raised string")
+
+    return _stored(spark, rows)
+
+
+@query("store_functions", "select * from (values ('changed', 1), ('kept', 57), ('new', 1)) as t(state, functions)")
+def store_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """The standard functions are stored, then one is changed and one is added."""
+
+    def rows(store: RulesetStore) -> DataFrame:
+        store.save_functions(standard_rows())
+        store.save_functions([{**standard_rows()[0], "description": "changed"}, {**standard_rows()[0], "function_name": "another", "description": "new"}])
+        state = F.when(F.col("description").isin("changed", "new"), F.col("description")).otherwise("kept")
+        return store.functions().groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("functions"))
+
+    return _stored(spark, rows)
