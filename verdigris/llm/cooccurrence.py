@@ -255,7 +255,7 @@ def surprising_pairs(df: DataFrame, record: str, group: str | None, items: str,
     pairs that are given; all pairs are tested and ranked. An empty table gives no rows.
     """
     kept = materialise(marked_counts(df, record, group, items), "pair-counts")
-    own = materialise(kept.filter("item_a = item_b").select("group_key", F.col("item_a").alias("item"), F.col("n_ab").alias("n_item")), "item-counts")
+    own = kept.filter("item_a = item_b").select("group_key", F.col("item_a").alias("item"), F.col("n_ab").alias("n_item"))
     sizes = kept.filter("item_a is null").select("group_key", F.lit(True).alias("is_size"), F.col("item_b").cast("bigint").alias("level"), F.col("n_ab").alias("n"))
     degrees = own.groupBy("group_key", F.lit(False).alias("is_size"), F.col("n_item").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     fitted = materialise(over_groups(sizes.unionByName(degrees), ["group_key"], [], _fit_group, _NULL_ROW), "fitted-null")
