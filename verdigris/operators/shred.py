@@ -40,6 +40,9 @@ NODE_FIELDS = T.StructType(
 #: The node of every document's root, which has no row of its own.
 ROOT = 0
 
+#: Nodes that leave a worker in one batch.
+ROWS_AT_ONCE = 20_000
+
 _BLANKS = re.compile(r"[ \t\n\r]*")
 #: Reads one string, number or constant at a place.
 _SCANNER = json.JSONDecoder().scan_once
@@ -160,6 +163,10 @@ def ruleset_grammar(state: str, label: str, value, container) -> tuple[str, str
     return "data", None
 
 
+#: States in which a member that is a scalar can be an entity.
+ruleset_grammar.scalar_entities = frozenset({"assigns"})
+
+
 def _member(value: dict) -> tuple[str, str]:
     return ("group", "group") if "all" in value or "any" in value else ("condition", "condition")
 
@@ -174,32 +181,36 @@ def _scalar(value) -> tuple[str, str | None]:
     return "number", json.dumps(value)
 
 
-def walk(document, grammar: Callable, kinds: frozenset | None = None, labels: frozenset = frozenset()) -> Iterator[tuple]:
-    """The nodes of one document, a node's members together and in order, without recursion.
+def walk(document, grammar: Callable, add: Callable[[tuple], None], kinds: frozenset | None = None, labels: frozenset = frozenset()) -> None:
+    """Hands the nodes of one document to ``add``, a node's members together and in order, without recursion.
 
     With ``kinds``, only entities of these kinds and their scalar children named in ``labels`` are given.
     """
-    every = kinds is None
+    every, scalar_entities = kinds is None, grammar.scalar_entities
     stack = [(document, ROOT, "", "root", None, "")]
     while stack:
         value, node, path, state, entity, inner = stack.pop()
         attributes = not every and entity in kinds
+        scalars_are_plain = state not in scalar_entities
         below = []
         for ordinal, (label, child) in enumerate(value.items() if isinstance(value, dict) else enumerate(value)):
-            label = str(label)
-            child_state, kind_of = grammar(state, label, child, value)
-            own = xxh64_intdigest(label.encode("utf-8", "surrogatepass"), node)
+            if not isinstance(label, str):
+                label = str(label)
             nested = isinstance(child, dict | list)
+            if not nested and scalars_are_plain:  # most nodes
+                if every or (attributes and child is not None and label in labels):
+                    kind, scalar = ("string", child) if type(child) is str else _scalar(child)
+                    add((xxh64_intdigest(label.encode("utf-8", "surrogatepass"), node), node, label, ordinal, kind, scalar, None, None, None))
+                continue
+            child_state, kind_of = ("data", None) if state == "data" else grammar(state, label, child, value)
+            own = xxh64_intdigest(label.encode("utf-8", "surrogatepass"), node)
             open_below = nested and child and (every or child_state != "data")
             here = (f"{path}/{label}" if path else label) if kind_of or open_below else None
             if open_below:
                 below.append((child, own, here, child_state, kind_of, here if kind_of else inner))
-            if nested:
-                kind, scalar = ("object" if isinstance(child, dict) else "array"), None
-            else:
-                kind, scalar = _scalar(child)
+            kind, scalar = (("object" if isinstance(child, dict) else "array"), None) if nested else _scalar(child)
             if every or kind_of in kinds or (attributes and scalar is not None and label in labels):
-                yield own, node, label, ordinal, kind, scalar, kind_of, here if kind_of else None, inner if kind_of else None
+                add((own, node, label, ordinal, kind, scalar, kind_of, here if kind_of else None, inner if kind_of else None))
         stack.extend(reversed(below))
 
 
@@ -235,6 +246,10 @@ def adjacency(df: DataFrame, keys: list[str], payload: str, grammar: Callable =
         columns = [_arrow(c, f.dataType) for c, f in zip(zip(*rows, strict=True), NODE_FIELDS.fields, strict=True)]
         return pa.RecordBatch.from_arrays([*[batch.column(i).take(index) for i in range(width)], *columns], names=schema.names)
 
+    def pieces(batch: pa.RecordBatch, rows: list[tuple], origin: list[int]) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(rows), ROWS_AT_ONCE):  # one document may have any number of nodes
+            yield made(batch, rows[low : low + ROWS_AT_ONCE], origin[low : low + ROWS_AT_ONCE])
+
     def split(batches):
         for batch in bounded(batches):
             rows, origin = [], []
@@ -242,14 +257,12 @@ def adjacency(df: DataFrame, keys: list[str], payload: str, grammar: Callable =
                 document = read_document(batch.column(width)[row].as_py())
                 if not isinstance(document, dict | list):
                     continue
-                for node in walk(document, grammar, kinds, labels):
-                    rows.append(node)
-                    origin.append(row)
-                    if len(origin) >= 20000:
-                        yield made(batch, rows, origin)
-                        rows, origin = [], []
-            if origin:
-                yield made(batch, rows, origin)
+                walk(document, grammar, rows.append, kinds, labels)
+                origin += [row] * (len(rows) - len(origin))
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield from pieces(batch, rows, origin)
+                    rows, origin = [], []
+            yield from pieces(batch, rows, origin)
 
     return df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{payload}`")).mapInArrow(split, schema)
 
