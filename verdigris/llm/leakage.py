@@ -12,12 +12,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.lookalike import Rewriter
+from verdigris.operators.skew import join_by_key
 from verdigris.session import bounded, materialise
 
 #: Words of the shortest run that counts.
@@ -34,6 +34,8 @@ BROADCAST_WORDS = 500_000
 #: A fuller filter lets more windows through and loses none.
 FILTER_BITS = (1 << 20, 1 << 29)
 _BLOCK_BITS = 1 << 18
+#: Candidate items that a document meets at once.
+ITEMS_AT_ONCE = 256
 #: Words of items that are compared at once.
 VERIFIED_WORDS = 1 << 20
 
@@ -298,21 +300,29 @@ def _joined_leaks(documents: DataFrame, held_out: DataFrame, form: Rewriter) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(np.concatenate(numbers) if rows else np.zeros(0, np.int32)), pa.array(np.concatenate(found) if rows else np.zeros(0, np.int64))], names=["doc_id", "mask", "seed"])
 
     theirs = documents.mapInArrow(passing, "doc_id bigint, mask int, seed bigint")
-    pairs = theirs.join(seeds, ["mask", "seed"]).select("doc_id", "text_row").distinct()
+    pairs = materialise(theirs.join(seeds, ["mask", "seed"]).select("doc_id", "text_row").distinct(), "candidates")
     places = own.filter("mask = 0").groupBy("id").agg(F.collect_list("place").alias("places")).withColumnRenamed("id", "text_row")  # one text's windows
-    joined = pairs.join(documents, "doc_id").join(held_out, "text_row").join(places, "text_row").select("doc_id", "text_row", "item_id", "text", "item_text", "places")
-
-    def verify(frames):
-        at, index = None, None  # rows come by item text, so that one index serves many of them
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.text_row != at:
-                    item_words = words(row.item_text, form)
-                    own = np.zeros(max(0, len(item_words) - RUN + 1), bool)
-                    own[np.asarray(row.places, int)] = True
-                    at, index = row.text_row, ItemIndex([(row.item_id, item_words)], [own])
-                out += [(row.doc_id, *r) for _, *r in index.search([index.encode(words(row.text, form))])]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "exact_words", "tolerant_words"])
-
-    return joined.mapInPandas(verify, "doc_id bigint, item_id bigint, exact_words bigint, tolerant_words bigint").filter("tolerant_words > 0").distinct()
+    texts = materialise(held_out.join(places, "text_row"), "candidate-items")
+    # a document meets its candidates in blocks, so that its words are read once for many items, never for all of any number
+    blocks = materialise(pairs.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / ITEMS_AT_ONCE).cast("int").alias("blocks")), "candidate-blocks")
+    pairs = join_by_key(pairs, blocks, ["doc_id"]).withColumn("block", F.pmod(F.xxhash64("text_row"), F.col("blocks"))).drop("blocks")
+    pairs = join_by_key(materialise(pairs, "blocked-candidates"), texts, ["text_row"], broadcast_rows=0)  # texts have no bound in bytes; those of hot items are at most a hundred
+    met = pairs.groupBy("doc_id", "block").agg(F.collect_list(F.struct("item_id", "item_text", "places")).alias("candidates"))
+    joined = met.join(documents, "doc_id").select("doc_id", "text", "candidates")
+
+    def verify(batches):
+        for batch in bounded(batches, 16):
+            rows = []
+            for at in range(batch.num_rows):
+                items, owned = [], []
+                for candidate in batch.column(2)[at].as_py():
+                    item_words = words(candidate["item_text"], form)
+                    mine = np.zeros(max(0, len(item_words) - RUN + 1), bool)
+                    mine[np.asarray(candidate["places"], int)] = True
+                    items.append((candidate["item_id"], item_words))
+                    owned.append(mine)
+                index = ItemIndex(items, owned)
+                rows += [(batch.column(0)[at].as_py(), *r) for _, *r in index.search([index.encode(words(batch.column(1)[at].as_py(), form))])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "exact_words", "tolerant_words"])
+
+    return joined.mapInArrow(verify, "doc_id bigint, item_id bigint, exact_words bigint, tolerant_words bigint").filter("tolerant_words > 0").distinct()
