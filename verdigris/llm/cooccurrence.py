@@ -140,12 +140,18 @@ def _tilt(counts: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _mass(r: np.ndarray, n: np.ndarray, centre: np.ndarray, size: int) -> np.ndarray:
     """P(X = centre + j) modulo ``size``, for j = 0, 1, ..., -2, -1, of sums of trials with probabilities ``r[pair, k]``."""
-    turn = np.exp(2j * np.pi * np.arange(size // 2 + 1) / size)
-    power = -np.outer(centre % size, 2j * np.pi * np.arange(size // 2 + 1) / size)
+    angle = 2 * np.pi * np.arange(size // 2 + 1) / size
+    # a sum of variance v has a characteristic function of at most exp(-v (1 - cos)); beyond exp(-45) it adds nothing
+    angle = angle[((r * (1 - r)) @ n).min() * (1 - np.cos(angle)) <= 45]
+    cos, sin = np.cos(angle), np.sin(angle)
+    size_log, turn = np.zeros((len(r), len(angle))), np.outer(-(centre % size), angle)
     for k, times in enumerate(n):
-        factor = 1 + r[:, k : k + 1] * (turn - 1)
-        power += times * np.log(np.where(np.abs(factor) < 1e-200, 1e-200, factor))
-    return np.maximum(np.fft.irfft(np.exp(power).conj(), size, axis=1), 0.0)
+        p = r[:, k : k + 1]
+        size_log += 0.5 * times * np.log(np.maximum(1 - 2 * p * (1 - p) * (1 - cos), 1e-300))
+        turn += times * np.arctan2(p * sin, 1 - p + p * cos)
+    spectrum = np.zeros((len(r), size // 2 + 1), complex)
+    spectrum[:, : len(angle)] = np.exp(size_log) * (np.cos(turn) - 1j * np.sin(turn))
+    return np.maximum(np.fft.irfft(spectrum, size, axis=1), 0.0)
 
 
 def over_groups(df: DataFrame, keys: list[str], order: list[str], function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
